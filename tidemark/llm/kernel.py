@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+CHUNK_DOCS = 512
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C55
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -59,11 +60,11 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Document ranges [a, b) of about ``size`` bytes each, never splitting a document."""
+    """Document ranges [a, b) of about ``size`` bytes and at most CHUNK_DOCS documents, never splitting a document."""
     n, a = len(offs) - 1, 0
     while a < n:
         b = int(np.searchsorted(offs, offs[a] + size, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + CHUNK_DOCS, n)
         yield a, b
         a = b
 

@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import features, langid, quality, rules, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    held, s = features.fold("id", 5) == 0, F.col("score")
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), s, (s >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, "crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    held = features.fold("id", 4) == 2
+    return langid.identify(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, "crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    held, s = features.fold("id", 4) == 2, F.col("score")
+    return quality.score(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), s, (s >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_url_filter, op6_quality_classifier, op8_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
