@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import features, langid, quality, rules, simhash, toxicity, urls
+from . import features, langid, mixing, packing, quality, rules, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
@@ -42,13 +46,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), "mix_order")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_url_filter, op6_quality_classifier, op8_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_language_id, op5_url_filter, op6_quality_classifier, op8_quality_rules, op9_source_mixing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
