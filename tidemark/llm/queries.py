@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import features, langid, mixing, packing, quality, rules, simhash, toxicity, urls
+from . import features, langid, mixing, packing, quality, rules, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -56,7 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_language_id, op5_url_filter, op6_quality_classifier, op8_quality_rules, op9_source_mixing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op3_toxicity, op4_language_id, op5_url_filter, op6_quality_classifier, op8_quality_rules, op9_source_mixing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
