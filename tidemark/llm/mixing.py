@@ -106,7 +106,7 @@ def mix(docs: DataFrame, budget: int | None = None, repeat_limit: float | None =
     by_key = inside.groupBy("mix_source", "mix_block", "mix_key").agg(F.sum("mix_tokens").alias("tokens"), F.first("room").alias("room"))
     upto = F.sum("tokens").over(W.partitionBy("mix_source", "mix_block").orderBy("mix_key"))
     last = by_key.withColumn("upto", upto).where("upto <= room").groupBy("mix_source", "mix_block").agg(F.max("mix_key").alias("last_key"))
-    table = ranked.join(last, ["mix_source", "mix_block"], "left").select("mix_source", "mix_block", "whole", (F.col("room") >= F.col("tokens")).alias("all_in"), "last_key")
+    table = ranked.join(last, ["mix_source", "mix_block"], "left").select("mix_source", "mix_block", "whole", ((F.col("room") > 0) & (F.col("room") >= F.col("tokens"))).alias("all_in"), "last_key")
     table = scratch.written(table.where("whole > 0 or all_in or last_key is not null"), "mix-plan")
     small = table.count() <= MOST_SOURCES  # a block row is about 40 bytes; beyond this the join shuffles by source and block
     placed = dealt.join(F.broadcast(table) if small else table, ["mix_source", "mix_block"])
