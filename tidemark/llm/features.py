@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
 
@@ -120,6 +121,22 @@ def score_rows(docs: DataFrame, score: Callable[[pa.Array], list[pa.Array]], fie
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, {fields}")
 
 
+def annotated(docs: DataFrame, score: Callable[[pa.Array], list[pa.Array]], fields: str, text_col: str = "text") -> DataFrame:
+    """Every row with all its columns and those that ``score`` computes; clashing names must be dropped before."""
+    names = [f.split()[0] for f in fields.split(",")]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *score(b.column(at))], [*b.schema.names, *names])
+
+    schema = T.StructType(list(docs.schema))
+    for f in fields.split(","):
+        name, kind = f.split()
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)
+
+
 def by_chunk(col: pa.Array, f: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int = 0) -> np.ndarray:
     """``f(bytes, offsets)`` of each chunk of the batch, stacked."""
     got = [f(buf, offs) for _, _, buf, offs in kernel.texts(col)]

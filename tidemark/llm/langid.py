@@ -98,16 +98,29 @@ def train(docs: DataFrame, learn: str | None = None, id_col: str = "doc_id", tex
     return Model(sorted(got.label.unique()), x, got.label.to_numpy(object))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, ambiguous) for every row."""
+FIELDS = "lang_pred string, score double, ambiguous boolean"
+
 
+def _scorer(model: Model):
     def score(col: pa.Array) -> list[pa.Array]:
         some = np.array([t is not None and any(map(str.isalpha, t)) for t in col.to_pylist()], bool)
         names, p = np.full(len(col), "und", object), np.zeros(len(col))
-        if model.names:
-            k, q = (np.concatenate(v) for v in zip(*(model.decide(_profile(buf, offs)) for _, _, buf, offs in kernel.texts(col)))) if len(col) else (np.zeros(0, int), np.zeros(0))
+        if model.names and len(col):
+            k, q = (np.concatenate(v) for v in zip(*(model.decide(_profile(buf, offs)) for _, _, buf, offs in kernel.texts(col))))
             names[some] = np.array(model.names, object)[k[some]]
             p[some] = q[some]
         return [pa.array(names, pa.string()), pa.array(p, pa.float64()), pa.array(p < AMBIGUOUS)]
 
-    return features.score_rows(docs, score, "lang_pred string, score double, ambiguous boolean", id_col, text_col)
+    return score
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, ambiguous) for every row."""
+    return features.score_rows(docs, _scorer(model), FIELDS, id_col, text_col)
+
+
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` that has a language: all columns, neither ``und`` nor ambiguous."""
+    own = FIELDS.replace("lang_pred", "own_lang_pred").replace("score", "own_score").replace("ambiguous", "own_ambiguous")
+    told = features.annotated(docs, _scorer(model), own, text_col)
+    return told.where("own_lang_pred <> 'und' AND NOT own_ambiguous").select(*docs.columns)

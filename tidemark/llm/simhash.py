@@ -165,3 +165,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = graph.components(links, "a", "b")
     named = distinct.join(comp, distinct.rep == comp.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(named, "fp").select("id", "fp", "component")
+
+
+def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose document has the least id of its component.
+
+    Of rows that repeat an id one stays; rows without an id always stay, as nothing names them.
+    """
+    found = scratch.written(near_duplicates(docs, id_col, text_col), "near-duplicates")
+    left = docs.join(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    if not found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        named = F.col(id_col).isNotNull()
+        left = left.where(named).dropDuplicates([id_col]).union(left.where(~named))
+    return left.select(*docs.columns)

@@ -37,6 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel, scratch
 
@@ -61,9 +62,20 @@ def cover_for(length: int) -> tuple[int, np.ndarray]:
     return v, np.array(residues)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, n_bytes, ids, offs, text): runs of documents in id order; ids and offsets as int64 buffers, text compressed."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(block, n_bytes, ids, offs, text, rest): runs of documents in id order.
+
+    Ids and offsets are int64 buffers, text is compressed, ``rest`` has the carried columns as an Arrow stream.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
     n = scratch.shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +84,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ids: list[np.ndarray] = []
         texts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
+        rest: list[pa.RecordBatch] = []
         held = k = 0
 
         def out() -> pa.RecordBatch:
             lens = np.concatenate(sizes)
-            row = [part + k, int(lens.sum()), np.concatenate(ids).tobytes(), np.append(0, np.cumsum(lens)).astype(np.int64).tobytes(), pack.compress(np.concatenate(texts).tobytes())]
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "n_bytes", "ids", "offs", "text"])
+            row = [part + k, int(lens.sum()), np.concatenate(ids).tobytes(), np.append(0, np.cumsum(lens)).astype(np.int64).tobytes(), pack.compress(np.concatenate(texts).tobytes()), pack.compress(_stream(rest))]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "n_bytes", "ids", "offs", "text", "rest"])
 
         for b in batches:
             names = b.column(0)
@@ -87,15 +100,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ids.append(name[first:last])
                 texts.append(buf)
                 sizes.append(np.diff(offs))
+                rest.append(b.slice(first, last - first).select(b.schema.names[2:]))
                 held += len(buf)
                 if held >= BLOCK_BYTES:
                     yield out()
-                    ids, texts, sizes, held, k = [], [], [], 0, k + 1
+                    ids, texts, sizes, rest, held, k = [], [], [], [], 0, k + 1
         if ids:
             yield out()
 
     ranged = slim.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return ranged.mapInArrow(run, "block long, n_bytes long, ids binary, offs binary, text binary")
+    return ranged.mapInArrow(run, "block long, n_bytes long, ids binary, offs binary, text binary, rest binary")
 
 
 def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -207,16 +221,17 @@ def _cover_ties(block: _Block, runs: list, buckets: int) -> np.ndarray:
     return _unpack(runs, order, _bucket(keys[order], buckets))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept, kept_text): every document with the spans to remove and what stays.
 
     ``kept`` has the bytes that stay; ``kept_text`` drops what is left of a character whose bytes were cut.
+    The columns ``carry`` come along, named carry_0 and so on.
     """
     spark = docs.sparkSession
     cover_for(length)
     if rounds & (rounds - 1):
         raise ValueError("rounds must be a power of two")
-    blocks = scratch.written(_blocks(docs, id_col, text_col), "suffix-blocks")
+    blocks = scratch.written(_blocks(docs, id_col, text_col, carry), "suffix-blocks")
     scratch.release(spark)
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(BUCKETS, 1 << (n_bytes // (rounds * BUCKET_BYTES)).bit_length())
@@ -268,10 +283,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             keys = block.string_keys(starts)
             order = np.argsort(keys, kind="stable")
             starts = starts[_unpack(row["later"], order, _bucket(keys[order], total))]
-            yield from _cuts(block, _covered(len(block.buf), starts, starts + length))
+            rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(row["rest"])).read_all().combine_chunks()
+            yield from _cuts(block, _covered(len(block.buf), starts, starts + length), rest)
 
     marked = tied.join(_gathered(found, "later"), "block", "left")
-    return marked.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
+    schema = T.StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
+    for k, c in enumerate(carry):
+        schema = schema.add(f"carry_{k}", docs.schema[c].dataType)
+    return marked.mapInArrow(cut, schema)
 
 
 def _batch(block: int, names: range, runs: list[bytes]) -> pa.RecordBatch:
@@ -279,7 +298,7 @@ def _batch(block: int, names: range, runs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([n for n, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], ["block", "bucket", "run"])
 
 
-def _cuts(block: _Block, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _cuts(block: _Block, gone: np.ndarray, rest: pa.Table) -> Iterator[pa.RecordBatch]:
     """Result rows of a block from the mask of removed bytes, about a megabyte of text at a time."""
     spans_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for a, b in kernel.chunks(block.offs):
@@ -292,4 +311,17 @@ def _cuts(block: _Block, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
             ident = int(block.ids[d])
             rows.append((None if ident == np.iinfo(np.int64).min else ident, hi - lo, int(g.sum()), len(flip) // 2, [{"start": int(x), "end": int(y)} for x, y in zip(flip[::2], flip[1::2])], kept, kept.decode(errors="ignore")))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), spans_of, pa.binary(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text"])
+        more = rest.slice(a, b - a)
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] + [c.combine_chunks() for c in more.columns]
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text", *more.schema.names])
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every repeated string cut from its texts and ``chars_col`` (if there) set anew; documents left empty go."""
+    others = [c for c in docs.columns if c not in (id_col, text_col, chars_col)]
+    found = repeats(docs, length, id_col, text_col, carry=tuple(others)).where(F.length("kept_text") > 0)
+    cols = {c: F.col(f"carry_{k}").alias(c) for k, c in enumerate(others)}
+    cols |= {id_col: F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("kept_text").alias(text_col)}
+    if chars_col in docs.columns:
+        cols[chars_col] = F.length("kept_text").cast(docs.schema[chars_col].dataType).alias(chars_col)
+    return found.select(*(cols[c] for c in docs.columns))
