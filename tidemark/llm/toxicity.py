@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import features, kernel
 
 #: Most labelled documents of each label that training reads.
-TOXIC_ROWS, CLEAN_ROWS = 2500, 4000
+TOXIC_ROWS, CLEAN_ROWS = 1000, 1500
 #: Most voters, and most mined terms of the classifier.
 VOTERS, TERMS = 400, 3000
 #: How often the voters cover a toxic document, and what a clean document counts against a voter.
