@@ -14,7 +14,7 @@ from ..operators.running import running
 
 
 def _ints(col: str) -> Column:
-    return F.transform(F.split(F.rtrim(F.col(col), F.lit(",")), ","), lambda x: x.cast("bigint"))
+    return F.transform(F.split(F.rtrim(F.col(col), F.lit(",")), ","), lambda x: x.try_cast("bigint"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +78,8 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 def bed12(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, name, strand, s, e, exons) of twelve-column lines."""
     b = bed(spark, path).where(F.size("payload") >= 9)
-    sizes = F.transform(F.split(F.rtrim(F.col("payload")[7], F.lit(",")), ","), lambda x: x.cast("bigint"))
-    offs = F.transform(F.split(F.rtrim(F.col("payload")[8], F.lit(",")), ","), lambda x: x.cast("bigint"))
+    sizes = F.transform(F.split(F.rtrim(F.col("payload")[7], F.lit(",")), ","), lambda x: x.try_cast("bigint"))
+    offs = F.transform(F.split(F.rtrim(F.col("payload")[8], F.lit(",")), ","), lambda x: x.try_cast("bigint"))
     exons = F.zip_with(offs, sizes, lambda o, n: F.struct((F.col("s") + o).alias("s"), (F.col("s") + o + n).alias("e")))
     return b.select("chrom", F.col("payload")[0].alias("name"), F.col("payload")[2].alias("strand"), "s", "e", exons.alias("exons"))
 
