@@ -160,3 +160,17 @@ def alignment_strings(query: Column, target: Column) -> Column:
 
     done = F.aggregate(zipped, zero, step)
     return F.struct(done["q"].alias("q"), done["t"].alias("t"))
+
+
+def flipped(strand: Column) -> Column:
+    """The other strand; blocks stay as they are."""
+    return F.when(strand == "+", "-").otherwise("+")
+
+
+def concatenated(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of alignments of one query and strand, the second beyond the first on both sides, as one alignment: qName, tName, strand and joined blocks."""
+    left = a.select("qName", "tName", "strand", *[F.col(c).alias(f"a_{c}") for c in ("blockSizes", "qStarts", "tStarts")])
+    right = b.select("qName", "tName", "strand", *[F.col(c).alias(f"b_{c}") for c in ("blockSizes", "qStarts", "tStarts")])
+    met = left.join(right, ["qName", "tName", "strand"])
+    beyond = lambda c: F.element_at(f"a_{c}", -1) + F.element_at("a_blockSizes", -1) <= F.col(f"b_{c}")[0]
+    return met.where(beyond("qStarts") & beyond("tStarts")).select("qName", "tName", "strand", *[F.concat(f"a_{c}", f"b_{c}").alias(c) for c in ("blockSizes", "qStarts", "tStarts")])

@@ -87,3 +87,39 @@ def quality_runs(reads: DataFrame, qual: str, bins: int = 100) -> DataFrame:
     rows = reads.select(F.length(qual).alias("len"), F.posexplode(runs).alias("k", "run"), runs.alias("_all"))
     before = F.aggregate(F.slice("_all", 1, F.col("k")), F.lit(0), lambda s, r: s + F.length(r))
     return rows.groupBy(F.floor(before * bins / F.col("len")).alias("bin"), F.ascii("run").alias("code"), F.length("run").alias("run")).agg(F.count("*").alias("n"))
+
+
+def best_by_base(alignments: DataFrame, query: str, least: int = 1, share: float = 0.9) -> DataFrame:
+    """(query, id, qs, qe): the query's bases given to the alignment of best quality, as segments of at least ``least`` bases.
+
+    ``alignments``: (query, id, qs, qe, quality).  Alignments left with less than ``share`` of their length lose all of it
+    and the bases are given anew.  One query's alignments are few and handled together.
+    """
+    import pandas as pd
+
+    kinds = dict(alignments.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf.itertuples(index=False), key=lambda r: (-r.quality, -(r.qe - r.qs), r.id))
+        while True:
+            cuts = sorted({p for r in rows for p in (r.qs, r.qe)})
+            owner = [next((r for r in rows if r.qs <= a and b <= r.qe), None) for a, b in zip(cuts[:-1], cuts[1:])]
+            got: dict = {}
+            for a, b, r in zip(cuts[:-1], cuts[1:], owner):
+                if r is not None:
+                    got[r.id] = got.get(r.id, 0) + b - a
+            weak = [r for r in rows if got.get(r.id, 0) < share * (r.qe - r.qs)]
+            if not weak:
+                break
+            rows.remove(weak[-1])  # the worst goes first
+        out: list = []
+        for a, b, r in zip(cuts[:-1], cuts[1:], owner):
+            if r is None:
+                continue
+            if out and out[-1][1] == r.id and out[-1][3] == a:
+                out[-1][3] = b
+            else:
+                out.append([pdf[query].iloc[0], r.id, a, b])
+        return pd.DataFrame([x for x in out if x[3] - x[2] >= least], columns=[query, "id", "qs", "qe"])
+
+    return alignments.groupBy(query).applyInPandas(run, f"{query} {kinds[query]}, id {kinds['id']}, qs long, qe long")

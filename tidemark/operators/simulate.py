@@ -86,3 +86,35 @@ def fusions(genes: DataFrame, n: int, seed: int) -> DataFrame:
 
     numbered = ranked.withColumn("r", F.row_number().over(W.orderBy("h", "id")) - 1).withColumn("k", F.floor(F.col("r") / 2))
     return numbered.groupBy("k").agg(F.min_by("id", "r").alias("left_id"), F.max_by("id", "r").alias("right_id"), F.count("*").alias("c")).where("c = 2").drop("c")
+
+
+def allele_reads(transcripts: DataFrame, haplotypes_: DataFrame, weight: str, rho: str, n: int, seed: int) -> DataFrame:
+    """(draw, id, allele, seq): transcripts (id, chrom, strand, exons, weight, rho) drawn by weight, each from the left
+    haplotype with probability ``rho`` of its own, spliced from (chrom, left, right)."""
+    from . import transcripts as tr
+
+    drawn = emit(transcripts, weight, n, seed).join(transcripts.select("id", F.col(rho).alias("_rho")), "id")
+    side = drawn.select("draw", "id", F.when(uniform(seed + 1, "draw") < F.col("_rho"), "left").otherwise("right").alias("allele"))
+    both = None
+    for name in ("left", "right"):
+        one = tr.spliced(transcripts, haplotypes_.select("chrom", F.col(name).alias("seq"))).withColumn("allele", F.lit(name))
+        both = one if both is None else both.unionByName(one)
+    return side.join(both, ["id", "allele"]).select("draw", "id", "allele", "seq")
+
+
+def fragments(seqs: DataFrame, mean: float, sd: float, least: int, seed: int, id_col: str = "draw") -> DataFrame:
+    """``seqs`` (id, seq) with ``start`` and ``fragment``: a Gaussian length (at least ``least``) cut at a uniform place."""
+    u1, u2 = uniform(seed, id_col), uniform(seed + 1, id_col)
+    gauss = F.sqrt(-2 * F.ln(1 - u1)) * F.cos(2 * F.lit(3.141592653589793) * u2)
+    size = F.least(F.greatest(F.round(F.lit(mean) + gauss * sd), F.lit(least)).cast("int"), F.length("seq"))
+    rows = seqs.withColumn("_n", size)
+    start = F.floor(uniform(seed + 2, id_col) * (F.length("seq") - F.col("_n") + 1)).cast("int")
+    return rows.withColumn("start", start).withColumn("fragment", F.substr(F.col("seq"), F.col("start") + 1, F.col("_n"))).drop("_n")
+
+
+def mates(fragments_: DataFrame, size: int) -> DataFrame:
+    """``fragments_`` with ``left`` and ``right``: mates of ``size`` from both ends, the right one turned, short ones padded with N."""
+    from ..functions import seq
+
+    right = F.expr(f"right(fragment, {size})")
+    return fragments_.withColumn("left", seq.pad_to(F.substring("fragment", 1, size), size)).withColumn("right", seq.pad_to(seq.reverse_complement(right), size))

@@ -202,3 +202,58 @@ def frames(exons: str | Column) -> Column:
         return F.struct(((acc["f"] + 3 - n % 3) % 3).alias("f"), F.concat(acc["done"], F.array(acc["f"])).alias("done"))
 
     return F.aggregate(_c(exons), start, step)["done"]
+
+
+def to_genomic(exons: str | Column, pos: Column) -> Column:
+    """Genomic position of a spliced (or artificial reference) position; null beyond the end."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("off"), F.lit(None).cast("bigint").alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = x["e"] - x["s"]
+        inside = (pos >= acc["off"]) & (pos < acc["off"] + n)
+        return F.struct((acc["off"] + n).alias("off"), F.when(inside, x["s"] + pos - acc["off"]).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(_c(exons).cast(_EXONS), zero, step)["at"]
+
+
+def from_genomic(exons: str | Column, pos: Column) -> Column:
+    """Spliced position of a genomic one; null in introns and outside."""
+    before = F.aggregate(_c(exons), F.lit(0).cast("bigint"), lambda n, x: n + F.greatest(F.least(pos, x["e"]) - x["s"], F.lit(0)))
+    return F.when(contains(exons, pos), before)
+
+
+def lifted(rows: DataFrame, refs: DataFrame, max_intron: int = 400_000) -> DataFrame:
+    """(id, chrom, exons): intervals (id, ref, s, e) on spliced references moved to the genome, split at their introns.
+
+    ``refs``: (ref, chrom, exons).  Rows whose introns exceed ``max_intron`` are dropped.
+    """
+    d = rows.join(refs, "ref").withColumn("exons", subset("exons", F.col("s"), F.col("e"))).where(F.size("exons") > 0)
+    gaps = F.transform(junctions("exons"), lambda j: j["r"] - j["l"])
+    return d.where(F.forall(gaps, lambda g: g <= max_intron)).select("id", "chrom", "exons")
+
+
+def base_scores(exons: DataFrame, counts: DataFrame, width: int = iv.BIN) -> DataFrame:
+    """(tx, n, mean_score, median_score, n_zero, n_multi, n_single): 1 / count over a transcript's bases.
+
+    ``counts``: (chrom, s, e, n).  Scores below 0.01 count as zero, up to 0.5 as multi, above as single; bases meet the
+    count table by range, and each (transcript, count) is folded with its number of bases before anything is ranked.
+    """
+    met = iv.overlap_join(exons, counts, width=width)
+    score = F.when(F.col("b_n") == 0, F.lit(1e-7)).otherwise(1 / F.col("b_n"))
+    by = met.groupBy(F.col("a_tx").alias("tx"), score.alias("score")).agg(F.sum("bp").alias("bp"))
+    w = W.partitionBy("tx")
+    run = by.withColumn("hi", F.sum("bp").over(w.orderBy("score"))).withColumn("all", F.sum("bp").over(w))
+    at = lambda k: F.min(F.when(F.col("hi") > k, F.col("score")))
+    half = F.floor(F.col("all") / 2)
+    out = run.groupBy("tx").agg(
+        F.first("all").alias("n"), F.round(F.sum(F.col("score") * F.col("bp")) / F.first("all"), 4).alias("mean_score"), F.round((at(half) + at(F.floor((F.col("all") - 1) / 2))) / 2, 4).alias("median_score"),
+        F.sum(F.when(F.col("score") < 0.01, F.col("bp")).otherwise(0)).alias("n_zero"), F.sum(F.when((F.col("score") >= 0.01) & (F.col("score") <= 0.5), F.col("bp")).otherwise(0)).alias("n_multi"), F.sum(F.when(F.col("score") > 0.5, F.col("bp")).otherwise(0)).alias("n_single"),
+    )
+    return out
+
+
+def annotation_rates(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(n, annotated, tx_full, tx_partial, gene) counts of simulated reads (read, tx, gene) against annotations (read, tx, gene, full)."""
+    d = truth.select("read", F.col("tx").alias("t0"), F.col("gene").alias("g0")).join(found, "read", "left")
+    tx = F.col("t0") == F.col("tx")
+    return d.agg(F.count("*").alias("n"), F.count("tx").alias("annotated"), F.count_if(tx & F.col("full")).alias("tx_full"), F.count_if(tx & ~F.col("full")).alias("tx_partial"), F.count_if(F.col("g0") == F.col("gene")).alias("gene"))

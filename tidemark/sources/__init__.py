@@ -153,3 +153,9 @@ def bam(spark: SparkSession, path: str) -> DataFrame:
     from .bam import SCHEMA, decode_files
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode_files, SCHEMA)
+
+
+def file_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, md5) of every file below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.md5("content").alias("md5"))
