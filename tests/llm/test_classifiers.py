@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import make_docs
+from corpus_fixtures import make_docs
 from tidemark.llm import features, kernel, langid, quality, rules, toxicity, urls
 
 EN = "the of and to in that with from house water light under over through reading morning".split()

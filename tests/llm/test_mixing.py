@@ -3,7 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import make_docs
+from corpus_fixtures import make_docs
 from tidemark.llm import mixing
 
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from conftest import make_docs
+from corpus_fixtures import make_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tidemark.llm import kernel, packing

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from conftest import make_docs
+from corpus_fixtures import make_docs
 from test_simhash import brute_components, brute_fp
 from test_suffix import brute
 from tidemark.llm import mixing, packing

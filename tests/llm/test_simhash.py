@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import make_docs
+from corpus_fixtures import make_docs
 from tidemark.llm import simhash
 from xxhash import xxh64_intdigest
 

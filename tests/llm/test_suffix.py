@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import make_docs
+from corpus_fixtures import make_docs
 from tidemark.llm import suffix
 
 
