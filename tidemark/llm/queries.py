@@ -68,7 +68,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS n FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
