@@ -96,7 +96,8 @@ def n50(spark, d):
 
 
 def running(spark, d):
-    return stats.running_mean_sd(_hits(spark, d), ["o_custkey"], ["o_orderkey"], "o_totalprice", 3).select("o_custkey", "o_orderkey", "running_mean", "running_sd")
+    rows = _hits(spark, d).withColumn("v", F.col("o_totalprice").cast("long"))
+    return stats.running_mean_sd(rows, ["o_custkey"], ["o_orderkey"], "v", 4).select("o_custkey", "o_orderkey", "running_mean", "running_sd")
 
 
 def window_scores(spark, d):
@@ -220,8 +221,8 @@ QUERIES = {
     "distinct_read_count": (distinct_counts, "SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_reads, count(*) AS n_rows, round(100 * count(*) / count(DISTINCT l_orderkey), 2) AS pct, max(l_quantity) AS top FROM lineitem GROUP BY 1"),
     "mean_median_sd": (mean_sd, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 3) AS mean, round(median(l_extendedprice), 3) AS median, round(stddev_samp(l_extendedprice), 3) AS sd, round(stddev_pop(l_extendedprice), 3) AS sd_pop, round(exp(avg(ln(l_extendedprice))), 3) AS geometric_mean FROM lineitem GROUP BY 1, 2"),
     "n50": (n50, "SELECT source, min(n_chars) AS n50 FROM (SELECT source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars) AS r, sum(n_chars) OVER (PARTITION BY source) AS t FROM documents) WHERE 2 * r > t GROUP BY 1"),
-    "running_mean_sd": (running, """WITH m AS (SELECT o_custkey, o_orderkey, o_totalprice AS v, avg(o_totalprice) OVER w AS m, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
- SELECT o_custkey, o_orderkey, round(m, 3) AS running_mean, CASE WHEN n > 1 THEN round(sqrt(sum((v - m) * (v - m)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) / (n - 1)), 3) END AS running_sd FROM m"""),
+    "running_mean_sd": (running, """WITH m AS (SELECT o_custkey, o_orderkey, trunc(o_totalprice)::BIGINT AS v, avg(trunc(o_totalprice)::BIGINT) OVER w AS m, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
+ SELECT o_custkey, o_orderkey, round(m, 4) AS running_mean, CASE WHEN n > 1 THEN round(sqrt(sum((v - m) * (v - m)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) / (n - 1)), 4) END AS running_sd FROM m"""),
     "mappability_window": (window_scores, """WITH x AS (SELECT user_id, event_id, CASE WHEN floor(value) = 0 THEN 1e7 ELSE 1 / floor(value) END AS v FROM events),
  w AS (SELECT user_id, event_id, avg(v) OVER w AS a, median(v) OVER w AS m, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING)) SELECT user_id, event_id, round(a, 4) AS mean_score, round(m, 4) AS median_score FROM w WHERE n = 5"""),
     "strata_by_bp": (strata, "WITH b AS (SELECT n_chars, sum(n_chars)::BIGINT AS weight FROM documents GROUP BY 1) SELECT n_chars, weight, least(ceil(sum(weight) OVER (ORDER BY n_chars) * 10 / sum(weight) OVER ()), 10)::INTEGER AS stratum FROM b"),
