@@ -52,7 +52,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     before = None
     while True:
-        e = scratch.written(_stars(_stars(e, True), False), "links")
+        new = scratch.written(_stars(_stars(e, True), False), "links")
+        scratch.remove(e)
+        e = new
         now = e.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if now == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
