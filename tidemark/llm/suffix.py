@@ -256,8 +256,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     runs = blocks.mapInArrow(cover_runs, _RUN).withColumn("wide", F.lit(wide))
     ties = scratch.written(_gathered(runs.groupBy("bucket").applyInPandas(_ties, _BITS), "ties"), "suffix-ties")
+    # joined once and for all: the rounds read the blocks with their ties and shuffle only keys
+    tied = scratch.written(blocks.join(ties, "block", "left"), "suffix-tied")
+    scratch.remove(blocks)
+    scratch.remove(ties)
     scratch.release(spark)
-    tied = blocks.join(ties, "block", "left")
 
     def string_runs(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
