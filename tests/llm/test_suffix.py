@@ -69,3 +69,10 @@ def test_empty_table_and_short_strings(spark):
         suffix.cover_for(5)
     for v, residues in suffix.COVERS:
         assert {(a - b) % v for a in residues for b in residues} == set(range(v))
+
+
+def test_more_buckets_do_not_change_the_result(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 16)
+    rnd = random.Random(11)
+    base = ["".join(rnd.choice("abc ") for _ in range(150)) for _ in range(20)]
+    check(spark, [(i, base[i % 20][i % 3 :]) for i in range(60)], 20)

@@ -48,7 +48,7 @@ COVERS = ((7, (0, 1, 3)), (13, (0, 1, 3, 9)), (31, (0, 1, 3, 8, 12, 18)), (57, (
 #: at least BUCKETS and enough for BUCKET_BYTES of text to a sub-bucket.
 ROUNDS = 4
 BUCKETS = 64
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of text in a block: what one task holds at a time, several times over.
 BLOCK_BYTES = 2 << 20
 _U = np.uint64
