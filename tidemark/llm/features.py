@@ -21,12 +21,19 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def hashed(n: int, of: int, *keys: str) -> Column:
+    """Keeps about 4 ``n`` of ``of`` rows by hash (all, if there are no more), so that a limit of ``n`` moves few rows."""
+    return F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(1 << 30)) < F.lit(min(1 << 30, (n << 32) // max(1, of)))
+
+
 def per_class(rows: DataFrame, id_col: str, label_col: str, bounds: dict) -> DataFrame:
     """At most ``bounds[c]`` ids of each class c, chosen by hash of the id: a bounded table (id, label)."""
     out = None
     slim = rows.select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("sample_label")).where("sample_id is not null").distinct()
+    sizes = dict(slim.where(F.col("sample_label").isin(list(bounds))).groupBy("sample_label").count().collect())
     for c, n in bounds.items():
-        one = slim.where(F.col("sample_label") == F.lit(c)).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n)
+        some = slim.where((F.col("sample_label") == F.lit(c)) & hashed(n, sizes.get(c, 0), "sample_id"))
+        one = some.orderBy(F.xxhash64("sample_id"), "sample_id").limit(n)
         out = one if out is None else out.union(one)
     return out
 

@@ -162,7 +162,8 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         return [pa.array(s[:, k]) for k in range(len(STATS))]
 
     stats = scratch.written(features.score_rows(docs, count, ", ".join(f"{s} long" for s in STATS), id_col, text_col), "rule-stats")
-    fit = stats.orderBy(F.xxhash64("id", *STATS), "id", *STATS).limit(FIT_ROWS).select(*STATS).toPandas().to_numpy(np.int64)
+    some = stats.where(features.hashed(FIT_ROWS, stats.count(), "id", *STATS))
+    fit = some.orderBy(F.xxhash64("id", *STATS), "id", *STATS).limit(FIT_ROWS).select(*STATS).toPandas().to_numpy(np.int64)
     forest = Forest(shape(fit))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
