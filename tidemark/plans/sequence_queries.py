@@ -99,17 +99,17 @@ def names_codec(spark, d):
 
 
 def global_alignment(spark, d):
-    x = dna(spark, d).select("doc_id", F.substring("seq", 1, 60).alias("a"), F.substring("seq", 6, 60).alias("b"))
+    x = dna(spark, d).select("doc_id", F.col("seq").alias("a"), F.expr("substring(seq, 6)").alias("b"))
     return align.global_alignments(x, "a", "b").select("doc_id", "nw.score", "nw.matches", "nw.mismatches", "nw.insertions", "nw.deletions")
 
 
 def local_alignment(spark, d):
-    x = dna(spark, d).select("doc_id", F.substring("seq", 20, 40).alias("q"), F.substring("seq", 1, 120).alias("t"))
+    x = dna(spark, d).select("doc_id", F.expr("substring(seq, 20)").alias("q"), F.col("seq").alias("t"))
     return align.local_alignments(x, "q", "t").select("doc_id", "sw.score", "sw.qs", "sw.qe", "sw.ts", "sw.te", "sw.cigar", "sw.strand")
 
 
 def error_classes(spark, d):
-    x = dna(spark, d).select("doc_id", F.concat(F.substring("seq", 1, 20), F.lit("T"), F.substring("seq", 22, 30)).alias("q"), F.substring("seq", 1, 60).alias("t"))
+    x = dna(spark, d).select("doc_id", F.concat(F.substring("seq", 1, 20), F.lit("T"), F.expr("substring(seq, 22)")).alias("q"), F.col("seq").alias("t"))
     got = align.local_alignments(x, "q", "t", False)
     return got.select(F.explode(align.error_columns(F.col("sw.cigar"), F.col("q"), F.col("t"), F.col("sw.qs"), F.col("sw.ts"))).alias("c")).groupBy("c.kind", "c.base", "c.ref").agg(F.count("*").alias("n"))
 
