@@ -34,18 +34,21 @@ ROUNDS = 6
 _encoders: dict = {}
 
 
-def _encoder(path: str | None) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path=path)
-    return _encoders[path]
+def _encoder(path: str | None, added: bool) -> Encoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path=path, added=added)
+    return _encoders[path, added]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]): documents cut into pieces; only the first may be shorter than ``capacity``."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = False, added: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]): documents cut into pieces; only the first may be shorter than ``capacity``.
+
+    ``added``: the added token of the tokenizer file is found in the texts (see ``tokens``).
+    """
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer)
+        enc = _encoder(tokenizer, added)
         for b in batches:
             names = b.column(0)
             for first, last, buf, offs in kernel.texts(b.column(1)):

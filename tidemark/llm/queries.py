@@ -18,7 +18,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), added=True)).withColumnRenamed("id", "doc_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
