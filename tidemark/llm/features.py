@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,19 @@ def per_class(rows: DataFrame, id_col: str, label_col: str, bounds: dict) -> Dat
     return out
 
 
+def per_label(rows: DataFrame, id_col: str, label_col: str, n: int) -> DataFrame:
+    """The ids that ``per_class`` takes with the bound ``n`` for every class, in one pass however many classes there are.
+
+    For ``n`` under 16 the hash keeps more rows, so that no class is left without any.
+    """
+    slim = rows.select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("sample_label")).where("sample_id is not null").distinct()
+    sizes = slim.groupBy("sample_label").agg(F.count("*").alias("of"))
+    near = F.pmod(F.xxhash64(F.lit(5), "sample_id"), F.lit(1 << 30)) < F.lit(max(n, 16) << 32) / F.col("of")  # as ``hashed``
+    some = slim.join(F.broadcast(sizes), "sample_label").where(near)
+    turn = Window.partitionBy("sample_label").orderBy(F.xxhash64("sample_id"), "sample_id")
+    return some.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).select("sample_id", "sample_label")
+
+
 def collect_features(docs: DataFrame, sample: DataFrame, extract: Callable[[pa.Array], list], id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
     """(label, feature) of the sampled documents; ``sample`` is bounded, so it is broadcast and collected."""
     slim = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from . import features, kernel
 
-#: Most labelled documents a language gives to training, and most languages learned (the most frequent).
+#: Most labelled documents a language gives to training; with more than ``FULL_LANGUAGES`` languages each gives less.
 PER_LANGUAGE = 800
-MOST_LANGUAGES = 64
+FULL_LANGUAGES = 64
 DIMS = 4096
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.4
@@ -44,7 +44,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     for _ in range(200):
         m = rnd.choice([-1.0, 1.0], (n, width))
         m = m[:, np.abs(m.sum(0)) < n]  # a bit that is alike for all says nothing
-        d = (m[:, None] != m[None]).sum(2) + np.eye(n, dtype=int) * width
+        d = (m.shape[1] - m @ m.T) / 2 + np.eye(n, dtype=int) * width  # bits in which two words differ
         if d.min() > far:
             best, far = m, d.min()
     return best
@@ -73,7 +73,11 @@ class Model:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         margin = x @ self.w + self.b
-        return np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2)
+        if len(self.names) <= FULL_LANGUAGES:
+            return np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2)
+        # the same sums as two products: documents x languages x bits would not fit
+        plus = (self.code.T > 0).astype(float)
+        return np.logaddexp(0, -margin) @ plus + np.logaddexp(0, margin) @ (1 - plus)
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         loss = self.losses(x)
@@ -82,13 +86,19 @@ class Model:
 
 
 def train(docs: DataFrame, learn: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` documents of each of the most frequent languages among rows where ``learn`` holds."""
+    """Fit on at most ``per_language`` documents of every language among rows where ``learn`` holds.
+
+    Above ``FULL_LANGUAGES`` languages the sample keeps its size and is shared evenly; each language gives one document at least.
+    """
     rows = docs.where(F.expr(learn)) if learn else docs
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    langs = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()]
+    langs = sorted(r.l for r in rows.select("l").distinct().collect())
     if not langs:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, object))
-    sample = features.per_class(rows, "i", "l", dict.fromkeys(langs, per_language))
+    if len(langs) <= FULL_LANGUAGES:
+        sample = features.per_class(rows, "i", "l", dict.fromkeys(langs, per_language))
+    else:
+        sample = features.per_label(rows, "i", "l", max(1, per_language * FULL_LANGUAGES // len(langs)))
 
     def extract(col: pa.Array) -> list:
         return [r.astype(np.float32).tobytes() for r in features.by_chunk(col, _profile, DIMS)]
