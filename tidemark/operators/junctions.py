@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,13 +70,25 @@ def snapped(junctions: DataFrame, reference: DataFrame, within: int = 10) -> Dat
     return junctions.select("id", "chrom", "l", "r").join(side, "id", "left").join(moved, ["id", "chrom", "l", "r"], "left")
 
 
-def equivalent(sites: DataFrame, reference: DataFrame, most: int = 50) -> DataFrame:
-    """(chrom, l, r, el, er): the junction and those it can slide to while the flanking letters agree, at most ``most`` a side."""
-    d = sites.join(reference, "chrom")
-    at = lambda p: F.substr("seq", (p + 1).cast("int"), F.lit(1))
-    steps = F.sequence(F.lit(1), F.lit(most))
-    left = F.transform(steps, lambda k: (F.col("l") - k >= 0) & (at(F.col("l") - k) == at(F.col("r") - k)))
-    right = F.transform(steps, lambda k: (F.col("r") + k <= F.length("seq")) & (at(F.col("l") + k - 1) == at(F.col("r") + k - 1)))
-    run = lambda flags: F.aggregate(flags, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), (s["n"] + (s["on"] & x).cast("int")).alias("n")))["n"]
-    moves = F.explode(F.sequence(-run(left), run(right))).alias("k")
-    return d.select("chrom", "l", "r", moves).select("chrom", "l", "r", (F.col("l") + F.col("k")).alias("el"), (F.col("r") + F.col("k")).alias("er"))
+def _slides(seq: str, left: int, right: int, most: int | None) -> tuple[int, int]:
+    """Letters by which the cuts at ``left`` and ``right`` of ``seq`` can move down and up together."""
+    far = len(seq) if most is None else most
+    down = up = 0
+    while down < min(far, left, right) and left - down <= len(seq) and right - down <= len(seq) and seq[left - down - 1] == seq[right - down - 1]:
+        down += 1
+    while up < far and max(left, right) + up < len(seq) and seq[left + up] == seq[right + up]:
+        up += 1
+    return down, up
+
+
+def equivalent(sites: DataFrame, reference: DataFrame, most: int | None = None) -> DataFrame:
+    """(chrom, l, r, el, er): the junction and those it can slide to while the flanking letters agree, at most ``most`` a side if given."""
+
+    @F.pandas_udf("down long, up long")
+    def slides(seq: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_slides(s, int(x), int(y), most) for s, x, y in zip(seq, left, right)], columns=["down", "up"])
+
+    d = sites.join(reference, "chrom").where("seq is not null and l is not null and r is not null")
+    moves = F.explode(F.sequence(-F.col("m.down"), F.col("m.up"))).alias("k")
+    moved = d.select("chrom", "l", "r", slides("seq", "l", "r").alias("m")).select("chrom", "l", "r", moves)
+    return moved.select("chrom", "l", "r", (F.col("l") + F.col("k")).alias("el"), (F.col("r") + F.col("k")).alias("er"))
