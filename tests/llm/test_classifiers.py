@@ -80,18 +80,38 @@ def test_toxicity_without_toxic_rows(spark):
         assert all(r.score < 0.01 for r in toxicity.score(docs, model).collect())
 
 
-def test_label_model_learns_accuracies():
+def test_label_model_without_labels_beats_a_majority_vote():
     rnd = np.random.default_rng(3)
-    y = rnd.random(3000) < 0.3
-    acc = [(0.8, 0.01), (0.5, 0.05), (0.3, 0.3)]
-    votes = np.column_stack([rnd.random(3000) < np.where(y, a, b) for a, b in acc])
-    votes = np.column_stack([votes, votes[:, 0], ~votes.any(1)])  # a voter that repeats another counts less
-    told = np.where(rnd.random(3000) < 0.1, ~y, y)  # a tenth of the labels is wrong
-    m = toxicity.LabelModel(votes, told)
-    p = m.posterior(votes)
-    assert ((p > 0.5) == y).mean() > 0.85 and ((m.fitted > 0.5) == y).mean() > 0.9
-    assert m.discount[0] < 0.7 and m.discount[3] < 0.7 < m.discount[2]
-    assert m.on[0, 1] > m.on[1, 1] > m.on[1, 0]
+    y = rnd.random(4000) < 0.2
+    acc = [(0.7, 0.01), (0.6, 0.01), (0.5, 0.02), (0.15, 0.12), (0.5, 0.02), (0.12, 0.1)]  # four good voters, two that say little
+    votes = np.column_stack([rnd.random(4000) < np.where(y, a, b) for a, b in acc])
+    votes = np.column_stack([votes, votes[:, 3], votes[:, 3]])  # one of the poor voters is repeated
+    rates = np.column_stack([np.full(8, 0.05), np.full(8, 0.3)])  # all alike, no label of a row
+    m = toxicity.LabelModel(votes, rates, np.array([0.8, 0.2]))
+    model = ((m.posterior(votes) > 0.5) == y).mean()
+    majority = ((votes.sum(1) >= 2) == y).mean()
+    assert model > 0.93 > majority + 0.03
+    assert m.group[3] == m.group[6] == m.group[7] and len(set(m.group[:6])) == 6
+    assert m.on[0, 1] > m.on[1, 1] > m.on[1, 0] and abs(m.share[1] - 0.2) < 0.05
+
+
+def test_label_model_tells_kinds_of_toxic_rows_apart():
+    rnd = np.random.default_rng(4)
+    kind = rnd.choice(4, 6000, p=[0.85, 0.05, 0.05, 0.05])
+    rate = np.full((9, 4), 0.005)
+    for k in range(3):
+        rate[3 * k : 3 * k + 3, k + 1] = 0.6
+    votes = rnd.random((6000, 9)) < rate.T[kind]
+    m = toxicity.LabelModel(votes, np.clip(rate, 0.02, 0.4), np.array([0.7, 0.1, 0.1, 0.1]))
+    assert ((m.fitted > 0.5) == (kind > 0)).mean() > 0.98
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    rows = [(i, "slurword here" if i % 3 == 0 else "calm words here") for i in range(90)]
+    docs = make_docs(spark, rows)
+    both = [(i, 1, v) for i, _ in rows for v in (0, 1)]
+    model = toxicity.train(docs, _labelled(spark, both))
+    assert all(r.score < 0.01 for r in toxicity.score(docs, model).collect())
 
 
 def test_quality_on_held_out(spark):

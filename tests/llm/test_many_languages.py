@@ -1,6 +1,7 @@
 """Language identification with more languages than give a full sample."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from corpus_fixtures import make_docs
@@ -29,14 +30,21 @@ def test_every_language_is_learned(spark):
     assert rare and np.mean([got[i] == lang for i, _, lang in rare]) > 0.9
 
 
-def test_one_pass_takes_the_ids_of_per_class(spark):
-    rows = make_docs(spark, [(i, "x", f"l{i % 7 % 5}") for i in range(900)])
-    for n in (20, 1000):
-        one = features.per_label(rows, "doc_id", "lang", n)
-        each = features.per_class(rows, "doc_id", "lang", {f"l{k}": n for k in range(5)})
-        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, each.collect()))
-    one = features.per_label(rows, "doc_id", "lang", 1).collect()
-    assert sorted(r.sample_label for r in one) == [f"l{k}" for k in range(5)]
+def test_samples_are_bounded_and_leave_no_label_out(spark):
+    rows = make_docs(spark, [(i, "x", f"l{i % 7 % 5}") for i in range(900)] + [(2000, "x", "l0"), (2000, "x", "l1"), (None, "x", "l1"), (2001, "x", None)])
+    want = {f"l{k}": sum(1 for i in range(900) if i % 7 % 5 == k) for k in range(5)}
+    for n in (1, 20, 1000):
+        got = features.per_label(rows, "doc_id", "lang", dict.fromkeys(want, n)).collect()
+        assert Counter(r.sample_label for r in got) == {k: min(n, v) for k, v in want.items()}
+        assert all(r.sample_id < 900 and r.sample_label == f"l{r.sample_id % 7 % 5}" for r in got)
+
+
+def test_one_text_of_an_id_is_learned(spark):
+    docs = make_docs(spark, [(1, "b"), (1, "a"), (2, "c"), (3, None)])
+    sample = features.per_label(docs, "doc_id", "lang", {"en": 9})
+    got = features.fitted(docs, sample, lambda col: [(t or "").encode() for t in col.to_pylist()], lambda label, rows: (label, rows))
+    assert got == (["en"] * 3, [b"a", b"c", b""])
+    assert features.fitted(docs, sample.limit(0), lambda col: [], lambda label, rows: (label, rows)) == ([], [])
 
 
 def test_losses_are_the_same_sums(monkeypatch):

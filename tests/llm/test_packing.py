@@ -12,9 +12,7 @@ from tokenizers import Tokenizer
 
 
 def _tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 ODD = ["", "it's a 'test' don't", "  a  b\n\n c\t\td \n", "é×ü÷", "日本語 text ١٢", "a b", "<|endoftext|>", "x\x1cy\x0bz", " \u0085 q", "A" * 3000]
@@ -62,6 +60,26 @@ def test_pieces_and_packing_round_trip(spark):
     assert len(bins) <= -(-total // cap) + 1
 
 
+def test_certificates_and_many_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 100)
+    rows = [(i % 7, 0, 0, 1 + i % 2, i % 11) for i in range(900)]  # rows repeat ids, and whole rows
+    got = packing.pack(spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long"), 64).collect()
+    assert sorted((r.id, r.length, r.ids_crc32) for r in got) == sorted((r[0], r[3], r[4]) for r in rows)
+    assert len({r.sequence_id for r in got}) == -(-sum(r[3] for r in rows) // 64)
+    assert all(r.part_bins >= r.part_bound > 0 for r in got)
+
+
+def test_a_packing_that_saves_nothing_is_not_taken(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BINS_PER_PARTITION", 4)
+    rows = [(i, 0, 0, 33 if i % 2 else 22, i) for i in range(400)]  # 33 never pairs with 33; 22 goes beside it only
+    got = packing.pack(spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long"), 64).collect()
+    assert len(got) == 400 and len({r.sequence_id for r in got}) <= 240
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+
+
 def test_exchange_reaches_the_bound_over_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(packing, "BINS_PER_PARTITION", 32)
     rnd = random.Random(2)

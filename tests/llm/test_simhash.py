@@ -87,3 +87,75 @@ def test_repeated_rows_and_null_ids(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (2, "A B C D")]
     got = sorted((r.id if r.id is not None else -1, r.component) for r in simhash.near_duplicates(make_docs(spark, rows)).collect())
     assert got == [(-1, 2), (2, 2), (5, 2), (5, 2)]
+
+
+def test_a_fingerprint_of_null_ids_still_links(spark, monkeypatch):
+    # 1 - null - 2 chain: the middle one's fingerprint is held by a row without id alone
+    base = "w " * 8
+    def fake(docs, *a, **k):
+        return docs.selectExpr("doc_id AS id", "CAST(n_chars AS bigint) AS fp")
+
+    monkeypatch.setattr(simhash, "fingerprints", fake)
+    docs = spark.createDataFrame([(1, base, 0b0000), (None, base, 0b0011), (2, base, 0b1111)], "doc_id long, text string, n_chars long")
+    assert {(r.id, r.component) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (None, 1), (2, 1)}
+
+
+def _shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_wide_fingerprints_do_not_depend_on_the_batch():
+    import pyarrow as pa
+    from tidemark.llm import kernel
+
+    rnd = random.Random(4)
+    texts = ["", "one", "One two", "a b c d e", "a b c d e f", "x " * 2000] + [" ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.randrange(1, 700))) for _ in range(40)]
+    every = simhash.wide_fingerprints(*kernel.flat(pa.array(texts)))
+    for t, f in zip(texts, every):
+        assert (simhash.wide_fingerprints(*kernel.flat(pa.array([t.upper()])))[0] == f).all()
+    assert not every[0].any() and (np.bitwise_count(every[6:, None] ^ every[None, 6:]).sum(2)[np.triu_indices(40, 1)] > 60).all()
+
+
+def test_similar_texts_share_a_group(spark):
+    rnd = random.Random(6)
+    rows, sims = [], {}
+    for k in range(60):
+        words = [f"v{rnd.randrange(3000)}" for _ in range(200)]
+        copy = list(words)
+        for _ in range(1 + k % 4):  # similarity of about 0.95 to 0.82
+            copy[rnd.randrange(200)] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        a, b = _shingles(rows[-2][1]), _shingles(rows[-1][1])
+        sims[k] = len(a & b) / len(a | b)
+    rows += [(1000, rows[0][1].upper()), (1001, ""), (1002, None), (1003, "")]
+    docs = make_docs(spark, rows, extra=True)
+    kept = {r.doc_id for r in simhash.first_of_group(docs).collect()}
+    assert kept & {1000, 1001, 1002, 1003} == {1001} and all(2 * k in kept for k in range(60))
+    caught = {k: 2 * k + 1 not in kept for k in range(60)}
+    assert np.mean([caught[k] for k in caught if sims[k] >= 0.9]) > 0.85 and np.mean([caught[k] for k in caught if sims[k] >= 0.8]) > 0.6
+
+
+def test_first_of_group_loses_no_text_when_ids_repeat(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = make_docs(spark, [(1, a), (2, a), (2, b), (7, b), (7, "c d e"), (None, "c d e"), (None, "only here")])
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in simhash.first_of_group(docs).collect())
+    assert got == [(-1, "only here"), (1, a), (2, b), (7, "c d e")]
+    assert simhash.first_of_group(make_docs(spark, [])).count() == 0
+
+
+def test_a_large_group_over_many_batches(spark):
+    rnd = random.Random(9)
+    words = [f"v{i}" for i in range(300)]
+    rows = []
+    for i in range(3000):
+        w = list(words)
+        w[rnd.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        kept = [r.doc_id for r in simhash.first_of_group(make_docs(spark, rows)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert kept == [0]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,33 +26,34 @@ def hashed(n: int, of: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(1 << 30)) < F.lit(min(1 << 30, (n << 32) // max(1, of)))
 
 
-def per_class(rows: DataFrame, id_col: str, label_col: str, bounds: dict) -> DataFrame:
-    """At most ``bounds[c]`` ids of each class c, chosen by hash of the id: a bounded table (id, label)."""
-    out = None
-    slim = rows.select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("sample_label")).where("sample_id is not null").distinct()
-    sizes = dict(slim.where(F.col("sample_label").isin(list(bounds))).groupBy("sample_label").count().collect())
-    for c, n in bounds.items():
-        some = slim.where((F.col("sample_label") == F.lit(c)) & hashed(n, sizes.get(c, 0), "sample_id"))
-        one = some.orderBy(F.xxhash64("sample_id"), "sample_id").limit(n)
-        out = one if out is None else out.union(one)
-    return out
-
-
-def per_label(rows: DataFrame, id_col: str, label_col: str, n: int) -> DataFrame:
-    """The ids that ``per_class`` takes with the bound ``n`` for every class, in one pass however many classes there are.
+def per_label(rows: DataFrame, id_col: str, label_col: str, bounds: dict | Callable[[int], int]) -> DataFrame:
+    """At most ``bounds[c]`` ids of each label c, chosen by hash of the id: a bounded table (sample_id, sample_label).
 
-    For ``n`` under 16 the hash keeps more rows, so that no class is left without any.
+    ``bounds`` may also be a function of the number of labels that gives the bound of each.
+    Rows without id or label say nothing, and ids whose labels differ are left out.  All
+    labels are handled in one pass, however many there are.
     """
-    slim = rows.select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("sample_label")).where("sample_id is not null").distinct()
-    sizes = slim.groupBy("sample_label").agg(F.count("*").alias("of"))
-    near = F.pmod(F.xxhash64(F.lit(5), "sample_id"), F.lit(1 << 30)) < F.lit(max(n, 16) << 32) / F.col("of")  # as ``hashed``
-    some = slim.join(F.broadcast(sizes), "sample_label").where(near)
+    slim = rows.select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("sample_label")).where("sample_id is not null and sample_label is not null")
+    slim = slim.groupBy("sample_id").agg(F.min("sample_label").alias("sample_label"), F.max("sample_label").alias("other")).where("sample_label = other").drop("other")
+    sizes = {r[0]: r[1] for r in slim.groupBy("sample_label").count().collect()}
+    if callable(bounds):
+        bounds = dict.fromkeys(sizes, bounds(len(sizes)))
+    # about four times the bound passes by hash (with a floor, so that small bounds leave no label empty); the window picks among those
+    share = [(c, n, min(1 << 30, (max(n, 16) << 32) // max(1, sizes[c]))) for c, n in bounds.items() if c in sizes]
+    if not share:
+        return slim.limit(0)
+    kind = dict(slim.dtypes)["sample_label"]
+    table = rows.sparkSession.createDataFrame(share, f"sample_label {kind}, bound long, share long")
+    some = slim.join(table, "sample_label").where(F.pmod(F.xxhash64(F.lit(5), "sample_id"), F.lit(1 << 30)) < F.col("share"))
     turn = Window.partitionBy("sample_label").orderBy(F.xxhash64("sample_id"), "sample_id")
-    return some.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).select("sample_id", "sample_label")
+    return some.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= F.col("bound")).select("sample_id", "sample_label")
 
 
-def collect_features(docs: DataFrame, sample: DataFrame, extract: Callable[[pa.Array], list], id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """(label, feature) of the sampled documents; ``sample`` is bounded, so it is broadcast and collected."""
+def fitted(docs: DataFrame, sample: DataFrame, extract: Callable[[pa.Array], list], fit: Callable[[list, list], object], id_col: str = "doc_id", text_col: str = "text") -> object:
+    """``fit(labels, features)`` over the documents of ``sample``, in order of id; runs in one task, so only the model reaches the driver.
+
+    ``sample`` (sample_id, sample_label) is bounded.  Of an id's texts the one with the least feature is learned.
+    """
     slim = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
     kind = dict(sample.dtypes)["sample_label"]
 
@@ -60,9 +61,36 @@ def collect_features(docs: DataFrame, sample: DataFrame, extract: Callable[[pa.A
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(extract(b.column(2)), pa.binary())], ["sample_id", "label", "feature"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, found = [], []
+        for b in batches:
+            labels += b.column(1).to_pylist()
+            found += b.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(labels, found))], pa.binary())], ["model"])
+
     joined = slim.join(F.broadcast(sample), "sample_id").select("sample_id", "sample_label", "text")
-    got = joined.mapInArrow(run, f"sample_id long, label {kind}, feature binary").toPandas()
-    return got.sort_values(["sample_id", "feature"], kind="stable").drop_duplicates("sample_id").reset_index(drop=True)
+    rows = joined.mapInArrow(run, f"sample_id {dict(slim.dtypes)['sample_id']}, label {kind}, feature binary")
+    rows = rows.groupBy("sample_id").agg(F.min("label").alias("label"), F.min("feature").alias("feature"))
+    got = rows.repartition(1).sortWithinPartitions("sample_id").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else fit([], [])
+
+
+def sparse(x: np.ndarray) -> list[bytes]:
+    """Each row's non-zero places (16 bits) and values (float32)."""
+    out = []
+    for r in x:
+        at = np.flatnonzero(r)
+        out.append(at.astype("<u2").tobytes() + r[at].astype("<f4").tobytes())
+    return out
+
+
+def dense(rows: list[bytes], dims: int) -> np.ndarray:
+    """The matrix whose rows ``sparse`` wrote."""
+    x = np.zeros((len(rows), dims), np.float32)
+    for i, r in enumerate(rows):
+        n = len(r) // 6
+        x[i, np.frombuffer(r, "<u2", n)] = np.frombuffer(r, "<f4", n, 2 * n)
+    return x
 
 
 def grams(buf: np.ndarray, offs: np.ndarray, orders: tuple[int, ...], dims: int) -> np.ndarray:
@@ -109,7 +137,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150, w
 
     Full-batch Nesterov descent with the step that the data's norm allows; deterministic.
     """
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     y = (y if y.ndim == 2 else y[:, None]).astype(np.float32)
     n = max(1, len(x))
     s = np.ones(n, np.float32) if weight is None else (weight * (n / weight.sum())).astype(np.float32)

@@ -22,7 +22,7 @@ from . import features, kernel
 
 #: Most labelled documents a language gives to training; with more than ``FULL_LANGUAGES`` languages each gives less.
 PER_LANGUAGE = 800
-FULL_LANGUAGES = 64
+FULL_LANGUAGES = 16
 DIMS = 4096
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.4
@@ -91,21 +91,16 @@ def train(docs: DataFrame, learn: str | None = None, id_col: str = "doc_id", tex
     Above ``FULL_LANGUAGES`` languages the sample keeps its size and is shared evenly; each language gives one document at least.
     """
     rows = docs.where(F.expr(learn)) if learn else docs
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    langs = sorted(r.l for r in rows.select("l").distinct().collect())
-    if not langs:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, object))
-    if len(langs) <= FULL_LANGUAGES:
-        sample = features.per_class(rows, "i", "l", dict.fromkeys(langs, per_language))
-    else:
-        sample = features.per_label(rows, "i", "l", max(1, per_language * FULL_LANGUAGES // len(langs)))
+    rows = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
+    sample = features.per_label(rows, "i", "l", lambda n: per_language if n <= FULL_LANGUAGES else max(1, per_language * FULL_LANGUAGES // n))
 
     def extract(col: pa.Array) -> list:
-        return [r.astype(np.float32).tobytes() for r in features.by_chunk(col, _profile, DIMS)]
+        return [r for _, _, buf, offs in kernel.texts(col) for r in features.sparse(_profile(buf, offs))]
 
-    got = features.collect_features(docs, sample, extract, id_col, text_col)
-    x = np.frombuffer(b"".join(got.feature), np.float32).reshape(-1, DIMS)
-    return Model(sorted(got.label.unique()), x, got.label.to_numpy(object))
+    def fit(label: list, rows: list) -> Model:
+        return Model(sorted(set(label)), features.dense(rows, DIMS), np.array(label, object))
+
+    return features.fitted(docs, sample, extract, fit, id_col, text_col)
 
 
 FIELDS = "lang_pred string, score double, ambiguous boolean"

@@ -2,14 +2,16 @@
 
 Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt into
 partitions; each is packed by best-fit decreasing, and dual-feasible functions
-(Fekete and Schepers' families u, U and phi) give a lower bound on its bins.  While
-the bins of all partitions exceed the bound of the whole table, the bins that are
-not full are opened, their documents exchanged among fewer partitions, and packed
-again; partitions whose every bin is full have nothing to exchange.
-
-Cases: null and empty texts are one piece of the end id alone; repeated rows are
-packed each for itself; an empty table gives an empty result; pieces as long as a
-sequence fill one each.
+(Fekete and Schepers' families u, U and phi) give a lower bound on its bins.  Full bins
+are final.  Partitions with more bins than their bound have a gap: the documents of
+their open bins are exchanged, that is dealt anew among fewer partitions and packed
+again, until none has a gap or an exchange saves no bin (then the packing before it is
+kept).  While the bins of all partitions still exceed the bound of the whole table, the
+open bins of the certified partitions (about one each) are exchanged in the same way.
+
+Cases: null and empty texts are one piece of the end id alone; repeated rows, also
+with one id, are packed each for itself; an empty table gives an empty result; pieces
+as long as a sequence fill one each; a very long text is encoded whole, then cut.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, scratch
@@ -28,9 +30,9 @@ from .tokens import Encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: About so many sequences a partition; bounds what one task packs.
+#: About so many sequences, and so many pieces, a partition; bounds what one task packs.
 BINS_PER_PARTITION = 4096
-ROUNDS = 6
+PIECES_PER_PARTITION = 1 << 17
 _encoders: dict = {}
 
 
@@ -40,7 +42,7 @@ def _encoder(path: str | None, added: bool) -> Encoder:
     return _encoders[path, added]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_ids: bool = False, added: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): documents cut into pieces; only the first may be shorter than ``capacity``.
 
     ``added``: the added token of the tokenizer file is found in the texts (see ``tokens``).
@@ -124,7 +126,7 @@ def _pack(capacity: int):
         pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offset, fill = best_fit_decreasing(pdf.length.to_numpy(), capacity)
         size, n = np.unique(pdf.length.to_numpy(), return_counts=True)
-        return pdf.assign(bin=bins, offset=offset, room=capacity - fill[bins], bins=np.int64(len(fill)), bound=np.int64(lower_bound(size, n, capacity)))
+        return pdf.assign(bin=bins, offset=offset, room=capacity - fill[bins], part_bins=np.int64(len(fill)), part_bound=np.int64(lower_bound(size, n, capacity)))
 
     return run
 
@@ -133,27 +135,60 @@ _ITEM = "id long, piece int, start long, length long, ids_crc32 long, part long"
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``cut`` (see ``pieces``)."""
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound) for every piece of ``cut`` (see ``pieces``).
+
+    ``part_bins`` and ``part_bound`` certify the packing that a piece comes from: the bins of its partition and their lower bound.
+    """
     cut = scratch.written(cut.select("id", "piece", "start", "length", "ids_crc32"), "pieces")
+    one = F.lit(1).cast("long")
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    done = full.withColumns({"part_bins": one, "part_bound": one})
     items = cut.where(F.col("length") < capacity)
     histogram = items.groupBy("length").count().toPandas()  # at most capacity - 1 rows
     bound = lower_bound(histogram.length.to_numpy(), histogram["count"].to_numpy(), capacity)
-    tokens = int((histogram.length * histogram["count"]).sum())
-    done, settled, best = full, 0, None
-    for r in range(ROUNDS):
-        parts = max(1, -(-tokens // (capacity * BINS_PER_PARTITION)))
-        dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)))
-        packed = scratch.written(dealt.groupBy("part").applyInPandas(_pack(capacity), f"{_ITEM}, bin long, offset long, room long, bins long, bound long"), "packed")
-        named = packed.withColumn("sequence_id", (F.lit(r) * F.lit(2**58) + F.col("part") * F.lit(2**26) + F.col("bin")) * 2 + 1)
-        row = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & (F.col("room") == 0)), F.sum(F.when(F.col("room") > 0, F.col("length")))).first()
-        now, whole, open_tokens = (int(v or 0) for v in row)
-        last = settled + now <= bound or parts == 1 or r == ROUNDS - 1 or (best is not None and settled + now >= best)
-        best = settled + now
-        keep = named if last else named.where("room = 0")
-        done = done.unionByName(keep.select(*cut.columns, "sequence_id", "offset"))
-        if last:
+    out = [*cut.columns, "sequence_id", "offset", "part_bins", "part_bound"]
+    gap, room = F.expr("part_bins > part_bound and room > 0"), F.col("room") > 0
+    first = F.col("offset") == 0
+
+    def packed(rows: DataFrame, r: int) -> tuple[DataFrame, int]:
+        """One packing of ``rows`` and its number of partitions; names of sequences hold ``r``."""
+        n, tokens = rows.agg(F.count("*"), F.sum("length")).first()
+        parts = max(1, -(-(tokens or 0) // (capacity * BINS_PER_PARTITION)), -(-n // PIECES_PER_PARTITION))
+        # dealt by place in a written table: the same for every attempt of a task, and even for rows that are alike
+        dealt = rows.select(*cut.columns, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(r)), F.lit(parts)).alias("part"))
+        found = dealt.groupBy("part").applyInPandas(_pack(capacity), f"{_ITEM}, bin long, offset long, room long, part_bins long, part_bound long")
+        return scratch.written(found.withColumn("sequence_id", (F.lit(r) * F.lit(2**52) + F.col("part") * F.lit(2**22) + F.col("bin")) * 2 + 1), "packed"), parts
+
+    def bins(rows: DataFrame, which: Column) -> int:
+        return rows.where(first & which).count()
+
+    now, parts = packed(items, 0)
+    total, r = bins(now, F.lit(True)), 0
+    if parts == 1 or total <= bound:
+        return done.unionByName(now.select(*out))
+    waiting = now.limit(0)
+    while True:  # partitions with a gap
+        done = done.unionByName(now.where(~room).select(*out))
+        waiting, pool = waiting.unionByName(now.where(room & ~gap)), now.where(gap)
+        n = bins(pool, F.lit(True))
+        if n == 0 or parts == 1 or total <= bound:
+            break
+        r += 1
+        new, parts = packed(pool, r)
+        saved = n - bins(new, F.lit(True))
+        if saved <= 0:
+            break
+        now, total = new, total - saved
+    waiting = scratch.written(waiting.unionByName(pool), "waiting")
+    n = bins(waiting, F.lit(True))
+    while n and total > bound:  # what is left over in all partitions
+        r += 1
+        now, parts = packed(waiting, r)
+        saved = n - bins(now, F.lit(True))
+        if saved <= 0:
+            break
+        done, waiting, total = done.unionByName(now.where(~room).select(*out)), now.where(room), total - saved
+        n = bins(waiting, F.lit(True))
+        if parts == 1:
             break
-        # exchange: the documents of bins with room meet those of other partitions
-        items, settled, tokens = packed.where("room > 0").select(*cut.columns), settled + whole, open_tokens
-    return done
+    return done.unionByName(waiting.select(*out))

@@ -101,14 +101,15 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, learn: str | None = None, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
     """Fit on at most ``per_label`` documents of each label among label rows where ``learn`` holds."""
     rows = labels.where(F.expr(learn)) if learn else labels
-    sample = features.per_class(rows.select(F.col(label_id).alias("i"), F.col(label_col).cast("int").alias("l")), "i", "l", {0: per_label, 1: per_label})
+    sample = features.per_label(rows.select(F.col(label_id).alias("i"), F.col(label_col).cast("int").alias("l")), "i", "l", {0: per_label, 1: per_label})
 
     def extract(col: pa.Array) -> list:
-        return [r.astype(np.float16).tobytes() for r in np.minimum(features.by_chunk(col, terms, SHAPE_DIMS + EXTRA), 60000)]
+        return [r for _, _, buf, offs in kernel.texts(col) for r in features.sparse(terms(buf, offs))]
 
-    got = features.collect_features(docs, sample, extract, id_col, text_col)
-    x = np.frombuffer(b"".join(got.feature), np.float16).reshape(-1, SHAPE_DIMS + EXTRA).astype(np.float32)
-    return Model(x, got.label.to_numpy(np.float32))
+    def fit(label: list, rows: list) -> Model:
+        return Model(features.dense(rows, SHAPE_DIMS + EXTRA), np.array(label, np.float32))
+
+    return features.fitted(docs, sample, extract, fit, id_col, text_col)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

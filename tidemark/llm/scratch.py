@@ -9,12 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def base(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only if none is set (tests)."""
+    """The session's shared checkpoint folder; where none is set a temporary one, but only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        path = _own[0]
     return path.rstrip("/")
 
 

@@ -8,8 +8,18 @@ none in the first two segments, at most one in three and four, two in all
 in five rotations, the chain prunes them, and the full Hamming distance is
 checked last.  Equal fingerprints are folded into one row before anything meets.
 
-Cases: null and empty texts have fingerprint 0 and link like any other; null
-doc_id takes the component of its fingerprint; repeated rows stay repeated.
+``near_duplicates`` is exact for that budget.  ``first_of_group``, the pipeline's
+stage, looks for similar texts: fingerprints of 256 bits over five-word shingles,
+whose ring has 32 segments of 8 bits.  Candidates meet on three whole segments from
+any of the 32 starts (every chain within ``SIMILAR`` / 4 bits has such a start), and the
+full Hamming distance links them within ``SIMILAR`` bits, the expected distance of
+texts with a shingle similarity of 0.8.  Pairs within half of it that meet are always
+in one group.
+
+Cases: null and empty texts have fingerprint 0 and link like any other; null ids
+take the component of their fingerprint (null if all its ids are); repeated rows stay
+repeated in ``near_duplicates``, and of a group ``first_of_group`` keeps one row: the least
+id, then the first row read; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from . import graph, kernel, scratch
+from . import features, graph, kernel, scratch
 
 TAU = 2
 SEGMENTS = (13, 13, 13, 13, 12)
 #: Sorted groups up to this size compare all their pairs; larger ones probe every allowed change instead.
 PROBE_FROM = 1500
 _TURNS = [SEGMENTS[i:] + SEGMENTS[:i] for i in range(5)]
+#: Most differing bits of 256 that link two documents of the stage: 256 / pi * acos(2 * 0.8 / 1.8) = 38.8.
+SIMILAR = 38
+_WIDE, _STARTS, _SAME = 4, 32, 24
 _KEY = np.array([sum(t[:2]) for t in _TURNS], np.uint64)
 _AFTER3 = np.array([64 - sum(t[:3]) for t in _TURNS], np.uint64)
 _AFTER4 = np.array([64 - sum(t[:4]) for t in _TURNS], np.uint64)
@@ -125,12 +138,34 @@ def _links(ring: np.ndarray, rot: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows of a partition that is sorted by ``names``; no group of equal ``names`` is split."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(h.num_rows for h in held) < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(t.num_rows, bool)
+        for n in names:
+            v = t.column(n).to_numpy()
+            last &= v == v[-1]
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition of rotated fingerprints, as stars within each group that is linked."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
+    """Links of a partition of rotated fingerprints sorted by rot and key, as stars within each group that is linked."""
+    for t in _whole_groups(batches, ("rot", "key")):
+        yield from _met(t)
+
+
+def _met(t: pa.Table) -> Iterator[pa.RecordBatch]:
     rot = t.column("rot").to_numpy()
     ring = t.column("ring").to_numpy().view(np.uint64)
     rep = t.column("rep").to_numpy()
@@ -152,29 +187,133 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(rep[u]), pa.array(rep[root[u]])], ["a", "b"])
 
 
+def _grouped(links: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``distinct`` (node, first, ...) with the least ``first`` of each node's component as ``component``."""
+    comp = graph.components(links, "a", "b").withColumnRenamed("id", "node").withColumnRenamed("component", "root")
+    known = distinct.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return known.join(known.groupBy("root").agg(F.min("first").alias("component")), "root").drop("root")
+
+
+def _parts(distinct: DataFrame, starts: int) -> int:
+    """Partitions of about a million rows each when every row of ``distinct`` meets at ``starts`` starts."""
+    return max(scratch.shuffle_partitions(distinct.sparkSession), distinct.count() * starts >> 20)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp long, component): documents whose fingerprints chain within two bits share a component."""
     fps = scratch.written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    distinct = scratch.written(distinct, "distinct")
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    distinct = scratch.written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     starts = list(accumulate((0, *SEGMENTS[:-1])))
     ring = F.array(*(F.struct(F.lit(i).alias("rot"), F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s) if s else F.lit(0).cast("long")).alias("ring")) for i, s in enumerate(starts)))
-    rotated = distinct.where("rep is not null").select("rep", F.explode(ring).alias("x")).select("rep", "x.rot", "x.ring")
+    rotated = distinct.select(F.col("node").alias("rep"), F.explode(ring).alias("x")).select("rep", "x.rot", "x.ring")
     rotated = rotated.withColumn("key", F.when(F.col("rot") >= 3, F.shiftrightunsigned("ring", 64 - 25)).otherwise(F.shiftrightunsigned("ring", 64 - 26)))
-    links = rotated.repartition(scratch.shuffle_partitions(docs.sparkSession), "rot", "key").mapInArrow(_meet, "a long, b long")
-    comp = graph.components(links, "a", "b")
-    named = distinct.join(comp, distinct.rep == comp.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    links = rotated.repartition(_parts(distinct, len(SEGMENTS)), "rot", "key").sortWithinPartitions("rot", "key").mapInArrow(_meet, "a long, b long")
+    named = _grouped(links, distinct).select("fp", "component")
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
-def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document has the least id of its component.
+_SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))
+_SPREAD = _SPREAD.sum(1, dtype=np.uint64)
+
 
-    Of rows that repeat an id one stays; rows without an id always stay, as nothing names them.
+def wide_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> np.ndarray:
+    """SimHash of 256 bits (documents x 4 words) of the lower-cased texts' shingles of ``width`` words, repeats included."""
+    n = len(offs) - 1
+    out = np.zeros((n, _WIDE), np.uint64)
+    low = kernel.LOWER[buf]
+    starts, ends, doc = kernel.words(low, offs)
+    if not len(starts):
+        return out
+    word = kernel.spans(kernel.prefix(low), starts, ends)
+    count = np.bincount(doc, minlength=n)
+    first = np.cumsum(count) - count
+    left = np.repeat(first + count, count) - np.arange(len(word))  # words up to the document's end
+    own = np.flatnonzero((left >= width) | (np.arange(len(word)) == first[doc]))  # a shorter text is one shingle
+    h = np.full(len(own), 0x2545F4914F6CDD1D, np.uint64)
+    for k in range(width):
+        inside = left[own] > k
+        nxt = word[np.minimum(own + k, len(word) - 1)]
+        h = np.where(inside, kernel.mix(h * np.uint64(0x9E3779B97F4A7C15) + nxt), h)
+    d = doc[own]
+    # eight counters of eight bits to a 64-bit number: sums of up to 255 shingles do not overflow
+    begin = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+    size = np.diff(np.r_[begin, len(d)])
+    steps = -(-size // 255)
+    cut = np.repeat(begin, steps) + 255 * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
+    piece = np.cumsum(steps) - steps
+    who = d[begin]
+    for w in range(_WIDE):
+        bits = kernel.mix(h + np.uint64((w + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))).view(np.uint8).reshape(-1, 8)
+        ones = np.stack([np.add.reduceat(_SPREAD[bits[:, k]], cut).view(np.uint8).reshape(-1, 8) for k in range(8)], 1).reshape(-1, 64)
+        ones = np.add.reduceat(ones, piece, axis=0, dtype=np.int64)
+        out[who, w] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition of (start, key, node, f0..f3) sorted by start, key and node.
+
+    In each group the first row is a pivot: rows within ``SIMILAR`` bits link to it, rows
+    within half of that need no more comparing (whoever is that near to them is near
+    enough to the pivot), and the rest goes on with the next pivot.  Of a group that
+    goes on in the next batch only the pivots are held.
     """
-    found = scratch.written(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    left = docs.join(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
-    if not found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        named = F.col(id_col).isNotNull()
-        left = left.where(named).dropDuplicates([id_col]).union(left.where(~named))
-    return left.select(*docs.columns)
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        start, key, node = (b.column(k).to_numpy() for k in range(3))
+        f = np.column_stack([b.column(3 + k).to_numpy().view(np.uint64) for k in range(_WIDE)])
+        if held is not None:
+            start, key, node, f = (np.concatenate(x) for x in zip(held, (start, key, node, f)))
+        new = np.r_[True, (start[1:] != start[:-1]) | (key[1:] != key[:-1])]
+        group = np.cumsum(new)
+        alive, pivots, left, right = np.arange(len(node)), np.zeros(len(node), bool), [], []
+        while len(alive):
+            g = group[alive]
+            first = np.r_[True, g[1:] != g[:-1]]
+            pivots[alive[first]] = True
+            pivot = alive[first][np.cumsum(first) - 1]
+            apart = np.bitwise_count(f[alive] ^ f[pivot]).sum(1)
+            near = (apart <= SIMILAR) & (alive != pivot)
+            left.append(alive[near])
+            right.append(pivot[near])
+            alive = alive[(apart > SIMILAR // 2) & (alive != pivot)]
+        a, z = node[np.concatenate(left)], node[np.concatenate(right)]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+        keep = pivots & (group == group[-1])
+        held = start[keep], key[keep], node[keep], f[keep]
+
+
+def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One row of ``docs`` for each group of similar texts: that of the least id (null ids last)."""
+    words = [f"sim_{k}" for k in range(_WIDE)]
+
+    def score(col: pa.Array) -> list[pa.Array]:
+        f = np.concatenate([wide_fingerprints(buf, offs, width) for _, _, buf, offs in kernel.texts(col)] or [np.zeros((0, _WIDE), np.uint64)])
+        return [pa.array(f[:, k].copy().view(np.int64)) for k in range(_WIDE)]
+
+    told = features.annotated(docs, score, ", ".join(f"{w} long" for w in words), text_col)
+    told = scratch.written(told.withColumn("sim_row", F.monotonically_increasing_id()), "similar-rows")
+    place = F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).cast("long").alias("id"), F.col("sim_row").alias("row"))
+    distinct = told.groupBy(*words).agg(F.min(place).alias("first"))
+    distinct = scratch.written(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
+    per_word = 64 * _WIDE // _STARTS
+
+    def segments(start: int):
+        """The ``_SAME`` bits of the ring from segment ``start``."""
+        at = start * per_word
+        w, off = divmod(at, 64)
+        low = F.shiftrightunsigned(words[w], off)
+        if off + _SAME > 64:
+            low = low.bitwiseOR(F.shiftleft(words[(w + 1) % _WIDE], 64 - off))
+        return low.bitwiseAND(F.lit((1 << _SAME) - 1))
+
+    met = F.explode(F.array(*(F.struct(F.lit(s).alias("start"), segments(s).alias("key")) for s in range(_STARTS)))).alias("x")
+    met = distinct.select("node", *words, met).select("x.start", "x.key", "node", *words)
+    links = met.repartition(_parts(distinct, _STARTS), "start", "key").sortWithinPartitions("start", "key", "node").mapInArrow(_similar, "a long, b long")
+    links = scratch.written(links.distinct(), "similar-links")
+    keep = _grouped(links, distinct).select(F.col("component.row").alias("sim_row")).distinct()
+    return told.join(keep, "sim_row", "left_semi").select(*docs.columns)
