@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Offsets of the quality encodings (fixed values): Sanger S, PacBio P, Illumina I (1.3), J (1.5), L (1.8); X is Solexa.
 OFFSETS = {"S": 33, "P": 33, "L": 33, "I": 64, "J": 64, "X": 64}
 
-#: Ranges of character codes of the known encodings (fixed values), the narrowest that holds all codes is the guess.
-CODE_RANGES = {"Sanger": (33, 73), "Illumina-1.8": (33, 74), "Solexa": (59, 104), "Illumina-1.3": (64, 104), "Illumina-1.5": (66, 105)}
+#: Ranges of character codes of the known encodings (fixed values); every one that holds all codes is named.
+CODE_RANGES = {"Sanger": (33, 93), "Solexa": (59, 104), "Illumina-1.3": (64, 104), "Illumina-1.5": (67, 104)}
 
 
 def codes(qual: str | Column) -> Column:
@@ -47,3 +47,21 @@ def encodings(low: Column, high: Column) -> Column:
     """Names of the encodings whose code range holds [low, high]."""
     names = [F.when((low >= a) & (high <= b), F.lit(n)) for n, (a, b) in sorted(CODE_RANGES.items())]
     return F.array_compact(F.array(*names))
+
+
+def called(reads: DataFrame, qual: str, keys: list[str] = []) -> DataFrame:
+    """(keys, kind): the encoding told from how many characters fall into marked code ranges; null where none fits.
+
+    P (PacBio), S (Sanger), J (Illumina 1.5+), I (Illumina 1.3+); more than two characters of a range count as a sign.
+    Codes that only Solexa has are recognised, but such reads are not called.
+    """
+    c = codes(qual)
+
+    def n(low: int, high: int) -> Column:
+        return F.sum(F.size(F.filter(c, lambda x: (x >= low) & (x <= high))))
+
+    # fixed values: the code ranges that tell the encodings apart
+    ranges = {"pacbio": (105, 113), "first": (64, 65), "high": (76, 104), "solexa": (59, 63), "start": (64, 66), "next": (67, 72), "low": (33, 58)}
+    by = reads.where(F.length(qual) > 0).groupBy(*keys).agg(*(n(*r).alias(f"_{name}") for name, r in ranges.items()))
+    kind = F.expr("CASE WHEN _pacbio > 2 AND _low > 2 THEN 'P' WHEN _low > 2 THEN 'S' WHEN _solexa > 2 AND _high > 2 THEN NULL WHEN _next > 2 AND _high > 2 AND _first = 0 THEN 'J' WHEN _start > 2 AND _high > 2 THEN 'I' END")
+    return by.select(*keys, kind.alias("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +66,20 @@ def burrows_wheeler(seq: str | Column, end: str = "|") -> Column:
 
 
 def tiles(seq: str | Column, size: int) -> Column:
-    """array<struct(i, piece)> of pieces of at most ``size`` letters; the last may be shorter."""
-    s = _c(seq)
-    last = F.floor((F.length(s) - 1) / size).cast("int")
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.substr(s, i * size + 1, F.lit(size)).alias("piece")))).otherwise(F.array().cast("array<struct<i:int,piece:string>>"))
+    """array<struct(i, piece)> of pieces of at most ``size`` letters; the last may be shorter.  One pass over the sequence."""
+    pieces = F.regexp_extract_all(_c(seq), F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("piece")))
 
 
 def kmers(seq: str | Column, k: int) -> Column:
-    """All k-mers in order."""
-    s = _c(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-mers in order.  One pass over the sequence."""
+    return F.regexp_extract_all(_c(seq), F.lit("(?s)(?=(.{%d}))" % k), F.lit(1))
+
+
+def overlapping(seq: str | Column, size: int, more: int) -> Column:
+    """Pieces of ``size`` letters, each with the next ``more`` letters of the sequence behind it: they hold every (more + 1)-mer once."""
+    pieces = F.regexp_extract_all(_c(seq), F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(pieces, i + 1), 1, more), F.lit(""))))
 
 
 def slice_of(seq: str | Column, start: str | Column, end: str | Column, strand: Column | None = None) -> Column:
@@ -106,48 +111,52 @@ def first_word(header: str | Column) -> Column:
 
 def collapse_coordinates(coords: str | Column) -> Column:
     """Sorted distinct integers as ``a-b,c-d`` runs (a lone one as ``a-a``)."""
-    xs = F.sort_array(F.array_distinct(_c(coords)))
-    start = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.array(F.struct(x.alias("a"), x.alias("b")))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), x.alias("b"))))
-        return F.when(F.size(acc) == 0, one).when(last["b"] + 1 == x, grown).otherwise(F.concat(acc, one))
-
-    runs = F.aggregate(F.transform(xs, lambda x: x.cast("bigint")), start, step)
-    return F.concat_ws(",", F.transform(runs, lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))))
+    xs = F.transform(F.sort_array(F.array_distinct(_c(coords))), lambda x: x.cast("bigint"))
+    # a run begins where the number before is not one less, and ends where the next is not one more
+    starts = F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) + 1 != x))
+    ends = F.filter(xs, lambda x, i: (i == F.size(xs) - 1) | (F.get(xs, i + 1) - 1 != x))
+    return F.concat_ws(",", F.zip_with(starts, ends, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))))
 
 
 def break_by_length(df: DataFrame, size: str, most: int, order: list[str], most_rows: int | None = None) -> DataFrame:
-    """Column ``part``: records in order, a new part where the total size up to the record passes another ``most``."""
-    from pyspark.sql import Window as W
+    """Column ``part``: records in order (``order`` is unique), a new part where the total size up to the record passes another ``most``."""
+    from ..operators.select import running_total
 
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    part = F.floor((F.sum(size).over(w) - 1) / most)
+    rows = running_total(df, order, {size: "_size"} | ({"1": "_rows"} if most_rows else {}))
+    part = F.floor((F.col("_size") - 1) / most)
     if most_rows:
-        part = F.greatest(part, F.floor((F.row_number().over(W.orderBy(*order)) - 1) / most_rows))
-    return df.withColumn("part", part)
+        part = F.greatest(part, F.floor((F.col("_rows") - 1) / most_rows))
+    return rows.withColumn("part", part).drop("_size", "_rows")
 
 
-def _encode(name: str) -> str:
+def _encode(name: str) -> str | None:
     return None if name is None else "SZ_" + base64.b32encode(zlib.compress(name.encode(), 9)).decode().rstrip("=")
 
 
-def _decode(name: str) -> str:
+def _decode(name: str) -> str | None:
     if name is None:
         return None
     body = name[3:]
     return zlib.decompress(base64.b32decode(body + "=" * (-len(body) % 8))).decode()
 
 
+def _batched(one):
+    """An Arrow UDF of a function of one string."""
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return pd.Series([one(None if pd.isna(n) else n) for n in names], dtype=object)
+
+    return run
+
+
 def encode_name(name: str | Column) -> Column:
     """Reversible safe name: SZ_ and base32 of the compressed text."""
-    return F.udf(_encode, "string")(_c(name))
+    return _batched(_encode)(_c(name))
 
 
 def decode_name(name: str | Column) -> Column:
-    return F.udf(_decode, "string")(_c(name))
+    return _batched(_decode)(_c(name))
 
 
 def genotype_count(gt: str | Column) -> Column:

@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table under the session's checkpoint folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path, schema = f"{base}/tidemark/graph-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from ..tables import drop, kept
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,14 +14,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round joins edges with labels twice and halves the label chains; rounds grow with the logarithm of the diameter.
     """
-    e = _kept(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    label = _kept(e.groupBy("x").agg(F.least("x", F.min("y")).alias("l")))
+    e = kept(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
+    label = kept(e.groupBy("x").agg(F.least("x", F.min("y")).alias("l")), "labels")
     while True:
         near = e.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
         hook = label.join(near, "x").select("x", F.least("l", "m").alias("l"))
         jump = hook.select(F.col("x").alias("l"), F.col("l").alias("j"))
-        new = _kept(hook.join(jump, "l", "left").select("x", F.least("l", "j").alias("l")))
-        if new.join(label.withColumnRenamed("l", "o"), "x").where("l <> o").isEmpty():
+        new = kept(hook.join(jump, "l", "left").select("x", F.least("l", "j").alias("l")), "labels")
+        done = new.join(label.withColumnRenamed("l", "o"), "x").where("l <> o").isEmpty()
+        drop(label)
+        if done:
+            drop(e)
             return new.select(F.col("x").alias("id"), F.col("l").alias("component"))
         label = new
 

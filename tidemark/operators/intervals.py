@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .running import following, running
+from .running import following, running, sweep
 
 #: Width of position bins; about a thousand intervals a bin is a good choice.
 BIN = 1 << 14
@@ -33,8 +33,7 @@ def events(iv: DataFrame, keys: list[str], weight: str | Column = 1) -> DataFram
 def coverage(iv: DataFrame, keys: list[str] = ["chrom"], weight: str | Column = 1, min_depth: int = 1, width: int = BIN) -> DataFrame:
     """(keys, s, e, depth): maximal segments of equal depth of at least ``min_depth``."""
     ev = events(iv, keys, weight).withColumn("_bin", _bin("pos", width))
-    deep = running(ev, keys, "_bin", ["pos"], "delta", "sum", "depth")
-    return following(deep, keys, "_bin", "pos", "e").where((F.col("depth") >= min_depth) & F.col("e").isNotNull()).select(*keys, F.col("pos").alias("s"), "e", "depth")
+    return sweep(ev, keys, "_bin", "pos", {"delta": "depth"}, "e").where((F.col("depth") >= min_depth) & F.col("e").isNotNull()).select(*keys, F.col("pos").alias("s"), "e", "depth")
 
 
 def islands(iv: DataFrame, keys: list[str] = ["chrom"], gap: int = 0, touch: bool = True, width: int = BIN, tie: list[str] = []) -> DataFrame:
@@ -42,13 +41,19 @@ def islands(iv: DataFrame, keys: list[str] = ["chrom"], gap: int = 0, touch: boo
 
     Rows chain while the next start is at most ``gap`` beyond the furthest end so far
     (less than that if not ``touch``: half-open intervals that only touch stay apart).
+    ``width`` 0 is for keys that have few rows each (exons of a transcript): one window a key, no bins.
     """
-    rows = iv.withColumn("_bin", _bin("s", width))
     order = ["s", "e", *tie]
-    rows = running(rows, keys, "_bin", order, "e", "max", "_far", inclusive=False)
+    if width:
+        rows = running(iv.withColumn("_bin", _bin("s", width)), keys, "_bin", order, "e", "max", "_far", inclusive=False)
+    else:
+        plain = W.partitionBy(*keys).orderBy(*order)
+        rows = iv.withColumn("_far", F.max("e").over(plain.rowsBetween(W.unboundedPreceding, -1)))
     reach = F.col("_far") + gap
     new = F.col("_far").isNull() | ((F.col("s") > reach) if touch else (F.col("s") >= reach))
     rows = rows.withColumn("_new", new.cast("long"))
+    if not width:
+        return rows.withColumn("island", F.sum("_new").over(plain.rowsBetween(W.unboundedPreceding, 0))).drop("_far", "_new")
     return running(rows, keys, "_bin", order, "_new", "sum", "island").drop("_bin", "_far", "_new")
 
 
@@ -58,24 +63,32 @@ def merge(iv: DataFrame, keys: list[str] = ["chrom"], gap: int = 0, touch: bool
     return got.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).drop("island")
 
 
-def _two_sets(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Segments with the depths da and db of both sets."""
-    ev = events(a, keys).select(*keys, "pos", F.col("delta").alias("da"), F.lit(0).cast("long").alias("db"))
-    ev = ev.unionByName(events(b, keys).select(*keys, "pos", F.lit(0).cast("long").alias("da"), F.col("delta").alias("db")))
-    ev = ev.groupBy(*keys, "pos").agg(F.sum("da").alias("da"), F.sum("db").alias("db")).withColumn("_bin", _bin("pos", width))
-    ev = running(ev, keys, "_bin", ["pos"], "da", "sum", "depth_a")
-    ev = running(ev, keys, "_bin", ["pos"], "db", "sum", "depth_b")
-    return following(ev, keys, "_bin", "pos", "e").where(F.col("e").isNotNull()).select(*keys, F.col("pos").alias("s"), "e", "depth_a", "depth_b")
+def _two_sets(a: DataFrame, b: DataFrame, keys: list[str], wanted: Column, width: int) -> DataFrame:
+    """(keys, s, e): maximal runs of positions where ``wanted``, a condition on the depths da and db of both sets, holds.
+
+    A position's depths before its own events are the running sums less those events, so each row tells by itself
+    whether the condition turns; runs are what lies between one turn and the next.
+    """
+    zero = F.lit(0).cast("long")
+    both = a.select(*keys, "s", "e", F.lit(1).cast("long").alias("in_a"), zero.alias("in_b")).unionByName(b.select(*keys, "s", "e", zero.alias("in_a"), F.lit(1).cast("long").alias("in_b")))
+    ends = F.array(F.struct(F.col("s").alias("pos"), F.col("in_a").alias("a"), F.col("in_b").alias("b")), F.struct(F.col("e").alias("pos"), (-F.col("in_a")).alias("a"), (-F.col("in_b")).alias("b")))
+    flat = both.where("s < e").select(*keys, F.explode(ends).alias("x")).select(*keys, "x.pos", "x.a", "x.b")
+    ev = flat.groupBy(*keys, "pos").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b")).where("_a <> 0 OR _b <> 0").withColumn("_bin", _bin("pos", width))
+    deep = sweep(ev, keys, "_bin", "pos", {"_a": "_da", "_b": "_db"}, "_e")
+    deep = deep.withColumns({"da": F.col("_da"), "db": F.col("_db")}).withColumn("_on", wanted)
+    deep = deep.withColumns({"da": F.col("_da") - F.col("_a"), "db": F.col("_db") - F.col("_b")}).withColumn("_was", wanted)
+    turns = deep.where("_on <> _was").select(*keys, "pos", "_bin", "_on")
+    return following(turns, keys, "_bin", "pos", "e").where("_on").select(*keys, F.col("pos").alias("s"), "e")
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], width: int = BIN) -> DataFrame:
     """(keys, s, e): maximal runs of positions in a and not in b."""
-    return merge(_two_sets(a, b, keys, width).where("depth_a > 0 AND depth_b = 0"), keys, width=width).drop("n")
+    return _two_sets(a, b, keys, F.expr("da > 0 AND db = 0"), width)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], width: int = BIN) -> DataFrame:
     """(keys, s, e): maximal runs of positions in both a and b."""
-    return merge(_two_sets(a, b, keys, width).where("depth_a > 0 AND depth_b > 0"), keys, width=width).drop("n")
+    return _two_sets(a, b, keys, F.expr("da > 0 AND db > 0"), width)
 
 
 def union(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], width: int = BIN) -> DataFrame:
@@ -116,8 +129,6 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], how: s
     ``where`` is a further condition on a_*, b_* and bp.
     """
     left, right = _prefixed(a, "a", keys), _prefixed(b, "b", keys)
-    if how != "inner":
-        left = left.withColumn("_row", F.monotonically_increasing_id())
     wide_a = left.withColumn("_bin", F.explode(F.sequence(_bin(F.col("a_s") - slack, width), _bin(F.col("a_e") - 1 + slack, width))))
     wide_b = right.withColumn("_bin", F.explode(F.sequence(_bin("b_s", width), _bin(F.col("b_e") - 1, width))))
     first = _bin(F.greatest(F.col("a_s") - slack, F.col("b_s")), width)
@@ -128,37 +139,51 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], how: s
     met = met.drop("_bin")
     if how == "inner":
         return met
-    plain = [F.col(c).alias(c if c in keys else c[2:]) for c in left.columns if c != "_row"]
+    # rows are known by all their columns: equal rows meet the same rows, and no number has to be the same in two evaluations
+    own = met.select(*left.columns).distinct()
+    same = F.lit(True)
+    for c in left.columns:
+        same = same & left[c].eqNullSafe(own[c])
     if how in ("left_semi", "left_anti"):
-        return left.join(met.select("_row").distinct(), "_row", how).select(*plain)
-    extra = [c for c in met.columns if c not in left.columns]
-    return left.join(met.select("_row", *extra), "_row", "left").drop("_row")
+        return left.join(own, same, how).select(*[F.col(c).alias(c if c in keys else c[2:]) for c in left.columns])
+    alone = left.join(own, same, "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
-def nearest(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], tie: str = "id") -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], tie: str = "id", width: int = BIN) -> DataFrame:
     """Each row of a with the nearest row of b by gap (0 if they overlap): a_*, b_*, distance; ties by b's start, then ``tie``.
 
-    Overlaps come from the range join; else the candidates are the last b that ends
-    before and the first b that starts after, found by one ordered pass over both.
+    Overlaps come from the range join; else the candidates are the last b that ends before and the
+    first b that starts after, found by two-level running maxima over both.  Of rows of b with one
+    end, or one start, the first under the tie order stands for all.
     """
-    left = _prefixed(a, "a", keys).withColumn("_row", F.monotonically_increasing_id())
-    b_cols = [F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]
-    one = F.struct(*b_cols)
-    marks = left.select(*keys, F.col("a_s").alias("p"), F.lit(1).alias("kind"), "_row", F.lit(None).cast(b.select(one.alias("x")).schema["x"].dataType).alias("x"))
-    by_end = b.select(*keys, F.col("e").alias("p"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_row"), one.alias("x"))
-    back = W.partitionBy(*keys).orderBy("p", "kind", F.col("x.b_s").desc(), F.col(f"x.b_{tie}").desc())
-    before = marks.unionByName(by_end).withColumn("x", F.last("x", True).over(back.rowsBetween(W.unboundedPreceding, 0))).where("kind = 1 AND x IS NOT NULL").select("_row", "x")
-    ends = left.select(*keys, F.col("a_e").alias("p"), F.lit(0).alias("kind"), "_row", F.lit(None).cast(before.schema["x"].dataType).alias("x"))
-    by_start = b.select(*keys, F.col("s").alias("p"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("_row"), one.alias("x"))
-    fore = W.partitionBy(*keys).orderBy("p", "kind", F.col(f"x.b_{tie}"))
-    after = ends.unionByName(by_start).withColumn("x", F.first("x", True).over(fore.rowsBetween(0, W.unboundedFollowing))).where("kind = 0 AND x IS NOT NULL").select("_row", "x")
-    met = overlap_join(left.select(*keys, F.col("a_s").alias("s"), F.col("a_e").alias("e"), F.col("_row").alias("row")), b, keys)
-    met = met.select(F.col("a_row").alias("_row"), F.struct(*[F.col(f"b_{c}") for c in b.columns if c not in keys]).alias("x"))
-    found = left.join(before.unionByName(after).unionByName(met), "_row")
+    b_cols = [c for c in b.columns if c not in keys]
+    one = F.struct(*[F.col(c).alias(f"b_{c}") for c in b_cols])
+    spots = a.select(*keys, F.col("s").alias("a_s"), F.col("e").alias("a_e")).distinct()
+    kind = b.select(one.alias("x")).schema["x"].dataType
+
+    def last(own: Column, other: DataFrame) -> DataFrame:
+        """Spots with the row of ``other`` (keys, p, x) that has the greatest p not beyond ``own``."""
+        marks = spots.select(*keys, own.alias("p"), F.lit(1).alias("kind"), "a_s", "a_e", F.lit(None).cast(f"struct<p:bigint,x:{kind.simpleString()}>").alias("c"))
+        seen = other.select(*keys, F.col("p").cast("long").alias("p"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a_s"), F.lit(None).cast("long").alias("a_e"), F.struct(F.col("p").cast("long").alias("p"), "x").alias("c"))
+        rows = marks.unionByName(seen).withColumn("_bin", _bin("p", width))
+        return running(rows, keys, "_bin", ["p", "kind"], "c", "max", "best").where("kind = 1 AND best IS NOT NULL").select(*keys, "a_s", "a_e", F.col("best.x").alias("x"))
+
+    first = F.min(F.struct(F.col("s").alias("k1"), F.col(tie).alias("k2"), one.alias("x")))
+    before = last(F.col("a_s"), b.groupBy(*keys, F.col("e").alias("p")).agg(first.alias("m")).select(*keys, "p", "m.x"))
+    after = last(-F.col("a_e"), b.groupBy(*keys, (-F.col("s")).alias("p")).agg(first.alias("m")).select(*keys, "p", "m.x"))
+    met = overlap_join(spots.select(*keys, F.col("a_s").alias("s"), F.col("a_e").alias("e")), b, keys, width=width).select(*keys, "a_s", "a_e", one_of("b", b_cols).alias("x"))
+    found = before.unionByName(after).unionByName(met)
     distance = F.greatest(F.col("x.b_s") - F.col("a_e") + 1, F.col("a_s") - F.col("x.b_e") + 1, F.lit(0))
     distance = F.when((F.col("a_s") < F.col("x.b_e")) & (F.col("x.b_s") < F.col("a_e")), F.lit(0)).otherwise(distance)
-    best = found.withColumn("distance", distance).groupBy("_row").agg(F.min(F.struct("distance", F.col("x.b_s").alias("k1"), F.col(f"x.b_{tie}").alias("k2"), "x")).alias("m"))
-    return left.join(best, "_row", "left").select(*[c for c in left.columns if c != "_row"], "m.x.*", F.col("m.distance").alias("distance"))
+    best = found.groupBy(*keys, "a_s", "a_e").agg(F.min(F.struct(distance.alias("distance"), F.col("x.b_s").alias("k1"), F.col(f"x.b_{tie}").alias("k2"), "x")).alias("m"))
+    left = _prefixed(a, "a", keys)
+    return left.join(best, [*keys, "a_s", "a_e"], "left").select(*left.columns, *[F.col(f"m.x.b_{c}").alias(f"b_{c}") for c in b_cols], F.col("m.distance").alias("distance"))
+
+
+def one_of(side: str, columns: list[str]) -> Column:
+    """The columns of one side of a join as a struct."""
+    return F.struct(*[F.col(f"{side}_{c}") for c in columns])
 
 
 def cogroup_loci(sets: dict[str, DataFrame], gap: int = 0, touch: bool = False, width: int = BIN) -> DataFrame:

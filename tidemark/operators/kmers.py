@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import seq
 
 
+#: Letters of a sequence that one row of the k-mer pass holds (with the k - 1 that follow).
+PIECE = 1 << 16
+
+
 def count(reads: DataFrame, seq_col: str, k: int, both_strands: bool = False, keys: list[str] = []) -> DataFrame:
-    """(keys, kmer, n); with both strands every occurrence also counts its reverse complement."""
-    flat = reads.select(*keys, F.explode(seq.kmers(seq_col, k)).alias("kmer"))
+    """(keys, kmer, n); with both strands every occurrence also counts its reverse complement.
+
+    Long sequences are cut into overlapping pieces first, so that no row holds all k-mers of a chromosome.
+    """
+    pieces = reads.select(*keys, F.explode(seq.overlapping(seq_col, PIECE, k - 1)).alias("piece"))
+    flat = pieces.select(*keys, F.explode(seq.kmers("piece", k)).alias("kmer"))
     by = flat.groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
     if both_strands:  # fold first, turn the distinct ones only
-        by = by.unionByName(by.withColumn("kmer", seq.reverse_complement("kmer"))).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+        turned = by.select(*keys, F.explode(F.array("kmer", seq.reverse_complement("kmer"))).alias("kmer"), "n")
+        by = turned.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
     return by
 
 

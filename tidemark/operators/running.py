@@ -26,9 +26,21 @@ def running(df: DataFrame, keys: list[str], bin_col: str, order: list[str | Colu
     return df.withColumn("_own", agg(value).over(within)).join(carry, [*keys, bin_col]).withColumn(out, merged).drop("_own", "_carry")
 
 
+def sweep(df: DataFrame, keys: list[str], bin_col: str, pos: str, sums: dict[str, str], ahead: str) -> DataFrame:
+    """Running sums of several columns and the next row's ``pos`` (as ``ahead``) at once, with one carry table.
+
+    ``sums`` names the running sum of each column; ``pos`` is unique within the keys and bins follow it.
+    """
+    own = W.partitionBy(*keys, bin_col).orderBy(pos)
+    bins = W.partitionBy(*keys).orderBy(bin_col)
+    before = bins.rowsBetween(W.unboundedPreceding, -1)
+    carry = df.groupBy(*keys, bin_col).agg(F.min(pos).alias("_first"), *(F.sum(v).alias(f"_t_{out}") for v, out in sums.items()))
+    carry = carry.select(*keys, bin_col, F.lead("_first").over(bins).alias("_ahead"), *(F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_c_{out}") for out in sums.values()))
+    rows = df.join(carry, [*keys, bin_col])
+    cols = {out: F.sum(v).over(own.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"_c_{out}") for v, out in sums.items()}
+    return rows.withColumns(cols | {ahead: F.coalesce(F.lead(pos).over(own), F.col("_ahead"))}).drop("_ahead", *(f"_c_{out}" for out in sums.values()))
+
+
 def following(df: DataFrame, keys: list[str], bin_col: str, order: str, out: str) -> DataFrame:
     """``out``: the value of ``order`` in the next row of the keys, across bins."""
-    within = F.lead(order).over(W.partitionBy(*keys, bin_col).orderBy(order))
-    first = df.groupBy(*keys, bin_col).agg(F.min(order).alias("_first"))
-    ahead = first.withColumn("_ahead", F.lead("_first").over(W.partitionBy(*keys).orderBy(bin_col))).drop("_first")
-    return df.withColumn("_next", within).join(ahead, [*keys, bin_col]).withColumn(out, F.coalesce("_next", "_ahead")).drop("_next", "_ahead")
+    return sweep(df, keys, bin_col, order, {}, out)

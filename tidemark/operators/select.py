@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import kept
+
 
 def best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group under ``order`` (end it with a unique column, so ties are settled).
 
-    A min over a struct, so each task sends one row a group: hot groups cost no more than others.
+    Spark cuts the groups to their first row before the shuffle: each task sends one row a group, hot or not.
     """
     return top(df, keys, order, 1)
 
@@ -58,13 +60,25 @@ def modulo(df: DataFrame, order: list[str], n: int, k: int) -> DataFrame:
     return ordinal(df, order, "_ord").where(F.col("_ord") % n == k).drop("_ord")
 
 
+def running_total(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Running totals (``sums``: expression to name) over all rows under ``order``, which must be unique.
+
+    The rows are dealt into ranges once and written, so that the ranges' totals and the rows come from the
+    same partitions, also when a task is run again; one row a range is then summed up.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    own = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy("_part").agg(*(F.sum(F.expr(v)).alias(f"_t_{out}") for v, out in sums.items()))
+    before = before.select("_part", *(F.coalesce(F.sum(f"_t_{out}").over(ahead), F.lit(0)).alias(f"_c_{out}") for out in sums.values()))
+    rows = rows.join(F.broadcast(before), "_part")  # one row a partition
+    return rows.withColumns({out: F.sum(F.expr(v)).over(own) + F.col(f"_c_{out}") for v, out in sums.items()}).drop("_part", *(f"_c_{out}" for out in sums.values()))
+
+
 def ordinal(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``out``: each row's number from 0 under ``order`` (which must be unique)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    before = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + within).drop("_part", "_before")
+    return running_total(df, order, {"1": out}).withColumn(out, F.col(out) - 1)
 
 
 def exact_sample(df: DataFrame, n: int, key: list[str], seed: int = 1) -> DataFrame:
@@ -91,7 +105,7 @@ def rename_duplicates(df: DataFrame, name: str, order: list[Column], out: str, s
     return df.withColumn(out, F.when(n > 1, F.concat(F.col(name), mark)).otherwise(F.col(name)))
 
 
-def overrepresented(df: DataFrame, text: str, size: int, share: float, rounds: int = 100) -> DataFrame:
+def overrepresented(df: DataFrame, text: str, size: int, share: float) -> DataFrame:
     """Prefixes of ``size`` letters that are taken out: again and again those above ``share`` of what is left.
 
     (prefix, n, round); prefixes are counted once, and each round works on the table of counts.
@@ -101,7 +115,9 @@ def overrepresented(df: DataFrame, text: str, size: int, share: float, rounds: i
     total = left.agg(F.sum("n")).first()[0] or 0
     bound = int(1 / share) + 1
     out: list[tuple] = []
-    for r in range(rounds):
+    r = -1
+    while True:
+        r += 1
         gone = [p for p, _, _ in out]
         rest = left.where(~F.col("prefix").isin(gone)) if gone else left
         heads = rest.where(F.col("n") > F.lit(share) * total).orderBy(F.desc("n"), "prefix").limit(bound).collect()

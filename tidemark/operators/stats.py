@@ -34,10 +34,11 @@ def running_mean_sd(df: DataFrame, keys: list[str], order: list[str], value: str
 
 
 def window_scores(df: DataFrame, keys: list[str], order: str, count: str, k: int, digits: int = 4) -> DataFrame:
-    """Mean and median of 1/count (1e7 for 0) over each full window of ``k`` rows."""
+    """Mean, median and geometric mean of 1/count over each full window of ``k`` rows; a count of 0 is taken as 10,000,000."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(-(k - 1), 0)
-    inv = F.when(F.col(count) == 0, F.lit(1e7)).otherwise(1 / F.col(count))
-    out = df.withColumn("_inv", inv).withColumn("_n", F.count("*").over(w)).withColumn("mean_score", F.round(F.avg("_inv").over(w), digits)).withColumn("_xs", F.collect_list("_inv").over(w))
+    inv = 1 / F.when(F.col(count) == 0, F.lit(1e7)).otherwise(F.col(count))
+    out = df.withColumn("_inv", inv).withColumn("_n", F.count("*").over(w)).withColumn("_xs", F.collect_list("_inv").over(w))
+    out = out.withColumns({"mean_score": F.round(F.avg("_inv").over(w), digits), "geometric_score": F.round(F.pow(F.lit(10.0), F.avg(F.log10("_inv")).over(w)), digits)})
     xs, half = F.sort_array("_xs"), k // 2
     middle = xs[half] if k % 2 else (xs[half - 1] + xs[half]) / 2
     return out.where(F.col("_n") == k).withColumn("median_score", F.round(middle, digits)).drop("_inv", "_n", "_xs")
@@ -79,34 +80,53 @@ def percentile_table(df: DataFrame, value: str, percents: list[int], keys: list[
 
 
 def poisson_threshold(rate: float, prob: float) -> int:
-    """Least k with P(X <= k) >= prob, exact."""
+    """Least k with P(X <= k) >= prob; the terms are taken from their logarithms, so large rates do not vanish."""
     import math
 
-    k, p = 0, math.exp(-rate)
-    total = p
-    while total < prob and k < 10_000:
+    if rate <= 0 or prob <= 0:
+        return 0
+    if prob >= 1:
+        raise ValueError("no k has the probability 1")
+    k = max(0, int(rate - 40 * math.sqrt(rate) - 40))  # less than 1e-300 lies below
+    total = 0.0
+    while True:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total >= prob or k > rate and total + 1e-15 >= 1:
+            return k
         k += 1
-        p *= rate / k
-        total += p
-    return k
 
 
 def rarefaction(df: DataFrame, unit: str, group: str, depths: list[int], trials: int, least: int = 1) -> DataFrame:
     """(depth, mean_found): groups with at least ``least`` units among the first ``depth`` of each hash-ordered trial, averaged.
 
-    A trial orders units by md5(unit|trial); a unit's rank within the trial decides all depths at once.
+    A trial orders units by md5(unit|trial); a unit's rank within the trial decides all depths at once.  All trials are
+    ranged and numbered together, so no task holds a whole trial.
     """
+    from .select import ordinal
+
     tries = df.select(unit, group).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    key = F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.col("trial").cast("string")))
-    ranked = tries.withColumn("_rank", F.row_number().over(W.partitionBy("trial").orderBy(key, unit)))
+    tries = tries.withColumn("_key", F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.col("trial").cast("string"))))
+    numbered = ordinal(tries, ["trial", "_key", unit, group], "_ord")
+    first = numbered.groupBy("trial").agg(F.min("_ord").alias("_first"))
+    ranked = numbered.join(F.broadcast(first), "trial").withColumn("_rank", F.col("_ord") - F.col("_first") + 1)  # one row a trial
     # the rank at which a group reaches the least count
-    reach = ranked.withColumn("_k", F.row_number().over(W.partitionBy("trial", group).orderBy("_rank"))).where(F.col("_k") == least).select("trial", "_rank")
+    by = W.partitionBy("trial", group).orderBy("_rank")
+    reach = ranked.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= least).where(F.col("_k") == least).select("trial", "_rank")
     at = reach.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))).where("_rank <= depth")
     every = df.sparkSession.createDataFrame([(d,) for d in depths], "depth int")
     found = at.groupBy("depth").agg(F.count("*").alias("_n"))
     return every.join(F.broadcast(found), "depth", "left").select("depth", F.round(F.coalesce("_n", F.lit(0)) / trials, 6).alias("mean_found"))
 
 
+def low_quality_shares(reads: DataFrame, qual: str, levels: list[int], least: list[int]) -> DataFrame:
+    """(quality, least, share): share of the reads with at least ``least`` characters of a code at most ``quality``."""
+    from ..functions import quality
+
+    counts = F.array(*(F.struct(F.lit(q).alias("quality"), quality.low_count(qual, q).alias("n")) for q in levels))
+    pairs = reads.select(F.explode(counts).alias("x")).select("x.*").withColumn("least", F.explode(F.array(*[F.lit(k) for k in least])))
+    return pairs.groupBy("quality", "least").agg(F.round(F.count_if(F.col("n") >= F.col("least")) / F.count("*"), 6).alias("share"))
+
+
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """(observed, expected, variance, chi2) of group 1 against group 0 over the distinct event times."""
     by = df.groupBy(time).agg(F.count("*").alias("n"), F.sum(F.col(group)).alias("n1"), F.sum(F.col(event)).alias("d"), F.sum(F.col(event) * F.col(group)).alias("d1"))

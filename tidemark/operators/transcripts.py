@@ -95,8 +95,8 @@ def longest_run(flags: Column) -> Column:
     return F.array_max(F.transform(F.split(flags, "0"), lambda r: F.length(r)))
 
 
-def from_intervals(rows: DataFrame, keys: list[str], gap: int = 0, width: int = iv.BIN) -> DataFrame:
-    """(keys, exons): intervals merged and gathered in order."""
+def from_intervals(rows: DataFrame, keys: list[str], gap: int = 0, width: int = 0) -> DataFrame:
+    """(keys, exons): intervals merged and gathered in order; ``width`` is for keys with very many intervals."""
     merged = iv.merge(rows, keys, gap=gap, width=width)
     return merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("exons"))
 

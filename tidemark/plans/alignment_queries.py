@@ -47,7 +47,7 @@ def consensus(spark, d):
 
 
 def clusters(spark, d):
-    return nonredundant.clustered(tx(spark, d).where("id % 4 = 0"), "any", width=WIDTH)
+    return nonredundant.clustered(tx(spark, d), "any", width=WIDTH)
 
 
 def votes(spark, d):
@@ -72,7 +72,7 @@ QUERIES = {
     "junction_support_filter": (supported, f"WITH {_SAM}, j AS (SELECT * FROM jn WHERE left_size >= 8 AND right_size >= 8), g AS (SELECT chrom, l, r FROM j GROUP BY 1, 2, 3 HAVING count(DISTINCT qname) >= 3), k AS (SELECT DISTINCT qname FROM j JOIN g USING (chrom, l, r)) SELECT DISTINCT qname, chrom AS rname, (p0 + 1)::INTEGER AS pos FROM sam SEMI JOIN k USING (qname)"),
     "alignment_blocks": (sam_blocks, f"WITH {_SAM} SELECT qname AS qName, p0::BIGINT AS tStart, (p0 + a + gap + b)::BIGINT AS tEnd, CASE WHEN minus THEN '-' ELSE '+' END AS strand, 2::BIGINT AS n, (a + b)::BIGINT AS bp, round(1 - CASE WHEN gap < 68 THEN gap ELSE 0 END / (a + b), 6) AS quality, true AS valid FROM sam"),
     "nonredundant_transcripts": (consensus, None),
-    "transcript_clusters": (clusters, f"""WITH RECURSIVE {TX_EXONS}, x AS (SELECT * FROM ex WHERE id % 4 = 0), p AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e AND a.id <> b.id),
+    "transcript_clusters": (clusters, f"""WITH RECURSIVE {TX_EXONS}, x AS (SELECT * FROM ex), p AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e AND a.id <> b.id),
  c AS (SELECT DISTINCT id, id AS r FROM x UNION SELECT p.b, c.r FROM c JOIN p ON p.a = c.id) SELECT id, min(r) AS component FROM c GROUP BY id"""),
     "weighted_votes": (votes, "SELECT id, pos, base, weight FROM (SELECT *, row_number() OVER (PARTITION BY id, pos ORDER BY weight DESC, base) AS k FROM (SELECT l_partkey AS id, l_linenumber AS pos, l_returnflag AS base, sum(l_quantity::BIGINT)::BIGINT AS weight FROM lineitem GROUP BY 1, 2, 3)) WHERE k = 1"),
     "tiered_read_set": (read_tiers, """WITH o AS (SELECT o_custkey AS m, o_orderkey::VARCHAR AS name, o_totalprice AS n, o_orderstatus AS s FROM orders), p AS (SELECT m, name FROM o WHERE s = 'P'),

@@ -106,7 +106,7 @@ def overlap_left(spark, d):
 
 def nearest(spark, d):
     a, b = _sets(spark, d)
-    return iv.nearest(a.where("id % 7 = 3").select("chrom", "s", "e", "id").distinct(), b.select("chrom", "s", "e", "id")).select("a_id", "b_id", F.col("distance").cast("long"))
+    return iv.nearest(a.select("chrom", "s", "e", "id").distinct(), b.select("chrom", "s", "e", "id"), width=WIDTH).select("a_id", "b_id", F.col("distance").cast("long"))
 
 
 def cogroup(spark, d):
@@ -149,7 +149,7 @@ def annotate(spark, d):
 
 
 def compatible(spark, d):
-    t = tx(spark, d).where("size(exons) = 2")
+    t = tx(spark, d)
     return tr.compatible(t.where("id % 2 = 0"), t.where("id % 2 = 1"), 40)
 
 
@@ -180,24 +180,24 @@ def correct_junctions(spark, d):
     rows = ivs(spark, d, "l_partkey")
     long = rows.where("strand = 'O'").select("id", "chrom", F.col("s").alias("l"), F.col("e").alias("r"))
     short = rows.where("strand = 'F'").groupBy("chrom", F.col("s").alias("l"), F.col("e").alias("r")).agg(F.count("*").alias("n"))
-    return tr.correct_junctions(long.where("id % 3 = 0"), short, 60)
+    return tr.correct_junctions(long, short, 60)
 
 
 def unsupported(spark, d):
     t = tx(spark, d)
-    snapped = F.transform("exons", lambda x: F.struct(F.floor(x["s"] / 1000).alias("s"), F.floor(x["e"] / 1000).alias("e")))
+    snapped = F.transform("exons", lambda x: F.struct(F.floor(x["s"] / 150).alias("s"), F.floor(x["e"] / 150).alias("e")))
     t = t.select("id", F.pmod("id", F.lit(2)).alias("chrom"), snapped.alias("exons"))
     return tr.unsupported_pairs(t.where("id % 10 > 1"), t.where("id % 10 <= 1")).select("id", "l1", "r1", "l2", "r2")
 
 
 def components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 12 = 0")
+    o = table(spark, d, "orders")
     return graph.connected_components(o.select(F.col("o_custkey").alias("a"), (F.pmod("o_custkey", F.lit(37)) + F.col("o_orderkey") % 11 + 1000000).alias("b")))
 
 
 def roots(spark, d):
     o = table(spark, d, "orders")
-    return graph.roots(o.select(F.col("o_custkey").alias("a"), F.floor(F.col("o_orderkey") / 7).alias("b")))
+    return graph.roots(o.select(F.col("o_custkey").alias("a"), (2 * F.floor(F.col("o_orderkey") / 7)).alias("b")))
 
 
 _OVER = "a.chrom = b.chrom AND a.s < b.e AND b.s < a.e"
@@ -230,7 +230,7 @@ QUERIES = {
     "overlap_semi": (overlap_how("left_semi"), f"WITH {_AB} SELECT id, s, e FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_OVER})"),
     "overlap_anti": (overlap_how("left_anti", 15), f"WITH {_AB} SELECT id, s, e FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.s - 15 < b.e AND b.s < a.e + 15)"),
     "overlap_left_outer": (overlap_left, f"WITH {_AB} SELECT a.id AS a_id, count(b.id) AS n, coalesce(sum({_BP}) FILTER (b.id IS NOT NULL), 0)::BIGINT AS bp FROM a LEFT JOIN b ON {_OVER} GROUP BY a.id"),
-    "nearest_interval": (nearest, f"""WITH {_AB}, q AS (SELECT DISTINCT chrom, s, e, id FROM a WHERE id % 7 = 3), m AS (SELECT q.id AS a_id, q.chrom, q.s, q.e, b.id AS b_id, b.s AS bs,
+    "nearest_interval": (nearest, f"""WITH {_AB}, q AS (SELECT DISTINCT chrom, s, e, id FROM a), m AS (SELECT q.id AS a_id, q.chrom, q.s, q.e, b.id AS b_id, b.s AS bs,
  CASE WHEN q.s < b.e AND b.s < q.e THEN 0 WHEN b.s >= q.e THEN b.s - q.e + 1 ELSE q.s - b.e + 1 END AS distance FROM q LEFT JOIN b ON q.chrom = b.chrom)
  SELECT a_id, b_id, distance::BIGINT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a_id, chrom, s, e ORDER BY distance, bs, b_id) AS k FROM m) WHERE k = 1"""),
     "multiway_locus_cogroup": (cogroup, f"""WITH {iv_sql('l_partkey')}, fl AS (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY chrom ORDER BY s, e, strand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM iv),
@@ -262,8 +262,8 @@ QUERIES = {
  s AS (SELECT a_id, b_id, bp, max(n) FILTER (hit) AS consecutive, sum(n) FILTER (hit) AS n_match FROM rl GROUP BY 1, 2, 3),
  f AS (SELECT s.*, x.n = y.n AND n_match = x.n AS "full" FROM s JOIN na x ON x.id = s.a_id JOIN na y ON y.id = s.b_id)
  SELECT a_id, b_id, bp::BIGINT AS bp, consecutive::BIGINT AS consecutive, n_match::BIGINT AS n_match, "full" FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY "full" DESC, consecutive DESC, n_match DESC, bp DESC, b_id) AS k FROM f) WHERE k = 1"""),
-    "compatible_junction_join": (compatible, f"""WITH {TX_EXONS}, {_JUNC.format(t='ex')}, two AS (SELECT * FROM jn WHERE nx = 2)
- SELECT a.id AS a_id, b.id AS b_id FROM two a JOIN two b ON a.chrom = b.chrom AND a.id % 2 = 0 AND b.id % 2 = 1 AND abs(a.l - b.l) <= 40 AND abs(a.r - b.r) <= 40"""),
+    "compatible_junction_join": (compatible, f"""WITH {TX_EXONS}, {_JUNC.format(t='ex')}, ju AS (SELECT * FROM jn)
+ SELECT a.id AS a_id, b.id AS b_id FROM ju a JOIN ju b ON a.chrom = b.chrom AND a.nx = b.nx AND a.i = b.i AND a.id % 2 = 0 AND b.id % 2 = 1 AND abs(a.l - b.l) <= 40 AND abs(a.r - b.r) <= 40 GROUP BY 1, 2 HAVING count(*) = max(a.nx) - 1"""),
     "merge_isoforms": (merge_isoforms, f"""WITH {TX_EXONS}, sn AS (SELECT id, chrom % 3 AS chrom, s AS o, floor(s / 500)::BIGINT AS s, floor(e / 500)::BIGINT + 1 AS e FROM ex), j AS (SELECT *, lead(s) OVER (PARTITION BY id ORDER BY o) AS nx FROM sn),
  t AS (SELECT id, chrom, string_agg(chrom || ':' || e || '-' || nx, ',' ORDER BY o) FILTER (nx IS NOT NULL) AS junctions, arg_min(s, o) AS s, arg_max(e, o) AS e FROM j GROUP BY 1, 2)
  SELECT chrom, junctions, min(s) AS s, max(e) AS e, count(*) AS n FROM t WHERE junctions IS NOT NULL GROUP BY 1, 2"""),
@@ -271,12 +271,12 @@ QUERIES = {
     "consensus_mode": (consensus, f"""WITH {iv_sql('l_partkey')}, m AS (SELECT chrom AS grp, w AS j, floor(s / 300)::BIGINT AS l, floor(e / 300)::BIGINT AS r FROM iv),
  a AS (SELECT grp, j, l, row_number() OVER (PARTITION BY grp, j ORDER BY count(*) DESC, l) AS k FROM m GROUP BY 1, 2, 3), b AS (SELECT grp, j, r, row_number() OVER (PARTITION BY grp, j ORDER BY count(*) DESC, r) AS k FROM m GROUP BY 1, 2, 3)
  SELECT a.grp, a.j, a.l, b.r FROM a JOIN b USING (grp, j) WHERE a.k = 1 AND b.k = 1"""),
-    "correct_junctions": (correct_junctions, f"""WITH {iv_sql('l_partkey')}, a AS (SELECT id, chrom, s AS l, e AS r FROM iv WHERE strand = 'O' AND id % 3 = 0), b AS (SELECT chrom, s AS nl, e AS nr, count(*) AS n FROM iv WHERE strand = 'F' GROUP BY 1, 2, 3),
+    "correct_junctions": (correct_junctions, f"""WITH {iv_sql('l_partkey')}, a AS (SELECT id, chrom, s AS l, e AS r FROM iv WHERE strand = 'O'), b AS (SELECT chrom, s AS nl, e AS nr, count(*) AS n FROM iv WHERE strand = 'F' GROUP BY 1, 2, 3),
  m AS (SELECT DISTINCT a.*, nl, nr, n, abs(l - nl) + abs(r - nr) AS o FROM a LEFT JOIN b ON a.chrom = b.chrom AND abs(l - nl) <= 60 AND abs(r - nr) <= 60), k AS (SELECT *, row_number() OVER (PARTITION BY id, chrom, l, r ORDER BY n DESC, o, nl, nr) AS k FROM m),
  u AS (SELECT id, chrom, l, r FROM a) SELECT u.id, u.chrom, u.l, u.r, k.nl, k.nr FROM u JOIN k USING (id, chrom, l, r) WHERE k.k = 1"""),
-    "unsupported_junction_pairs": (unsupported, f"""WITH {TX_EXONS}, sx AS (SELECT id, id % 2 AS chrom, floor(s / 1000)::BIGINT AS s, floor(e / 1000)::BIGINT AS e, s AS o FROM ex), jx AS (SELECT *, lead(s) OVER w AS r1, lead(e) OVER w AS l2, lead(s, 2) OVER w AS r2 FROM sx WINDOW w AS (PARTITION BY id ORDER BY o)),
+    "unsupported_junction_pairs": (unsupported, f"""WITH {TX_EXONS}, sx AS (SELECT id, id % 2 AS chrom, floor(s / 150)::BIGINT AS s, floor(e / 150)::BIGINT AS e, s AS o FROM ex), jx AS (SELECT *, lead(s) OVER w AS r1, lead(e) OVER w AS l2, lead(s, 2) OVER w AS r2 FROM sx WINDOW w AS (PARTITION BY id ORDER BY o)),
  p AS (SELECT id, chrom, e AS l1, r1, l2, r2 FROM jx WHERE r2 IS NOT NULL) SELECT DISTINCT id, l1, r1, l2, r2 FROM p a WHERE id % 10 > 1 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.id % 10 <= 1 AND (a.chrom, a.l1, a.r1, a.l2, a.r2) = (b.chrom, b.l1, b.r1, b.l2, b.r2))"""),
-    "connected_components": (components, """WITH RECURSIVE e0 AS (SELECT o_custkey AS a, o_custkey % 37 + o_orderkey % 11 + 1000000 AS b FROM orders WHERE o_orderkey % 12 = 0), e AS MATERIALIZED (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+    "connected_components": (components, """WITH RECURSIVE e0 AS (SELECT o_custkey AS a, o_custkey % 37 + o_orderkey % 11 + 1000000 AS b FROM orders), e AS MATERIALIZED (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
  c AS (SELECT a AS id, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.id) SELECT id, min(r) AS component FROM c GROUP BY id"""),
-    "graph_roots": (roots, "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT floor(o_orderkey / 7)::BIGINT FROM orders)"),
+    "graph_roots": (roots, "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT 2 * floor(o_orderkey / 7)::BIGINT FROM orders)"),
 }

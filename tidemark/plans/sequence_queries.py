@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import align, cigar, quality, seq
 from ..operators import coverage as cov
 from ..operators import kmers, simulate, stats
-from .views import DNA, QUAL, dna, qual, table
+from .views import DNA, QUAL, QUAL_CODES, dna, qual, table
 
 _TURN = "reverse(translate({s}, 'ACTGUNXactgunx', 'TGACANXtgacanx'))"
 
@@ -31,7 +31,7 @@ def homopolymer(spark, d):
 
 
 def runs(spark, d):
-    r = dna(spark, d).select("doc_id", F.explode(seq.homopolymer_runs(F.substring("seq", 1, 300))).alias("r"))
+    r = dna(spark, d).select("doc_id", F.explode(seq.homopolymer_runs("seq")).alias("r"))
     return r.groupBy(F.col("r.length").cast("long").alias("length")).agg(F.count("*").alias("n"), F.sum("r.position").alias("positions"))
 
 
@@ -41,11 +41,11 @@ def tiles(spark, d):
 
 def trims(spark, d):
     s = dna(spark, d)
-    return s.select("doc_id", seq.trim(F.substring("seq", 1, 60), 50, "left").alias("l"), seq.trim(F.substring("seq", 1, 60), 50, "right").alias("r"), seq.pad_to(F.substring("seq", 1, 40), 45).alias("p"), seq.extend(F.substring("seq", 1, 5), 3).alias("x"), seq.slice_of("seq", F.lit(3), F.lit(9), F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+")).alias("s"))
+    return s.select("doc_id", seq.trim("seq", 50, "left").alias("l"), seq.trim("seq", 50, "right").alias("r"), seq.pad_to("seq", 450).alias("p"), seq.extend("seq", 3).alias("x"), seq.slice_of("seq", F.lit(3), F.lit(9), F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+")).alias("s"))
 
 
 def bwt(spark, d):
-    return dna(spark, d).select("doc_id", seq.burrows_wheeler(F.substring("seq", 1, 30)).alias("bwt"))
+    return table(spark, d, "part").select("p_partkey", seq.burrows_wheeler("p_name").alias("bwt"))
 
 
 def kmer_count(spark, d):
@@ -75,12 +75,20 @@ def low_quality(spark, d):
 
 def encoding(spark, d):
     c = quality.codes("qual")
-    by = qual(spark, d).where("length(qual) > 0").select(F.pmod("doc_id", F.lit(50)).alias("lane"), F.array_min(c).alias("lo"), F.array_max(c).alias("hi")).groupBy("lane").agg(F.min("lo").cast("long").alias("lo"), F.max("hi").cast("long").alias("hi"))
-    return by.select("lane", "lo", "hi", F.concat_ws(",", quality.encodings(F.col("lo"), F.col("hi"))).alias("names"))
+    by = qual(spark, d).where("length(qual) > 0").select("doc_id", F.array_min(c).cast("long").alias("lo"), F.array_max(c).cast("long").alias("hi"))
+    return by.select("doc_id", "lo", "hi", F.concat_ws(",", quality.encodings(F.col("lo"), F.col("hi"))).alias("names"))
+
+
+def encoding_by_counts(spark, d):
+    return quality.called(qual(spark, d), "qual", ["doc_id"])
+
+
+def reads_with_low(spark, d):
+    return stats.low_quality_shares(qual(spark, d), "qual", [35, 45, 60, 75], [1, 5, 20])
 
 
 def quality_by_position(spark, d):
-    return stats.percentile_table(qual(spark, d).select(F.posexplode(quality.codes("qual")).alias("position", "code")).where("position < 50").select(F.col("position").cast("long"), F.col("code").cast("long")), "code", [0, 5, 25, 50, 75, 95, 100], ["position"])
+    return stats.percentile_table(qual(spark, d).select(F.posexplode(quality.codes("qual")).alias("position", "code")).select(F.col("position").cast("long"), F.col("code").cast("long")), "code", [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100], ["position"])
 
 
 def quality_profile(spark, d):
@@ -124,23 +132,23 @@ def emitted(spark, d):
 
 
 _DOCS = f"WITH {DNA}"
-_KM = "km AS (SELECT doc_id, substr(seq, i::BIGINT, {k}) AS kmer FROM dna, range(1, 100000) r(i) WHERE i <= length(seq) - {k} + 1)"
+_KM = "km AS (SELECT doc_id, substr(seq, i::BIGINT, {k}) AS kmer FROM dna, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) r(i))"
 _COMP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({s}, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')"
 
 QUERIES = {
     "reverse_complement": (revcomp, f"{_DOCS} SELECT doc_id, {_TURN.format(s='seq')} AS rc FROM dna"),
     "gc_content": (gc, f"{_DOCS} SELECT doc_id, CASE WHEN length(seq) > 0 THEN round((length(seq) - length(translate(seq, 'GC', ''))) / length(seq), 6) END AS gc, 0::BIGINT AS n, length(seq) AS length FROM dna"),
-    "gc_bins": (gc_bins, f"""{_DOCS}, t AS (SELECT doc_id, substr(seq, i::BIGINT * 100 + 1, 100) AS p FROM dna, range(0, 2000) r(i) WHERE i * 100 < length(seq))
+    "gc_bins": (gc_bins, f"""{_DOCS}, t AS (SELECT doc_id, substr(seq, i::BIGINT * 100 + 1, 100) AS p FROM dna, unnest(range(0, (length(seq) + 99) // 100)) r(i))
  SELECT least(floor((length(p) - length(translate(p, 'GC', ''))) / length(p) * 20), 19)::BIGINT AS bin, doc_id % 4 AS depth, sum(length(p))::BIGINT AS bases FROM t GROUP BY 1, 2"""),
     "homopolymer_compress": (homopolymer, f"{_DOCS}, c AS (SELECT doc_id, {_COMP.format(s='seq')} AS c FROM dna) SELECT doc_id, md5(c) AS compressed, length(c) AS n, length(c) >= 40 AS usable FROM c"),
-    "homopolymer_runs": (runs, f"""{_DOCS}, c AS (SELECT doc_id, unnest(range(1, length(s) + 1)) AS i, s FROM (SELECT doc_id, substr(seq, 1, 300) AS s FROM dna)),
- b AS (SELECT doc_id, i, substr(s, i, 1) AS c, CASE WHEN i > 1 AND substr(s, i, 1) = substr(s, i - 1, 1) THEN 0 ELSE 1 END AS f FROM c), r AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b),
+    "homopolymer_runs": (runs, f"""{_DOCS}, c AS (SELECT doc_id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS i FROM dna WHERE length(seq) > 0),
+ b AS (SELECT doc_id, i, CASE WHEN c = lag(c) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS f FROM c), r AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b),
  n AS (SELECT doc_id, k, count(*) AS length FROM r GROUP BY 1, 2) SELECT length, count(*) AS n, sum(k - 1)::BIGINT AS positions FROM n WHERE length > 1 GROUP BY 1"""),
-    "tile_sequences": (tiles, f"{_DOCS} SELECT doc_id || '_' || i AS name, substr(seq, i::BIGINT * 500 + 1, 500) AS piece FROM dna, range(0, 1000) r(i) WHERE i * 500 < length(seq)"),
-    "trim_pad_slice": (trims, f"""{_DOCS}, x AS (SELECT doc_id, seq, substr(seq, 1, 60) AS a FROM dna) SELECT doc_id, CASE WHEN length(a) >= 50 THEN substr(a, 51) END AS l, CASE WHEN length(a) >= 50 THEN substr(a, 1, length(a) - 50) END AS r,
- CASE WHEN length(substr(seq, 1, 40)) < 45 THEN rpad(substr(seq, 1, 40), 45, 'N') END AS p, substr(seq, 1, 5) || 'NNN' AS x, CASE WHEN doc_id % 2 = 0 THEN {_TURN.format(s='substr(seq, 4, 6)')} ELSE substr(seq, 4, 6) END AS s FROM x"""),
-    "burrows_wheeler": (bwt, f"""{_DOCS}, s AS (SELECT doc_id, substr(seq, 1, 30) || '|' AS s FROM dna), r AS (SELECT doc_id, substr(s, i) || substr(s, 1, i - 1) AS t FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM s))
- SELECT doc_id, string_agg(right(t, 1), '' ORDER BY t) AS bwt FROM r GROUP BY 1"""),
+    "tile_sequences": (tiles, f"{_DOCS} SELECT doc_id || '_' || i AS name, substr(seq, i::BIGINT * 500 + 1, 500) AS piece FROM dna, unnest(range(0, (length(seq) + 499) // 500)) r(i)"),
+    "trim_pad_slice": (trims, f"""{_DOCS} SELECT doc_id, CASE WHEN length(seq) >= 50 THEN substr(seq, 51) END AS l, CASE WHEN length(seq) >= 50 THEN substr(seq, 1, length(seq) - 50) END AS r,
+ CASE WHEN length(seq) < 450 THEN rpad(seq, 450, 'N') ELSE seq END AS p, seq || 'NNN' AS x, CASE WHEN doc_id % 2 = 0 THEN {_TURN.format(s='substr(seq, 4, 6)')} ELSE substr(seq, 4, 6) END AS s FROM dna"""),
+    "burrows_wheeler": (bwt, """WITH s AS (SELECT p_partkey, p_name || '|' AS s FROM part), r AS (SELECT p_partkey, substr(s, i) || substr(s, 1, i - 1) AS t FROM (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS i FROM s))
+ SELECT p_partkey, string_agg(right(t, 1), '' ORDER BY t) AS bwt FROM r GROUP BY 1"""),
     "kmer_count": (kmer_count, f"{_DOCS}, {_KM.format(k=6)}, b AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1) SELECT kmer, sum(n)::BIGINT AS n FROM (SELECT kmer, n FROM b UNION ALL SELECT {_TURN.format(s='kmer')}, n FROM b) GROUP BY 1"),
     "kmer_canonical": (kmer_canonical, f"{_DOCS}, {_KM.format(k=7)} SELECT least(kmer, {_TURN.format(s='kmer')}) AS kmer, count(*) AS n FROM km GROUP BY 1"),
     "kmer_overlap": (kmer_overlap, f"{_DOCS}, {_KM.format(k=8)} SELECT kmer, count(*) FILTER (doc_id % 2 = 0) AS n_a, count(*) FILTER (doc_id % 2 = 1) AS n_b FROM km GROUP BY 1 HAVING n_a > 0 AND n_b > 0"),
@@ -148,12 +156,17 @@ QUERIES = {
  SELECT kmer, count(*) AS n FROM km WHERE NOT regexp_matches(kmer, '[AT]{{3}}$') AND NOT regexp_matches(kmer, '^[AT]{{3}}') GROUP BY 1 ORDER BY n DESC, kmer LIMIT 40"""),
     "phred_mean_error": (phred_error, f"WITH {QUAL} SELECT doc_id, round(list_sum(list_transform(string_split(qual, ''), lambda c: pow(10.0, -(ascii(c) - 33) / 10.0))) / length(qual), 6) AS mean_error FROM qual WHERE length(qual) > 0"),
     "low_quality_filter": (low_quality, f"WITH {QUAL} SELECT doc_id FROM qual WHERE len(list_filter(string_split(qual, ''), lambda c: c <> '' AND ascii(c) <= 60)) < 10"),
-    "encoding_guess": (encoding, f"""WITH {QUAL}, c AS (SELECT doc_id % 50 AS lane, list_transform(string_split(qual, ''), lambda c: ascii(c)) AS c FROM qual WHERE length(qual) > 0), b AS (SELECT lane, min(list_min(c))::BIGINT AS lo, max(list_max(c))::BIGINT AS hi FROM c GROUP BY 1)
- SELECT lane, lo, hi, array_to_string(list_filter([CASE WHEN lo >= 64 AND hi <= 104 THEN 'Illumina-1.3' END, CASE WHEN lo >= 66 AND hi <= 105 THEN 'Illumina-1.5' END, CASE WHEN lo >= 33 AND hi <= 74 THEN 'Illumina-1.8' END, CASE WHEN lo >= 33 AND hi <= 73 THEN 'Sanger' END, CASE WHEN lo >= 59 AND hi <= 104 THEN 'Solexa' END], lambda x: x IS NOT NULL), ',') AS names FROM b"""),
-    "quality_percentiles_by_position": (quality_by_position, f"""WITH {QUAL}, c AS (SELECT i - 1 AS position, ascii(substr(qual, i, 1))::BIGINT AS code FROM (SELECT qual, unnest(range(1, least(length(qual), 50) + 1)) AS i FROM qual)),
- r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY code) - 1 AS k, count(*) OVER (PARTITION BY position) AS n FROM c), p AS (SELECT unnest([0, 5, 25, 50, 75, 95, 100])::INTEGER AS percent)
+    "encoding_guess": (encoding, f"""WITH {QUAL_CODES}, b AS (SELECT doc_id, min(code) AS lo, max(code) AS hi FROM code GROUP BY 1)
+ SELECT doc_id, lo, hi, array_to_string(list_filter([CASE WHEN lo >= 64 AND hi <= 104 THEN 'Illumina-1.3' END, CASE WHEN lo >= 67 AND hi <= 104 THEN 'Illumina-1.5' END, CASE WHEN lo >= 33 AND hi <= 93 THEN 'Sanger' END, CASE WHEN lo >= 59 AND hi <= 104 THEN 'Solexa' END], lambda x: x IS NOT NULL), ',') AS names FROM b"""),
+    "quality_percentiles_by_position": (quality_by_position, f"""WITH {QUAL_CODES}, c AS (SELECT i - 1 AS position, code FROM code),
+ r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY code) - 1 AS k, count(*) OVER (PARTITION BY position) AS n FROM c), p AS (SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100])::INTEGER AS percent)
  SELECT position::BIGINT AS position, percent, code AS value FROM r, p WHERE k = least(floor(n * percent / 100), n - 1)"""),
-    "quality_profile": (quality_profile, f"WITH {QUAL} SELECT i - 1 AS position, ascii(substr(qual, i, 1))::BIGINT AS code, count(*) AS n FROM (SELECT qual, unnest(range(1, length(qual) + 1)) AS i FROM qual) GROUP BY 1, 2"),
+    "encoding_by_counts": (encoding_by_counts, f"""WITH {QUAL_CODES}, n AS (SELECT doc_id, count(*) FILTER (code BETWEEN 105 AND 113) AS pacbio, count(*) FILTER (code BETWEEN 64 AND 65) AS a, count(*) FILTER (code BETWEEN 76 AND 104) AS high, count(*) FILTER (code BETWEEN 59 AND 63) AS solexa,
+ count(*) FILTER (code BETWEEN 64 AND 66) AS b, count(*) FILTER (code BETWEEN 67 AND 72) AS c, count(*) FILTER (code BETWEEN 33 AND 58) AS low FROM code GROUP BY 1)
+ SELECT doc_id, CASE WHEN pacbio > 2 AND low > 2 THEN 'P' WHEN low > 2 THEN 'S' WHEN solexa > 2 AND high > 2 THEN NULL WHEN c > 2 AND high > 2 AND a = 0 THEN 'J' WHEN b > 2 AND high > 2 THEN 'I' END AS kind FROM n"""),
+    "low_quality_read_share": (reads_with_low, f"""WITH {QUAL_CODES}, q AS (SELECT unnest([35, 45, 60, 75])::INTEGER AS quality), l AS (SELECT unnest([1, 5, 20])::INTEGER AS least), n AS (SELECT doc_id, quality, count(*) AS n FROM code JOIN q ON code <= quality GROUP BY 1, 2)
+ SELECT q.quality, l.least, round(count(n.n) FILTER (n.n >= l.least) / (SELECT count(*) FROM qual), 6) AS share FROM q CROSS JOIN l LEFT JOIN n ON n.quality = q.quality GROUP BY 1, 2"""),
+    "quality_profile": (quality_profile, f"WITH {QUAL_CODES} SELECT i - 1 AS position, code, count(*) AS n FROM code GROUP BY 1, 2"),
     "cigar_spans": (cigar_spans, """SELECT l_orderkey, l_linenumber, (l_quantity::INT + l_linenumber + 4)::BIGINT AS coverage, (l_quantity::INT + l_partkey % 150 + 1 + l_linenumber + 4 + 3)::BIGINT AS span,
  (2 * l_linenumber + l_quantity::INT + 4 + 2)::BIGINT AS query, CASE WHEN l_partkey % 150 + 1 >= 68 THEN 2 ELSE 1 END::BIGINT AS exons FROM lineitem"""),
     "safe_names": (names_codec, "SELECT c_custkey, c_name AS name, true AS safe FROM customer"),

@@ -69,18 +69,18 @@ def overrepresented(spark, d):
     return select.overrepresented(dna(spark, d), "seq", 2, 0.08)
 
 
+def _mates(spark, d):
+    """Customers as one file and suppliers as the other: they meet on their numbers."""
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return a, table(spark, d, "supplier").select((3 * F.col("s_suppkey")).alias("k"))
+
+
 def pair_mates(spark, d):
-    o = _hits(spark, d)
-    key = F.floor(F.col("o_orderkey") / 4)
-    a, b = o.where("o_orderkey % 4 = 0").select("o_orderkey"), o.where("o_orderkey % 4 = 1 AND o_orderkey % 3 > 0").select("o_orderkey")
-    return select.pairs(a, b, key).select(F.col("left_o_orderkey").alias("a"), F.col("right_o_orderkey").alias("b"))
+    return select.pairs(*_mates(spark, d), F.col("k")).select(F.col("left_k").alias("a"), F.col("right_k").alias("b"))
 
 
 def single_mates(spark, d):
-    o = _hits(spark, d)
-    key = F.floor(F.col("o_orderkey") / 4)
-    a, b = o.where("o_orderkey % 4 = 0").select("o_orderkey"), o.where("o_orderkey % 4 = 1 AND o_orderkey % 3 > 0").select("o_orderkey")
-    return select.pairs(a, b, key, "single").select(F.coalesce("left_o_orderkey", "right_o_orderkey").alias("o_orderkey"))
+    return select.pairs(*_mates(spark, d), F.col("k"), "single").select(F.col("left_k").alias("a"), F.col("right_k").alias("b"))
 
 
 def distinct_counts(spark, d):
@@ -102,7 +102,7 @@ def running(spark, d):
 
 def window_scores(spark, d):
     x = table(spark, d, "events").select("user_id", "event_id", F.floor("value").alias("c"))
-    return stats.window_scores(x, ["user_id"], "event_id", "c", 5).select("user_id", "event_id", "mean_score", "median_score")
+    return stats.window_scores(x, ["user_id"], "event_id", "c", 5).select("user_id", "event_id", "mean_score", "median_score", "geometric_score")
 
 
 def strata(spark, d):
@@ -215,16 +215,15 @@ QUERIES = {
  f(round, gone, total, last) AS (SELECT -1, []::VARCHAR[], (SELECT sum(n) FROM p), 1 UNION ALL SELECT round + 1, list_concat(gone, h), total - t, len(h) FROM (SELECT f.round, f.gone, f.total,
    coalesce((SELECT list(prefix) FROM p WHERE NOT list_contains(f.gone, prefix) AND n > 0.08 * f.total), []) AS h, coalesce((SELECT sum(n) FROM p WHERE NOT list_contains(f.gone, prefix) AND n > 0.08 * f.total), 0) AS t FROM f WHERE f.last > 0))
  SELECT p.prefix, p.n, min(f.round)::INTEGER AS round FROM p JOIN f ON list_contains(f.gone, p.prefix) GROUP BY 1, 2"""),
-    "pair_mates": (pair_mates, "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_orderkey // 4 = b.o_orderkey // 4 AND a.o_orderkey % 4 = 0 AND b.o_orderkey % 4 = 1 AND b.o_orderkey % 3 > 0"),
-    "single_mates": (single_mates, """WITH a AS (SELECT o_orderkey, o_orderkey // 4 AS k FROM orders WHERE o_orderkey % 4 = 0), b AS (SELECT o_orderkey, o_orderkey // 4 AS k FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 3 > 0)
- SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey FROM a FULL JOIN b USING (k) WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL"""),
+    "pair_mates": (pair_mates, "SELECT c_custkey AS a, 3 * s_suppkey AS b FROM customer JOIN supplier ON c_custkey = 3 * s_suppkey"),
+    "single_mates": (single_mates, "SELECT c_custkey AS a, 3 * s_suppkey AS b FROM customer FULL JOIN supplier ON c_custkey = 3 * s_suppkey WHERE c_custkey IS NULL OR s_suppkey IS NULL"),
     "distinct_read_count": (distinct_counts, "SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_reads, count(*) AS n_rows, round(100 * count(*) / count(DISTINCT l_orderkey), 2) AS pct, max(l_quantity) AS top FROM lineitem GROUP BY 1"),
     "mean_median_sd": (mean_sd, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 3) AS mean, round(median(l_extendedprice), 3) AS median, round(stddev_samp(l_extendedprice), 3) AS sd, round(stddev_pop(l_extendedprice), 3) AS sd_pop, round(exp(avg(ln(l_extendedprice))), 3) AS geometric_mean FROM lineitem GROUP BY 1, 2"),
     "n50": (n50, "SELECT source, min(n_chars) AS n50 FROM (SELECT source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars) AS r, sum(n_chars) OVER (PARTITION BY source) AS t FROM documents) WHERE 2 * r > t GROUP BY 1"),
     "running_mean_sd": (running, """WITH m AS (SELECT o_custkey, o_orderkey, trunc(o_totalprice)::BIGINT AS v, avg(trunc(o_totalprice)::BIGINT) OVER w AS m, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
  SELECT o_custkey, o_orderkey, round(m, 4) AS running_mean, CASE WHEN n > 1 THEN round(sqrt(sum((v - m) * (v - m)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) / (n - 1)), 4) END AS running_sd FROM m"""),
-    "mappability_window": (window_scores, """WITH x AS (SELECT user_id, event_id, CASE WHEN floor(value) = 0 THEN 1e7 ELSE 1 / floor(value) END AS v FROM events),
- w AS (SELECT user_id, event_id, avg(v) OVER w AS a, median(v) OVER w AS m, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING)) SELECT user_id, event_id, round(a, 4) AS mean_score, round(m, 4) AS median_score FROM w WHERE n = 5"""),
+    "mappability_window": (window_scores, """WITH x AS (SELECT user_id, event_id, 1 / CASE WHEN floor(value) = 0 THEN 1e7 ELSE floor(value) END AS v FROM events),
+ w AS (SELECT user_id, event_id, avg(v) OVER w AS a, median(v) OVER w AS m, pow(10, avg(log10(v)) OVER w) AS g, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING)) SELECT user_id, event_id, round(a, 4) AS mean_score, round(m, 4) AS median_score, round(g, 4) AS geometric_score FROM w WHERE n = 5"""),
     "strata_by_bp": (strata, "WITH b AS (SELECT n_chars, sum(n_chars)::BIGINT AS weight FROM documents GROUP BY 1) SELECT n_chars, weight, least(ceil(sum(weight) OVER (ORDER BY n_chars) * 10 / sum(weight) OVER ()), 10)::INTEGER AS stratum FROM b"),
     "strata_cutpoints": (strata_cut, """WITH b AS (SELECT n_chars, sum(n_chars)::BIGINT AS weight FROM documents GROUP BY 1), r AS (SELECT *, sum(weight) OVER (ORDER BY n_chars DESC) AS run FROM b),
  c AS (SELECT (10000 * m * pow(10, k))::BIGINT AS c FROM range(0, 9) t(k), (SELECT unnest([1, 5]) AS m)) SELECT n_chars, weight, (SELECT min(c) FROM c WHERE c >= run) AS cut FROM r"""),

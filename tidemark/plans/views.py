@@ -37,11 +37,14 @@ DNA = f"dna AS (SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghij
 
 
 def qual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, qual): printable ASCII of documents as quality strings of 200 characters at most."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^!-~]", ""), 1, 200).alias("qual"))
+    """(doc_id, qual): printable ASCII of documents as quality strings."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^!-~]", "").alias("qual"))
 
 
-QUAL = "qual AS (SELECT doc_id, substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 200) AS qual FROM documents)"
+QUAL = "qual AS (SELECT doc_id, regexp_replace(text, '[^!-~]', '', 'g') AS qual FROM documents)"
+#: The same, a row a character: its position from 1 and its code.
+QUAL_CODES = f"{QUAL}, code AS (SELECT doc_id, i, ascii(c)::BIGINT AS code FROM (SELECT doc_id, unnest(string_split(qual, '')) AS c, generate_subscripts(string_split(qual, ''), 1) AS i FROM qual WHERE length(qual) > 0))"
+
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import transcripts as tr
 
     rows = iv(spark, sf_dir).select(F.col("tx").alias("id"), F.floor(F.col("tx") / 100).alias("chrom"), "s", "e")
-    return tr.from_intervals(rows, ["id", "chrom"], width=WIDTH)
+    return tr.from_intervals(rows, ["id", "chrom"])
 
 
 #: Exons (id, chrom, s, e) of the same transcripts.
