@@ -257,7 +257,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     In each group the first row is a pivot: rows within ``SIMILAR`` bits link to it, rows
     within half of that need no more comparing (whoever is that near to them is near
     enough to the pivot), and the rest goes on with the next pivot.  Of a group that
-    goes on in the next batch only the pivots are held.
+    goes on in the next batch only the pivots are held.  Pairs within half of the
+    budget that share an earlier start are connected there and not linked again.
     """
     held = None
     for b in batches:
@@ -277,6 +278,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot = alive[first][np.cumsum(first) - 1]
             apart = np.bitwise_count(f[alive] ^ f[pivot]).sum(1)
             near = (apart <= SIMILAR) & (alive != pivot)
+            at = np.flatnonzero(near & (apart <= SIMILAR // 2))
+            same = (f[alive[at]] ^ f[pivot[at]]).view(np.uint8).reshape(-1, _STARTS) == 0
+            near[at] = (same & np.roll(same, -1, 1) & np.roll(same, -2, 1)).argmax(1) == start[alive[at]]
             left.append(alive[near])
             right.append(pivot[near])
             alive = alive[(apart > SIMILAR // 2) & (alive != pivot)]
