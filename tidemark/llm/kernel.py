@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 CHUNK_DOCS = 512
 _U = np.uint64
-_MULT = 0x9E3779B97F4A7C55
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_pow: dict[str, np.ndarray] = {}
+#: Two independent hashes: multipliers and byte values.
+_MULT = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4D)
+_BYTES = np.random.default_rng(20240229).integers(1, 2**64, (2, 256), dtype=np.uint64)
+_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -28,13 +29,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _pow or len(_pow["p"]) < n + 1:
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _pow or len(_pow[which][0]) < n + 1:
         m = max(n + 1, 2 * CHUNK)
-        p, q = np.full(m, _MULT, np.uint64), np.full(m, pow(_MULT, -1, 1 << 64), np.uint64)
+        p, q = np.full(m, _MULT[which], np.uint64), np.full(m, pow(_MULT[which], -1, 1 << 64), np.uint64)
         p[0] = q[0] = 1
-        _pow["p"], _pow["q"] = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _pow["p"], _pow["q"]
+        _pow[which] = np.multiply.accumulate(p), np.multiply.accumulate(q)
+    return _pow[which]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,30 +78,21 @@ def texts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield a, b, buf[o[0] : o[-1]], o - o[0]
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """P with hash(i, j) = (P[j] - P[i]) * q[i]; see ``spans``."""
-    p, _ = _powers(len(buf))
+def prefix(buf: np.ndarray, which: int = 0) -> np.ndarray:
+    """P with hash(i, j) = (P[j] - P[i]) * q[i]; see ``spans``.  ``which`` is one of two independent hashes."""
+    p, _ = _powers(len(buf), which)
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * p[: len(buf)], out=out[1:])
+    np.cumsum(_BYTES[which][buf] * p[: len(buf)], out=out[1:])
     return out
 
 
-def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of the bytes [start, end) of each span."""
-    _, q = _powers(len(pre))
+    _, q = _powers(len(pre), which)
     h = (pre[end] - pre[start]) * q[start]
     return mix(h + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
-def windows(pre: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of ``width`` bytes of the chunk, document bounds ignored."""
-    n = len(pre) - width
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    _, q = _powers(len(pre))
-    return mix((pre[width:] - pre[:n]) * q[:n])
-
-
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document numbers of the words ``[^\\x20\\x09-\\x0D]+``; none crosses a document."""
     n = len(buf)

@@ -4,7 +4,8 @@ Every byte that lies in a ``length``-byte string which also starts earlier (in a
 smaller document, or earlier in the same one) is removed.
 
 1. Documents are ranged by id into blocks, so block order is document order, and
-   the blocks are written once as compressed buffers.
+   the blocks are written once as compressed buffers.  A document whose whole text
+   occurs in an earlier one goes as a whole; what follows leaves it out.
 2. Cover ranks: suffixes at positions whose residue modulo v lies in a difference
    cover (v = 73 with 9 residues for length 100) are sorted by their first
    ``length - v + 1`` bytes.  For any two equal strings some shift below v puts
@@ -18,16 +19,20 @@ smaller document, or earlier in the same one) is removed.
    within a round its sub-buckets are sorted in parallel.
 4. Each block marks the strings that start earlier elsewhere and cuts their union.
 
-Fingerprints have 64 bits; each entry is 8 bytes in a sorted run without positions,
-because a block can find the order of its own entries again.
+The order is that of fingerprints, not of bytes: lexicographic ranks would need some
+20 times the input in shuffles (see the README).  Fingerprints of strings have 128
+bits, 16 bytes an entry without positions, because a block can find the order of its
+own entries again.  A block sends each distinct string once, so that a string that
+every document holds is one entry a block.
 
 Cases: null and empty texts have nothing to remove; texts shorter than ``length``
 stay whole; rows that repeat an id count in text order, the later copies being
-removed; rows with null ids come first.
+removed; rows with null ids come first; a very long text is one block.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,33 +124,36 @@ def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """A block's text with the fingerprints that its rounds need."""
+    """A block's text with the fingerprints that its rounds need; ``copies`` are documents that go as a whole."""
 
-    def __init__(self, ids: bytes, offs: bytes, text: bytes, length: int):
+    def __init__(self, ids: bytes, offs: bytes, text: bytes, copies: list | None, length: int):
         self.ids, self.offs = np.frombuffer(ids, np.int64), np.frombuffer(offs, np.int64)
         raw = zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, int(self.offs[-1])))
         self.buf, self.length = np.frombuffer(raw, np.uint8), length
         self.v, self.residues = cover_for(length)
+        self.copies = np.zeros(len(self.ids), bool)
+        self.copies[copies or []] = True
 
     def cover(self) -> np.ndarray:
         """Positions of the cover suffixes, in order."""
         short = self.length - self.v + 1
         out = []
-        for a, e in zip(self.offs[:-1], self.offs[1:]):
+        for a, e, copy in zip(self.offs[:-1], self.offs[1:], self.copies):
             last = e - a - short  # the last start
-            if e - a >= self.length:
+            if e - a >= self.length and not copy:
                 steps = np.arange(0, last + self.v, self.v)
                 p = (steps[:, None] + self.residues[None]).ravel()
                 out.append(a + p[p <= last])
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def _at(self, positions: np.ndarray, width: int) -> np.ndarray:
+    def _at(self, positions: np.ndarray, width: int, which: int = 0) -> np.ndarray:
         """Fingerprints of the ``width`` bytes from each position (sorted, inside a document)."""
         got = []
         for a, b in kernel.chunks(self.offs):
             lo, hi = self.offs[a], self.offs[b]
             p = positions[np.searchsorted(positions, lo) : np.searchsorted(positions, hi)] - lo
-            got.append(kernel.spans(kernel.prefix(self.buf[lo:hi]), p, p + width))
+            if len(p):
+                got.append(kernel.spans(kernel.prefix(self.buf[lo:hi], which), p, p + width, which))
         return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
     def cover_keys(self) -> np.ndarray:
@@ -159,12 +167,33 @@ class _Block:
         end = self.offs[np.searchsorted(self.offs, starts, "right")]
         return starts[starts + self.length <= end]
 
-    def string_keys(self, starts: np.ndarray) -> np.ndarray:
-        return self._at(starts, self.length)
+    def strings(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings' fingerprints (high and low half) in order, and that order; equal ones stay in document order."""
+        hi, lo = self._at(starts, self.length, 0), self._at(starts, self.length, 1)
+        order = _order(hi, lo)
+        return hi[order], lo[order], order
+
+
+def _order(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Stable order by (hi, lo)."""
+    order = np.argsort(hi, kind="stable")
+    s, t = hi[order], lo[order]
+    if ((s[1:] == s[:-1]) & (t[1:] != t[:-1])).any():  # half the fingerprint collides: rare
+        return np.lexsort((lo, hi))
+    return order
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted entries differs from the one before."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
 
 def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per run of one bucket: bits of the cover suffixes that have an equal anywhere."""
+    """Per run (distinct cover suffixes) of one bucket: bits of those that another run has too."""
     runs = [np.frombuffer(r, np.uint64) if w else np.frombuffer(r, np.uint32) for r, w in zip(pdf.run, pdf.wide)]
     every = np.sort(np.concatenate(runs))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
@@ -179,16 +208,15 @@ def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _later(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per run of one bucket: bits of the strings that have an equal earlier in document order."""
+    """Per run (distinct strings of a block) of one bucket: bits of the strings that an earlier block has."""
     pdf = pdf.sort_values("block", kind="stable")
-    runs = [np.frombuffer(r, np.uint64) for r in pdf.run]
-    sizes = [len(r) for r in runs]
+    runs = [np.frombuffer(r, np.uint64).reshape(-1, 2) for r in pdf.run]
+    cut = np.append(0, np.cumsum([len(r) for r in runs]))
     keys = np.concatenate(runs)
-    order = np.argsort(keys, kind="stable")  # merges the sorted runs; ties stay in document order
+    order = _order(keys[:, 0], keys[:, 1])  # merges the sorted runs; ties stay in document order
     s = keys[order]
     later = np.zeros(len(keys), bool)
-    later[order[1:][s[1:] == s[:-1]]] = True
-    cut = np.append(0, np.cumsum(sizes))
+    later[order] = ~_first(s[:, 0], s[:, 1])
     return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "bits": [np.packbits(later[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])]})
 
 
@@ -201,12 +229,12 @@ def _gathered(bits: DataFrame, name: str) -> DataFrame:
     return bits.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias(name))
 
 
-def _unpack(runs: list, order: np.ndarray, bucket_of: np.ndarray) -> np.ndarray:
-    """Bits of sorted runs put back at their entries; ``bucket_of`` gives the sorted entries' buckets."""
-    flags = np.zeros(len(order), bool)
+def _unpack(runs: list, bucket_of: np.ndarray) -> np.ndarray:
+    """Bits of a block's runs as flags of its sorted distinct entries; ``bucket_of`` gives the entries' buckets."""
+    flags = np.zeros(len(bucket_of), bool)
     for r in runs or []:
         a, b = np.searchsorted(bucket_of, [r["bucket"], r["bucket"] + 1])
-        flags[order[a:b]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a).view(bool)
+        flags[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a).view(bool)
     return flags
 
 
@@ -215,10 +243,57 @@ def _bucket(keys: np.ndarray, total: int) -> np.ndarray:
     return (keys >> _U(64 - (total - 1).bit_length())).astype(np.int64) if total > 1 else np.zeros(len(keys), np.int64)
 
 
-def _cover_ties(block: _Block, runs: list, buckets: int) -> np.ndarray:
-    keys = block.cover_keys()
-    order = np.argsort(keys, kind="stable")
-    return _unpack(runs, order, _bucket(keys[order], buckets))
+class _Cover:
+    """Sizes of the cover's buckets and keys.
+
+    Keys need not be exact: a few suffixes that only seem to tie are sorted in vain.  32 bits below the bucket's keep
+    those few while the cover has under 2**32 suffixes, beyond that all 64 bits go.
+    """
+
+    def __init__(self, n_bytes: int, buckets: int):
+        self.buckets, self.wide = buckets, n_bytes >> 35 > 0
+        self.shift = _U(0) if self.wide else _U(32 - (buckets - 1).bit_length())
+
+    def entries(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block's cover keys as they are compared, in order; that order; which differ from the one before."""
+        keys = block.cover_keys() >> self.shift
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order, _first(keys[order])
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return _bucket(keys << self.shift, self.buckets)
+
+    def runs(self, block: _Block, name: int) -> pa.RecordBatch:
+        keys, _, first = self.entries(block)
+        keys = keys[first]
+        return _batch(name, self.bucket(keys), keys if self.wide else keys.astype(np.uint32))
+
+    def ties(self, block: _Block, runs: list) -> np.ndarray:
+        """Which cover suffixes of the block have an equal, in it or elsewhere."""
+        keys, order, first = self.entries(block)
+        group = np.cumsum(first) - 1
+        found = _unpack(runs, self.bucket(keys[first])) | (np.bincount(group, minlength=int(first.sum())) > 1)
+        flags = np.zeros(len(keys), bool)
+        flags[order] = found[group]
+        return flags
+
+
+def _copies(blocks: DataFrame, length: int) -> DataFrame:
+    """(block, copies): documents whose whole text, of at least ``length`` bytes, an earlier document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
+                block = _Block(row["ids"], row["offs"], row["text"], None, length)
+                raw, at = block.buf.tobytes(), [k for k in range(len(block.ids)) if block.offs[k + 1] - block.offs[k] >= length]
+                text = [hashlib.sha256(raw[block.offs[k] : block.offs[k + 1]]).digest() for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.binary())], ["block", "k", "text"])
+
+    every = blocks.select("block", "ids", "offs", "text").mapInArrow(run, "block long, k int, text binary")
+    every = scratch.written(every, "suffix-texts")
+    first = every.groupBy("text").agg(F.min(F.struct("block", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").select("text", "first")
+    return every.join(first, "text").where(F.struct("block", "k") != F.col("first")).groupBy("block").agg(F.collect_list("k").alias("copies"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -236,58 +311,55 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(BUCKETS, 1 << (n_bytes // (rounds * BUCKET_BYTES)).bit_length())
     total = rounds * buckets
-    # cover keys need not be exact: a few suffixes that only seem to tie are sorted in vain.  32 bits below
-    # the bucket's keep those few while the cover has under 2**32 suffixes, beyond that all 64 bits go
-    wide = n_bytes >> 35 > 0
-    shift = _U(32 - (buckets - 1).bit_length())
+    cover = _Cover(n_bytes, buckets)
+    marked = scratch.written(blocks.join(_copies(blocks, length), "block", "left"), "suffix-copies")
+    scratch.remove(blocks)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for i in range(b.num_rows):
                 row = {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
-                yield row, _Block(row.pop("ids"), row.pop("offs"), row.pop("text"), length)
+                yield row, _Block(row.pop("ids"), row.pop("offs"), row.pop("text"), row.pop("copies"), length)
 
     def cover_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in each(batches):
-            keys = np.sort(block.cover_keys())
-            cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-            runs = keys if wide else (keys >> shift).astype(np.uint32)
-            yield _batch(row["block"], range(buckets), [runs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])])
+            yield cover.runs(block, row["block"])
 
-    runs = blocks.mapInArrow(cover_runs, _RUN).withColumn("wide", F.lit(wide))
+    runs = marked.drop("rest").mapInArrow(cover_runs, _RUN).withColumn("wide", F.lit(cover.wide))
     ties = scratch.written(_gathered(runs.groupBy("bucket").applyInPandas(_ties, _BITS), "ties"), "suffix-ties")
     # joined once and for all: the rounds read the blocks with their ties and shuffle only keys
-    tied = scratch.written(blocks.join(ties, "block", "left"), "suffix-tied")
-    scratch.remove(blocks)
+    tied = scratch.written(marked.join(ties, "block", "left"), "suffix-tied")
+    scratch.remove(marked)
     scratch.remove(ties)
     scratch.release(spark)
 
     def string_runs(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, block in each(batches):
-                keys = block.string_keys(block.tying(_cover_ties(block, row["ties"], buckets)))
-                keys = keys[_bucket(keys, rounds) == k]
-                keys.sort()
-                names = range(k * buckets, (k + 1) * buckets)
-                cut = np.searchsorted(_bucket(keys, total), np.arange(names[0], names[-1] + 2))
-                yield _batch(row["block"], names, [keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])])
+                hi, lo, _ = block.strings(block.tying(cover.ties(block, row["ties"])))
+                a, b = np.searchsorted(_bucket(hi, rounds), [k, k + 1])
+                hi, lo = hi[a:b], lo[a:b]
+                first = _first(hi, lo)
+                yield _batch(row["block"], _bucket(hi[first], total), np.column_stack([hi[first], lo[first]]))
 
         return run
 
     found = None
     for k in range(rounds):
-        bits = scratch.written(tied.mapInArrow(string_runs(k), _RUN).groupBy("bucket").applyInPandas(_later, _BITS), "suffix-bits")
+        bits = scratch.written(tied.drop("rest").mapInArrow(string_runs(k), _RUN).groupBy("bucket").applyInPandas(_later, _BITS), "suffix-bits")
         found = bits if found is None else found.union(bits)
         scratch.release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in each(batches):
-            starts = block.tying(_cover_ties(block, row["ties"], buckets))
-            keys = block.string_keys(starts)
-            order = np.argsort(keys, kind="stable")
-            starts = starts[_unpack(row["later"], order, _bucket(keys[order], total))]
+            starts = block.tying(cover.ties(block, row["ties"]))
+            hi, lo, order = block.strings(starts)
+            first = _first(hi, lo)
+            later = ~first | _unpack(row["later"], _bucket(hi[first], total))[np.cumsum(first) - 1]
+            starts = starts[order[later]]
+            gone = _covered(len(block.buf), starts, starts + length) | np.repeat(block.copies, np.diff(block.offs))
             rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(row["rest"])).read_all().combine_chunks()
-            yield from _cuts(block, _covered(len(block.buf), starts, starts + length), rest)
+            yield from _cuts(block, gone, rest)
 
     marked = tied.join(_gathered(found, "later"), "block", "left")
     schema = T.StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
@@ -296,9 +368,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     return marked.mapInArrow(cut, schema)
 
 
-def _batch(block: int, names: range, runs: list[bytes]) -> pa.RecordBatch:
-    rows = [(n, r) for n, r in zip(names, runs) if r]
-    return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([n for n, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], ["block", "bucket", "run"])
+def _batch(block: int, bucket_of: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket that the sorted entries fall into."""
+    entries = np.ascontiguousarray(entries)
+    begin = np.flatnonzero(_first(bucket_of))
+    ends = np.append(begin, len(bucket_of)).astype(np.int32) * np.int32(entries.nbytes // max(1, len(entries)))
+    run = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), block, np.int64)), pa.array(bucket_of[begin].astype(np.int32)), run], ["block", "bucket", "run"])
 
 
 def _cuts(block: _Block, gone: np.ndarray, rest: pa.Table) -> Iterator[pa.RecordBatch]:
