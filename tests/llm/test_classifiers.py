@@ -220,6 +220,24 @@ def test_urls(spark):
     assert urls.judge(df.where("false")).count() == 0
 
 
+def test_urls_with_words_that_were_not_learned(spark):
+    block = "megacasino casino-royal pokerroom poker-night slotsworld bettingtips freebets gambling onlinepharmacy pills24 viagrashop pornhub2 xxxvideos adserver3 trackads spamhost phishing malwarelab replicawatch payday-cash torrentz crackedgames lotteryhub sexdates".split()
+    allow = "booksonline bookworm libraries museumshop mynews newsroom weatherstation gardenhome travelguide historyclub scienceblog musicians footballfans chessclub photoalbum trainsets poetryslam teachers studentlife researchers softwaredocs pythonic birdwatch kitchens".split()
+    rows = [(i, f"https://{w}.com/en/1") for i, w in enumerate(block + allow)] + [(900, "http://" + "a" * 100_000 + ".com/casino"), (900, "http://" + "a" * 100_000 + ".com/casino")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS id", "2 AS by_rule", "'x' AS verdict")
+    got = urls.judge(df).collect()
+    verdict = {r.id: r.verdict for r in got}
+    hits = [verdict[i] == ("block" if i < len(block) else "allow") for i in range(len(block + allow))]
+    assert np.mean(hits) >= 0.85 and len(got) == len(rows) and len({tuple(r) for r in got if r.id == 900}) == 1
+    assert not set(block + allow) & {*urls.BLOCK_WORDS, *urls.ALLOW_WORDS}
+
+
+def test_urls_from_another_labelled_table(spark):
+    table = [(f"good{i}.org", "/", 0) for i in range(30)] + [(f"zzbad{i}.org", "/", 1) for i in range(30)]
+    df = spark.createDataFrame([(1, "http://zzbad99.org/"), (2, "http://good99.org/")], "page_id long, url string")
+    assert {r.id: r.verdict for r in urls.judge(df, labelled=table).collect()} == {1: "block", 2: "allow"}
+
+
 def test_folds_are_crc32_of_the_decimal_id(spark):
     df = spark.range(200).select(features.fold("id", 5).alias("f"), "id")
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in df.collect())

@@ -55,3 +55,18 @@ def test_tiny_and_huge_components(spark):
 def test_empty_and_only_invalid(spark):
     assert run(spark, []) == []
     assert run(spark, [(4, None), (2, [0.0])]) == [(2, 0, 2), (4, 0, 4)]
+
+
+def test_pairs_at_the_threshold(spark):
+    """0/1 vectors with nine of ten ones in common have a cosine of exactly 0.9."""
+    rows = []
+    for k in range(20):
+        a = [1.0 if i < 10 else 0.0 for i in range(24)]
+        b = [0.0] * 24
+        for i in [*range(1, 10), 10 + k % 14]:
+            b[i] = 1.0
+        rows += [(100 * k, [x * (k + 1) for x in a]), (100 * k + 1, [x * (k + 1) for x in b])]
+    for n in range(3, 8, 2):
+        some = rows[2 * n : 2 * n + 2]
+        got = ego.near_duplicates(spark.createDataFrame(some, "vec_id long, embedding array<double>")).collect()
+        assert [r.n_links for r in got] == [1, 1]

@@ -16,7 +16,10 @@ def test_exponent_meets_limits():
     target = (mixing.entropy(shares) + math.log(3)) / 2
     assert mixing.entropy(mixing.weights(shares, mixing.exponent(shares, target_entropy=target))) == pytest.approx(target)
     assert mixing.exponent(shares, repeat_limit=100) == 0.0
-    assert mixing.exponent(shares, target_entropy=0.1) == 1.0
+    sharp = mixing.exponent(shares, target_entropy=0.1)  # below the entropy of the shares: above 1
+    assert sharp > 1 and mixing.entropy(mixing.weights(shares, sharp)) == pytest.approx(0.1)
+    with pytest.raises(ValueError):
+        mixing.exponent({"a": 0.5, "b": 0.5}, target_entropy=0.1)
     assert mixing.exponent({}, 2.0) == 1.0
 
 

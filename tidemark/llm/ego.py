@@ -6,7 +6,8 @@ grid of cell width eps over the leading axes, and sorted by cell: the epsilon gr
 order.  The sequence is cut into intervals; interval pairs whose bounding boxes are
 further apart than eps are provably without links and skipped, first among whole
 intervals by table joins, then recursively within a pair.  What is left is compared
-by exact cosines in double precision.  Equal vectors are folded into one row that
+by exact cosines in double precision; those within 1e-9 of the threshold are taken again
+from the vectors as given, as dot(a, b) / sqrt(dot(a, a) * dot(b, b)).  Equal vectors are folded into one row that
 carries their number before anything meets.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components
@@ -67,8 +68,8 @@ def _axes(vectors: DataFrame, dims: int) -> np.ndarray:
     return np.linalg.eigh(scatter)[1][:, ::-1]
 
 
-def _intervals(vectors: DataFrame, dims: int, eps: float) -> DataFrame:
-    """(block, ids, weights, x, low, high): sequence intervals of the grid order with their bounding boxes."""
+def _intervals(vectors: DataFrame, dims: int, eps: float) -> tuple[DataFrame, np.ndarray]:
+    """(block, ids, weights, x, low, high): sequence intervals of the grid order with their bounding boxes, and the turn onto the axes."""
     turn = _axes(vectors, dims)
     n = vectors.count()
     k = min(AXES, dims)
@@ -78,7 +79,7 @@ def _intervals(vectors: DataFrame, dims: int, eps: float) -> DataFrame:
         for b in batches:
             x = _unit(_matrix(b.column(2))) @ turn
             c = np.floor(x[:, :k] / eps).astype(np.int32)
-            rows = pa.array([r.tobytes() for r in x], pa.binary())
+            rows = pa.array([r.tobytes() for r in _matrix(b.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c[:, i]) for i in range(k)], rows], ["rep", "weight", *cells, "x"])
 
     placed = vectors.select("rep", "weight", "v").mapInArrow(grid, f"rep long, weight long, {', '.join(f'{c} int' for c in cells)}, x binary")
@@ -89,13 +90,16 @@ def _intervals(vectors: DataFrame, dims: int, eps: float) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, INTERVAL):
                 piece = b.slice(a, INTERVAL)
-                x = np.frombuffer(b"".join(piece.column(piece.num_columns - 1).to_pylist()), np.float64).reshape(piece.num_rows, dims)
-                row = [part + k, piece.column(0).to_numpy().tobytes(), piece.column(1).to_numpy().tobytes(), x.tobytes(), x.min(0).tolist(), x.max(0).tolist()]
+                raw = np.frombuffer(b"".join(piece.column(piece.num_columns - 1).to_pylist()), np.float64).reshape(piece.num_rows, dims)
+                x = _unit(raw) @ turn
+                low = raw.astype(np.float32)  # half the bytes where nothing is lost
+                kept = low if (low == raw).all() else raw
+                row = [part + k, piece.column(0).to_numpy().tobytes(), piece.column(1).to_numpy().tobytes(), kept.tobytes(), x.min(0).tolist(), x.max(0).tolist()]
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["block", "ids", "weights", "x", "low", "high"])
                 k += 1
 
-    return scratch.written(placed.mapInArrow(cut, "block long, ids binary, weights binary, x binary, low array<double>, high array<double>"), "ego-intervals")
+    return scratch.written(placed.mapInArrow(cut, "block long, ids binary, weights binary, x binary, low array<double>, high array<double>"), "ego-intervals"), turn
 
 
 def _apart(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> float:
@@ -105,7 +109,7 @@ def _apart(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.
 
 
 def join_intervals(a: np.ndarray, b: np.ndarray | None, eps: float, threshold: float, found: list, off_a: int = 0, off_b: int = 0) -> None:
-    """Append to ``found`` the index pairs (i in a, j in b; b None: i < j in a) with cosine >= threshold.
+    """Append to ``found`` the index pairs (i in a, j in b; b None: i < j in a) with cosine >= threshold - 1e-9, and the cosines.
 
     Halves both sequences until the pieces are small or their boxes provably apart.
     """
@@ -116,13 +120,11 @@ def join_intervals(a: np.ndarray, b: np.ndarray | None, eps: float, threshold: f
     if not same and _apart(a.min(0), a.max(0), b.min(0), b.max(0)) > eps * eps + _SLACK:
         return
     if len(a) <= LEAF and len(other) <= LEAF:
-        i, j = np.nonzero(a @ other.T >= threshold - _SLACK)
+        cosine = a @ other.T
+        i, j = np.nonzero(cosine >= threshold - _SLACK)
         if same:
             i, j = i[i < j], j[i < j]
-        x, y = a[i], other[j]
-        cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-        ok = cosine >= threshold
-        found.append((i[ok] + off_a, j[ok] + (off_a if same else off_b)))
+        found.append((i + off_a, j + (off_a if same else off_b), cosine[i, j]))
         return
     h = (len(a) + 1) // 2
     if same:
@@ -157,7 +159,7 @@ def _pairs(intervals: DataFrame, eps: float) -> DataFrame:
 def _linked(vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(kind, u, v): kind 0 gives distinct vector u further v links, kind 1 links u and v."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    intervals = _intervals(vectors, dims, eps)
+    intervals, turn = _intervals(vectors, dims, eps)
     data = intervals.select("block", "ids", "weights", "x")
     one = data.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("weights").alias("weights_a"), F.col("x").alias("x_a"))
     two = data.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("weights_b"), F.col("x").alias("x_b"))
@@ -170,11 +172,15 @@ def _linked(vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
                 same = row["a"] == row["b"]
                 ia, ib = np.frombuffer(row["ids_a"], np.int64), np.frombuffer(row["ids_b"], np.int64)
                 wa, wb = np.frombuffer(row["weights_a"], np.int64), np.frombuffer(row["weights_b"], np.int64)
-                xa, xb = np.frombuffer(row["x_a"], np.float64).reshape(-1, dims), np.frombuffer(row["x_b"], np.float64).reshape(-1, dims)
+                ra, rb = (np.frombuffer(row[x], np.float32 if len(row[x]) == 4 * dims * n else np.float64).reshape(-1, dims).astype(np.float64) for x, n in (("x_a", len(ia)), ("x_b", len(ib))))
                 found: list = []
-                join_intervals(xa, None if same else xb, eps, threshold, found)
-                i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-                j = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+                join_intervals(_unit(ra) @ turn, None if same else _unit(rb) @ turn, eps, threshold, found)
+                i, j, cosine = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+                near = np.flatnonzero(cosine < threshold + _SLACK)
+                x, y = ra[i[near]], rb[j[near]]
+                ok = np.ones(len(i), bool)
+                ok[near] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)) >= threshold
+                i, j = i[ok], j[ok]
                 if not len(i):
                     continue
                 # links by vector, and a star for each local component: no list of pairs leaves the task

@@ -8,7 +8,7 @@ each epoch is a permutation of the source's blocks (documents dealt by hash), th
 part takes blocks in that order, and documents in hash order within the block where
 the budget ends.
 
-Cases: null sources count as the source with the empty name; null and empty texts
+Tokens are words here.  Cases: null sources count as the source with the empty name; null and empty texts
 weigh no tokens but are placed; rows that repeat an id share its place; a source
 without tokens is placed once; ties in hash order fall by id.
 """
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Blocks of a source, and the most sources (whose totals alone come to the driver).
+#: Blocks of a source (more for larger tables, so that a block has about BLOCK_ROWS documents at most), and the most
+#: sources (whose totals alone come to the driver).
 BLOCKS = 256
+BLOCK_ROWS = 8192
 MOST_SOURCES = 100_000
 
 
@@ -43,7 +45,7 @@ def entropy(w: dict[str, float]) -> float:
 
 
 def exponent(shares: dict[str, float], repeat_limit: float | None = None, target_entropy: float | None = None) -> float:
-    """Bisection in [0, 1]: repeats fall and entropy falls as the exponent rises."""
+    """Bisection: repeats fall and entropy falls as the exponent rises, and at 1 nothing is repeated more than anything else."""
     some = {s: p for s, p in shares.items() if p > 0}
     if not some:
         return 1.0
@@ -57,9 +59,12 @@ def exponent(shares: dict[str, float], repeat_limit: float | None = None, target
 
     if fits(0.0):
         return 0.0
-    if not fits(1.0):  # an entropy below that of the shares themselves is not reached by smoothing
-        return 1.0
     low, high = 0.0, 1.0
+    while not fits(high):  # an entropy below that of the shares themselves: they are sharpened, not smoothed
+        low, high = high, 2 * high
+        if high > 2**20:
+            most = max(some.values())
+            raise ValueError(f"no exponent has an entropy of {target_entropy} or less: {sum(p == most for p in some.values())} sources are the largest")
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (low, mid) if fits(mid) else (mid, high)
@@ -89,7 +94,8 @@ def mix(docs: DataFrame, budget: int | None = None, repeat_limit: float | None =
     spark = docs.sparkSession
     name = F.coalesce(F.col(source_col), F.lit("")).alias("mix_source")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
-    dealt = docs.select("*", name, key.alias("mix_key"), F.pmod(key, F.lit(BLOCKS)).cast("int").alias("mix_block"), words(text_col).alias("mix_tokens"))
+    n_blocks = max(BLOCKS, 1 << (docs.count() // BLOCK_ROWS).bit_length())
+    dealt = docs.select("*", name, key.alias("mix_key"), F.pmod(key, F.lit(n_blocks)).cast("int").alias("mix_block"), words(text_col).alias("mix_tokens"))
     slim = scratch.written(dealt.select(F.col(id_col).alias("mix_id"), "mix_source", "mix_key", "mix_block", "mix_tokens"), "mix-keys")
     blocks = scratch.written(slim.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("tokens")), "mix-blocks")
     rows = blocks.groupBy("mix_source").agg(F.sum("tokens").alias("n")).limit(MOST_SOURCES + 1).collect()

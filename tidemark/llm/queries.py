@@ -18,7 +18,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), added=True)).withColumnRenamed("id", "doc_id")
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS n FROM embeddings
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
-  ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+  ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / sqrt(a.n * b.n) >= 0.9
 ), reach AS (
   SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 ), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)

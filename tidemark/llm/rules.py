@@ -8,7 +8,9 @@ fixed base rules and its score stays under the threshold.
 
 Cases: null and empty texts have no word, so they fail the base rules; without
 labelled rows of both kinds the threshold is the 0.5 of the method's definition
-raised to the score that at most ``CLEAN_LOSS`` of all rows exceed.
+raised to the score that at most ``CLEAN_LOSS`` of all rows exceed.  Repeated rows get
+equal verdicts and count each in the calibration; ids with both labels are left out of
+it; of thresholds that part equally well the middle one is taken; texts are read whole.
 """
 
 from __future__ import annotations
@@ -171,12 +173,15 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
             s = np.column_stack([b.column(k + 1).to_numpy() for k in range(len(STATS))]) if b.num_rows else np.zeros((0, len(STATS)), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(shape(s)), pa.float64())], [*b.schema.names, "anomaly"])
 
-    scored = stats.mapInArrow(score, f"id long, {', '.join(f'{s} long' for s in STATS)}, anomaly double")
+    fields = f"id long, {', '.join(f'{s} long' for s in STATS)}"
+    scored = stats.mapInArrow(score, f"{fields}, anomaly double")
     bin_ = F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS)).cast("int").alias("bin")
     cut = None
     if labels is not None:
-        marked = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").distinct()
-        found = {(r.bin, r.label): r["count"] for r in scored.join(marked, "id").groupBy(bin_, "label").count().collect()}
+        marked = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+        marked = marked.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+        labelled = stats.join(marked, "id").select("id", *STATS, "label").mapInArrow(score, f"{fields}, label int, anomaly double")
+        found = {(r.bin, r.label): r["count"] for r in labelled.groupBy(bin_, "label").count().collect()}
         if {k[1] for k in found} >= {0, 1}:
             cut = threshold(found)
     if cut is None:

@@ -1,11 +1,13 @@
 """URL filter: host and path rules first, then logistic regression on hashed character n-grams.
 
-The classifier is trained from a small labelled URL table: addresses built from
-the word lists below in the shapes that both kinds of sites use, so that only the
-words tell them apart.
+The classifier is trained from a small labelled URL table: the caller's, or addresses
+built from the word lists below in the shapes that both kinds of sites use, so that
+only the words tell them apart.  Words are also joined with each other and with neutral
+ones, as sites join them, so that unseen compounds of known parts are recognised.
 
 Cases: null urls and urls without ``://`` have empty host and path and take the
-classifier's verdict on nothing, which is allow; repeated rows get equal verdicts.
+classifier's verdict on nothing, which is allow; repeated rows get equal verdicts;
+very long urls are judged whole.
 """
 
 from __future__ import annotations
@@ -38,11 +40,17 @@ DIMS = 1 << 13
 ORDERS = (3, 4, 5)
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
+#: Parts that sites of both kinds carry.
+NEUTRAL = ("my", "the", "best", "online", "club", "shop", "world", "city", "free", "top", "24", "hub", "zone", "blog")
+
+
+def labelled_urls(block: tuple[str, ...] = BLOCK_WORDS, allow: tuple[str, ...] = ALLOW_WORDS) -> list[tuple[str, str, int]]:
     """The small labelled table: (host, path, 1 = block), each word in the shapes below."""
     out = []
-    for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
-        for i, w in enumerate(words):
+    for label, words in ((1, block), (0, allow)):
+        joined = [f"{words[i * 7 % len(words)]}{'-' * (i % 2)}{words[(i * 7 + 3) % len(words)]}" for i in range(len(words))]
+        joined += [f"{NEUTRAL[i % len(NEUTRAL)]}{'-' * (i % 2)}{w}" if i % 3 else f"{w}{'-' * (i % 2)}{NEUTRAL[i % len(NEUTRAL)]}" for i, w in enumerate(words)]
+        for i, w in enumerate([*words, *joined]):
             tld = ("com", "org", "net", "info")[i % 4]
             sub = ("", "www.", "m.", "blog.")[i // 4 % 4]
             lang = ("en", "de", "fr", "es")[i % 4]
@@ -100,9 +108,9 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict) for every row."""
-    model = Model(labelled_urls())
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", labelled: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """(id, host, path, rule, verdict) for every row; ``labelled`` is a small table of (host, path, 1 = block) to learn from instead of the built-in one."""
+    model = Model(labelled_urls() if labelled is None else labelled)
     url = F.coalesce(F.col(url_col), F.lit(""))
     slim = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
@@ -111,7 +119,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     def other(host, path):
         import pandas as pd
 
-        return pd.Series(np.where(model.blocked(host.tolist(), path.tolist()), "block", "allow"))
+        # ruled rows come with null hosts and are not judged
+        need = host.notna().to_numpy()
+        out = np.full(len(host), None, object)
+        out[need] = np.where(model.blocked(host[need].tolist(), path[need].tolist()), "block", "allow")
+        return pd.Series(out, dtype=object)
 
     ruled = slim.select("id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
-    return ruled.select("id", "host", "path", "rule", F.coalesce("by_rule", other("host", "path")).alias("verdict"))
+    return ruled.select("id", "host", "path", "rule", F.coalesce("by_rule", other(F.when(F.col("by_rule").isNull(), F.col("host")), F.col("path"))).alias("verdict"))
