@@ -36,8 +36,10 @@ def words(text_col: str = "text") -> Column:
 
 
 def weights(shares: dict[str, float], exponent: float) -> dict[str, float]:
-    total = sum(p**exponent for p in shares.values() if p > 0)
-    return {s: p**exponent / total if p > 0 else 0.0 for s, p in shares.items()}
+    most = max(shares.values(), default=0)
+    powers = {s: (p / most) ** exponent if p > 0 else 0.0 for s, p in shares.items()}  # relative to the largest: it never vanishes
+    total = sum(powers.values())
+    return {s: p / total if total else 0.0 for s, p in powers.items()}
 
 
 def entropy(w: dict[str, float]) -> float:
