@@ -174,3 +174,32 @@ def concatenated(a: DataFrame, b: DataFrame) -> DataFrame:
     met = left.join(right, ["qName", "tName", "strand"])
     beyond = lambda c: F.element_at(f"a_{c}", -1) + F.element_at("a_blockSizes", -1) <= F.col(f"b_{c}")[0]
     return met.where(beyond("qStarts") & beyond("tStarts")).select("qName", "tName", "strand", *[F.concat(f"a_{c}", f"b_{c}").alias(c) for c in ("blockSizes", "qStarts", "tStarts")])
+
+
+def supplementary(sam: DataFrame, sa: Column | None = None, xa: Column | None = None) -> DataFrame:
+    """The further alignments that a record's SA (split) and XA (alternative) tags name, as SAM rows: qname, flag, rname, pos, mapq, cigar.
+
+    ``sa`` holds ``chrom,pos,strand,cigar,mapq,edits;`` or ``chrom,<strand>pos,cigar,mapq[,edits];`` entries, ``xa``
+    ``chrom,<strand>pos,cigar,edits;`` entries.  Entries of any other form are an error, as a lost alignment would be silent.
+    """
+    name, number = r"([^,]+)", r"(\d+)"
+    layouts = [(sa, rf"^{name},{number},([+-]),{name},{number},{number}$", (1, 2, 3, 4, 5)), (sa, rf"^{name},([+-]){number},{name},{number}(?:,{number})?$", (1, 3, 2, 4, 5)), (xa, rf"^{name},([+-]){number},{name},{number}$", (1, 3, 2, 4, None))]
+    parts = []
+    for tag in (sa, xa):
+        if tag is None:
+            continue
+        entry = sam.select("qname", F.explode(F.split(tag, ";")).alias("entry")).where("entry <> ''")
+        fields = F.raise_error(F.concat(F.lit("an alignment tag that cannot be read: "), F.col("entry"))).cast("struct<rname:string,pos:string,strand:string,cigar:string,mapq:string>")
+        for of, pattern, (c, p, s, g, q) in reversed([x for x in layouts if x[0] is tag]):
+            got = [F.regexp_extract("entry", pattern, k) if k else F.lit("0") for k in (c, p, s, g, q)]
+            fields = F.when(F.col("entry").rlike(pattern), F.struct(*[v.alias(n) for v, n in zip(got, ("rname", "pos", "strand", "cigar", "mapq"))])).otherwise(fields)
+        rows = entry.select("qname", fields.alias("x"))
+        parts.append(rows.select("qname", F.when(F.col("x.strand") == "-", 16).otherwise(0).alias("flag"), "x.rname", F.col("x.pos").cast("int").alias("pos"), F.col("x.mapq").cast("int").alias("mapq"), "x.cigar"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def best_per_query(psl: DataFrame) -> DataFrame:
+    """The alignment of each query with the most bases in blocks; ties by target and start."""
+    from ..operators.select import best
+
+    return best(psl, ["qName"], [F.desc(coverage("blockSizes")), F.col("tName"), F.col("tStart")])

@@ -82,6 +82,22 @@ def overlapping(seq: str | Column, size: int, more: int) -> Column:
     return F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(pieces, i + 1), 1, more), F.lit(""))))
 
 
+def chunked(reference: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """(name, chunk, seq): a reference (name, seq) in rows of ``size`` letters, so that a slice reads few of them."""
+    pieces = F.transform(F.regexp_extract_all("seq", F.lit("(?s).{1,%d}" % size), F.lit(0)), lambda p, i: F.struct(i.cast("long").alias("chunk"), p.alias("seq")))
+    return reference.select("name", F.explode(pieces).alias("x")).select("name", "x.*")
+
+
+def slices(chunks: DataFrame, regions: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """``regions`` (id, name, s, e) with the letters [s, e) of the chunked reference; only the chunks that a region touches meet it."""
+    touched = F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.greatest("e", F.col("s") + 1) - 1) / size))).alias("chunk")
+    met = regions.select("id", "name", "s", "e", touched).join(chunks, ["name", "chunk"])
+    at = F.col("chunk") * size
+    part = F.substr("seq", (F.greatest(F.col("s") - at, F.lit(0)) + 1).cast("int"), (F.least(F.col("e") - at, F.lit(size)) - F.greatest(F.col("s") - at, F.lit(0))).cast("int"))
+    got = met.groupBy("id", "name", "s", "e").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("chunk", part.alias("p")))), lambda x: x["p"])).alias("seq"))
+    return regions.join(got, ["id", "name", "s", "e"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+
+
 def slice_of(seq: str | Column, start: str | Column, end: str | Column, strand: Column | None = None) -> Column:
     """Letters [start, end) of the sequence, reverse complemented on strand ``-``."""
     piece = F.substr(_c(seq), _c(start).cast("int") + 1, (_c(end) - _c(start)).cast("int"))

@@ -17,7 +17,7 @@ def count(reads: DataFrame, seq_col: str, k: int, both_strands: bool = False, ke
 
     Long sequences are cut into overlapping pieces first, so that no row holds all k-mers of a chromosome.
     """
-    pieces = reads.select(*keys, F.explode(seq.overlapping(seq_col, PIECE, k - 1)).alias("piece"))
+    pieces = reads.select(*keys, F.explode(seq.overlapping(seq_col, max(PIECE, k), k - 1)).alias("piece"))
     flat = pieces.select(*keys, F.explode(seq.kmers("piece", k)).alias("kmer"))
     by = flat.groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
     if both_strands:  # fold first, turn the distinct ones only

@@ -123,3 +123,8 @@ def best_by_base(alignments: DataFrame, query: str, least: int = 1, share: float
         return pd.DataFrame([x for x in out if x[3] - x[2] >= least], columns=[query, "id", "qs", "qe"])
 
     return alignments.groupBy(query).applyInPandas(run, f"{query} {kinds[query]}, id {kinds['id']}, qs long, qe long")
+
+
+def covered(reads: DataFrame, share: str, least: float) -> DataFrame:
+    """Corrected reads of which at least ``least`` (``share``, 0 to 1) is covered by others."""
+    return reads.where(F.col(share) >= least)

@@ -81,6 +81,35 @@ def ordinal(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return running_total(df, order, {"1": out}).withColumn(out, F.col(out) - 1)
 
 
+def field_order(spec: str, columns: list[str]) -> list[Column]:
+    """Sort columns of a field list such as ``1,2n,3ni``: fields from 1, ``n`` by number, ``i`` from the greatest."""
+    out = []
+    for field in spec.split(","):
+        digits = field.rstrip("ni")
+        if not digits.isdigit() or not 1 <= int(digits) <= len(columns) or sorted(field[len(digits) :]) not in ([], ["i"], ["n"], ["i", "n"]):
+            raise ValueError(f"not a sort field: {field!r}")
+        c = F.col(columns[int(digits) - 1])
+        c = F.expr(f"try_cast(`{columns[int(digits) - 1]}` AS double)") if "n" in field else c.cast("string")
+        out.append(c.desc() if "i" in field[len(digits) :] else c.asc())
+    return out
+
+
+#: Columns that order tables by location and by name.
+LOCATION = {"genepred": ["chrom", "txStart", "txEnd", "name"], "bed": ["chrom", "s", "e"], "psl": ["tName", "tStart", "tEnd", "qName"], "sam": ["rname", "pos", "qname"]}
+NAME = {"genepred": ["name", "chrom", "txStart"], "bed": ["name", "chrom", "s"], "psl": ["qName", "tName", "tStart"], "sam": ["qname", "rname", "pos"]}
+
+
+def in_order(df: DataFrame, kind: str, by: str = "location") -> DataFrame:
+    """Rows of a genepred, bed, psl or sam table in order of location or name."""
+    return df.orderBy(*{"location": LOCATION, "name": NAME}[by][kind])
+
+
+def by_length(df: DataFrame, text: str, least: int = 0, most: int | None = None) -> DataFrame:
+    """Rows whose ``text`` has at least ``least`` and at most ``most`` letters."""
+    n = F.length(text)
+    return df.where((n >= least) & (F.lit(True) if most is None else n <= most))
+
+
 def exact_sample(df: DataFrame, n: int, key: list[str], seed: int = 1) -> DataFrame:
     """``n`` rows in pseudo-random order of md5(seed, key)."""
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(n)

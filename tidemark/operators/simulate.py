@@ -118,3 +118,22 @@ def mates(fragments_: DataFrame, size: int) -> DataFrame:
 
     right = F.expr(f"right(fragment, {size})")
     return fragments_.withColumn("left", seq.pad_to(F.substring("fragment", 1, size), size)).withColumn("right", seq.pad_to(seq.reverse_complement(right), size))
+
+
+def quality_errors(reads: DataFrame, seq_col: str, qual_col: str, key: str, seed: int = 1, kind: str = "S") -> DataFrame:
+    """``reads`` with substitutions in ``seq_col``: each base errs with the probability that its quality character states.
+
+    Draws are md5 hashes of (seed, key, position), so a read errs alike in every run; another base takes the place.
+    """
+    from ..functions import quality
+
+    letters, codes = F.split(F.col(seq_col), ""), quality.codes(qual_col)
+
+    def erred(c, i):
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))
+        draw = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / float(2**32)
+        others = F.replace(F.lit("ACGT"), c, F.lit(""))
+        pick = F.substr(others, (F.conv(F.substring(h, 9, 4), 16, 10).cast("bigint") % F.length(others) + 1).cast("int"), F.lit(1))
+        return F.when(draw < quality.error_probability(F.get(codes, i), kind), pick).otherwise(c)
+
+    return reads.withColumn(seq_col, F.concat_ws("", F.transform(F.filter(letters, lambda c: c != ""), erred)))

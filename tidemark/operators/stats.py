@@ -127,6 +127,25 @@ def low_quality_shares(reads: DataFrame, qual: str, levels: list[int], least: li
     return pairs.groupBy("quality", "least").agg(F.round(F.count_if(F.col("n") >= F.col("least")) / F.count("*"), 6).alias("share"))
 
 
+def kaplan_meier(df: DataFrame, time: str, event: str, group: str, digits: int = 6) -> DataFrame:
+    """(group, time, at_risk, events, survival): the product-limit curve of each group at its event times."""
+    by = df.groupBy(group, time).agg(F.count("*").alias("_n"), F.sum(event).alias("events"))
+    back = W.partitionBy(group).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, 0)
+    risk = by.withColumn("at_risk", F.sum("_n").over(back)).where("events > 0")
+    upto = W.partitionBy(group).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    left = 1 - F.col("events") / F.col("at_risk")
+    # the logarithms of the factors are summed; a factor of 0 ends the curve
+    alive = F.when(F.max((left == 0).cast("int")).over(upto) == 0, F.exp(F.sum(F.ln(F.when(left > 0, left))).over(upto))).otherwise(0.0)
+    return risk.select(group, time, "at_risk", "events", F.round(alive, digits).alias("survival"))
+
+
+def chi2_p_value(chi2: float) -> float:
+    """Share of the chi-squared distribution with one degree of freedom beyond ``chi2``."""
+    import math
+
+    return math.erfc(math.sqrt(max(0.0, chi2) / 2))
+
+
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """(observed, expected, variance, chi2) of group 1 against group 0 over the distinct event times."""
     by = df.groupBy(time).agg(F.count("*").alias("n"), F.sum(F.col(group)).alias("n1"), F.sum(F.col(event)).alias("d"), F.sum(F.col(event) * F.col(group)).alias("d1"))

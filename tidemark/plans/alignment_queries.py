@@ -67,7 +67,26 @@ def variants(spark, d):
     return vcf.filtered(v, 20000.0, 30, 8, 2, True).select("l_orderkey", "l_linenumber")
 
 
+def split_alignments(spark, d):
+    """Lines as reads whose tags name further alignments in three layouts."""
+    x = table(spark, d, "lineitem")
+    pos, minus = (F.datediff("l_shipdate", F.lit("1992-01-01")) + 1).cast("string"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+")
+    chrom, text = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M"))
+    bwa, other = F.concat_ws(",", chrom, pos, minus, text, F.lit("60"), F.lit("1")), F.concat_ws(",", chrom, F.concat(minus, pos), text, F.lit("30"))
+    sa = F.when(F.col("l_linenumber") % 2 == 0, F.concat(bwa, F.lit(";"), other, F.lit(";"))).otherwise(F.concat(other, F.lit(",2;")))
+    xa = F.when(F.col("l_linestatus") == "O", F.concat(F.concat_ws(",", chrom, F.concat(minus, pos), text, F.lit("0")), F.lit(";")))
+    return psl.supplementary(x.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("qname"), sa.alias("sa"), xa.alias("xa")), F.col("sa"), F.col("xa"))
+
+
+def best_psl(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qName"), F.col("l_suppkey").alias("tName"), F.col("l_partkey").alias("tStart"), F.array(F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")).alias("blockSizes"))
+    return psl.best_per_query(rows).select("qName", "tName", "tStart").distinct()
+
+
 QUERIES = {
+    "split_alignments": (split_alignments, """WITH x AS (SELECT l_orderkey || '/' || l_linenumber AS qname, CASE l_returnflag WHEN 'R' THEN 16 ELSE 0 END AS flag, 's' || l_suppkey AS rname, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + 1)::INTEGER AS pos, l_quantity::INT || 'M' AS cigar, l_linenumber % 2 = 0 AS even, l_linestatus = 'O' AS open FROM lineitem)
+ SELECT qname, flag, rname, pos, 60 AS mapq, cigar FROM x WHERE even UNION ALL SELECT qname, flag, rname, pos, 30, cigar FROM x UNION ALL SELECT qname, flag, rname, pos, 0, cigar FROM x WHERE open"""),
+    "best_psl_per_query": (best_psl, "SELECT DISTINCT l_orderkey AS qName, l_suppkey AS tName, l_partkey AS tStart FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::BIGINT + l_linenumber DESC, l_suppkey, l_partkey) AS k FROM lineitem) WHERE k = 1"),
     "junction_table": (junction_table, f"WITH {_SAM} SELECT chrom, l::BIGINT AS l, r::BIGINT AS r, count(DISTINCT qname) AS reads, count(DISTINCT left_size) AS positions, max(right_size)::BIGINT AS width, count(DISTINCT qname) FILTER (uniq) AS unique_reads, count(DISTINCT qname) FILTER (NOT uniq) AS multi_reads FROM jn GROUP BY 1, 2, 3"),
     "junction_support_filter": (supported, f"WITH {_SAM}, j AS (SELECT * FROM jn WHERE left_size >= 8 AND right_size >= 8), g AS (SELECT chrom, l, r FROM j GROUP BY 1, 2, 3 HAVING count(DISTINCT qname) >= 3), k AS (SELECT DISTINCT qname FROM j JOIN g USING (chrom, l, r)) SELECT DISTINCT qname, chrom AS rname, (p0 + 1)::INTEGER AS pos FROM sam SEMI JOIN k USING (qname)"),
     "alignment_blocks": (sam_blocks, f"WITH {_SAM} SELECT qname AS qName, p0::BIGINT AS tStart, (p0 + a + gap + b)::BIGINT AS tEnd, CASE WHEN minus THEN '-' ELSE '+' END AS strand, 2::BIGINT AS n, (a + b)::BIGINT AS bp, round(1 - CASE WHEN gap < 68 THEN gap ELSE 0 END / (a + b), 6) AS quality, true AS valid FROM sam"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import align, cigar, quality, seq
 from ..operators import coverage as cov
-from ..operators import kmers, simulate, stats
+from ..operators import kmers, select, simulate, stats
+from ..sinks import bam
 from .views import DNA, QUAL, QUAL_CODES, dna, qual, table
 
 _TURN = "reverse(translate({s}, 'ACTGUNXactgunx', 'TGACANXtgacanx'))"
@@ -131,6 +133,52 @@ def emitted(spark, d):
     return simulate.emit(dna(spark, d).select(F.col("doc_id").alias("id"), F.length("seq").alias("w")), "w", 5000, 11)
 
 
+def reference_slices(spark, d):
+    """Order lines as regions of the documents' sequences, which are read in chunks of 256 letters."""
+    chunks = seq.chunked(dna(spark, d).select(F.col("doc_id").cast("string").alias("name"), "seq"), 256)
+    start = F.col("l_quantity").cast("long") * 20
+    regions = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.pmod("l_partkey", F.lit(250)).cast("string").alias("name"), start.alias("s"), (start + F.col("l_linenumber") * 100).alias("e"))
+    return seq.slices(chunks, regions.distinct(), 256).select("id", "name", "s", "e", F.md5("seq").alias("seq"))
+
+
+def length_filter(spark, d):
+    return select.by_length(dna(spark, d), "seq", 100, 2000).select("doc_id", F.length("seq").cast("long").alias("n"))
+
+
+def quality_errors(spark, d):
+    x = table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]), "[^ACGT]", "").alias("seq"))
+    x = x.withColumn("qual", F.rpad(F.lit(""), F.length("seq"), F.lit("!&+05:")))
+    return simulate.quality_errors(x, "seq", "qual", "item_id", 3).select("item_id", "seq")
+
+
+def bgzf_round_trip(spark, d):
+    @F.pandas_udf("binary")
+    def there_and_back(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else bam.unbgzf(bam.bgzf(t.encode())) for t in texts], dtype=object)
+
+    return table(spark, d, "documents").select("doc_id", F.md5(there_and_back("text")).alias("sum"))
+
+
+def bam_round_trip(spark, d):
+    """Lines as alignment records, written to BAM files by supplier group and read again."""
+    from ..sources.bam import SCHEMA, records
+
+    x = table(spark, d, "lineitem")
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M"), (F.col("l_partkey") % 90 + 1).cast("string"), F.lit("N5M"))
+    sam = x.select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber").alias("qname"), F.when(F.col("l_returnflag") == "R", 16).otherwise(0).alias("flag"), F.concat(F.lit("c"), (F.col("l_suppkey") % 7).cast("string")).alias("rname"), (F.datediff("l_shipdate", F.lit("1992-01-01")) + 1).alias("pos"), F.lit(9).alias("mapq"), text.alias("cigar"),
+        F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.rpad(F.lit(""), F.col("l_quantity").cast("int") + 5, F.lit("ACGTN")).alias("seq"), F.lit("*").alias("qual"), F.create_map(F.lit("NM"), F.col("l_linenumber").cast("string")).alias("tags"),
+    )
+    made = bam.files(sam, [(f"c{i}", 100_000) for i in range(7)], F.col("rname"), 20_000)
+
+    def read(batches):
+        for pdf in batches:
+            for content in pdf.content:
+                yield pd.DataFrame(list(records(bam.unbgzf(bytes(content)))), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return made.mapInPandas(read, SCHEMA).select("qname", "flag", "rname", "pos", "cigar", F.length("seq").cast("long").alias("n"), F.col("tags")["NM"].alias("nm"))
+
+
 _DOCS = f"WITH {DNA}"
 _KM = "km AS (SELECT doc_id, substr(seq, i::BIGINT, {k}) AS kmer FROM dna, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) r(i))"
 _COMP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({s}, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')"
@@ -170,6 +218,15 @@ QUERIES = {
     "cigar_spans": (cigar_spans, """SELECT l_orderkey, l_linenumber, (l_quantity::INT + l_linenumber + 4)::BIGINT AS coverage, (l_quantity::INT + l_partkey % 150 + 1 + l_linenumber + 4 + 3)::BIGINT AS span,
  (2 * l_linenumber + l_quantity::INT + 4 + 2)::BIGINT AS query, CASE WHEN l_partkey % 150 + 1 >= 68 THEN 2 ELSE 1 END::BIGINT AS exons FROM lineitem"""),
     "safe_names": (names_codec, "SELECT c_custkey, c_name AS name, true AS safe FROM customer"),
+    "reference_slices": (reference_slices, f"""{_DOCS}, r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_partkey % 250 AS k, l_quantity::BIGINT * 20 AS s, l_quantity::BIGINT * 20 + l_linenumber * 100 AS e FROM lineitem)
+ SELECT r.id, r.k::VARCHAR AS name, r.s, r.e, md5(coalesce(substr(dna.seq, r.s + 1, r.e - r.s), '')) AS seq FROM r LEFT JOIN dna ON dna.doc_id = r.k"""),
+    "length_filter": (length_filter, f"{_DOCS} SELECT doc_id, length(seq) AS n FROM dna WHERE length(seq) BETWEEN 100 AND 2000"),
+    "quality_errors": (quality_errors, f"""WITH b AS (SELECT item_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{("ACGT" * 7)[:26]}'), '[^ACGT]', '', 'g') AS seq FROM benchmark),
+ x AS (SELECT item_id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM b WHERE length(seq) > 0), h AS (SELECT *, md5('3|' || item_id || '|' || i) AS h, ascii(substr('!&+05:', (i % 6 + 1)::BIGINT, 1)) - 33 AS q, replace('ACGT', c, '') AS o FROM x),
+ e AS (SELECT item_id, i, CASE WHEN ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0 < pow(10.0, -q / 10.0) THEN substr(o, (('0x' || substr(h, 9, 4))::BIGINT % 3) + 1, 1) ELSE c END AS c FROM h) SELECT item_id, string_agg(c, '' ORDER BY i) AS seq FROM e GROUP BY 1"""),
+    "bgzf_round_trip": (bgzf_round_trip, "SELECT doc_id, md5(text) AS sum FROM documents"),
+    "bam_round_trip": (bam_round_trip, """SELECT l_orderkey || '/' || l_linenumber AS qname, CASE l_returnflag WHEN 'R' THEN 16 ELSE 0 END AS flag, 'c' || l_suppkey % 7 AS rname, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + 1)::INTEGER AS pos,
+ l_quantity::INT || 'M' || (l_partkey % 90 + 1) || 'N5M' AS cigar, l_quantity::BIGINT + 5 AS n, l_linenumber::VARCHAR AS nm FROM lineitem"""),
     "needleman_wunsch": (global_alignment, None),
     "smith_waterman": (local_alignment, None),
     "error_classes": (error_classes, None),

@@ -144,6 +144,17 @@ def log_rank(spark, d):
     return stats.log_rank(_survival(spark, d), "t", "ev", "g")
 
 
+def survival_curve(spark, d):
+    return stats.kaplan_meier(_survival(spark, d), "t", "ev", "g")
+
+
+def field_sort(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_mktsegment"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_custkey").cast("string").alias("key"))
+    from pyspark.sql import Window as W
+
+    return x.withColumn("place", F.row_number().over(W.partitionBy("c_mktsegment").orderBy(*select.field_order("2ni,3n", x.columns))).cast("long"))
+
+
 def max_cut(spark, d):
     return stats.max_cut(_survival(spark, d), "t", "ev", "o_totalprice", [50000, 100000, 150000, 200000, 250000])
 
@@ -237,6 +248,9 @@ QUERIES = {
  SELECT depth, round(count(n) / 5, 6) AS mean_found FROM d LEFT JOIN (SELECT n FROM h WHERE c = 2) ON n <= depth GROUP BY 1"""),
     "survival_logrank": (log_rank, f"""WITH {_SURV.format(g='o_custkey % 2', more='')}, b AS (SELECT t, count(*) AS n, sum(g) AS n1, sum(ev) AS d, sum(ev * g) AS d1 FROM x GROUP BY 1), r AS (SELECT *, sum(n) OVER w AS r, sum(n1) OVER w AS r1 FROM b WINDOW w AS (ORDER BY t DESC)),
  s AS (SELECT sum(d1) AS o, sum(d * r1 / r) AS e, sum(CASE WHEN r > 1 THEN d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1) ELSE 0 END) AS v FROM r WHERE d > 0) SELECT o::BIGINT AS observed, round(e, 4) AS expected, round(v, 4) AS variance, round((o - e) * (o - e) / v, 4) AS chi2 FROM s"""),
+    "survival_curve": (survival_curve, f"""WITH {_SURV.format(g='o_custkey % 2', more='')}, b AS (SELECT g, t, count(*) AS n, sum(ev)::BIGINT AS events FROM x GROUP BY 1, 2), r AS (SELECT *, (sum(n) OVER (PARTITION BY g ORDER BY t DESC))::BIGINT AS at_risk FROM b)
+ SELECT g, t, at_risk, events, round(product(1 - events / at_risk) OVER (PARTITION BY g ORDER BY t), 6) AS survival FROM r WHERE events > 0"""),
+    "field_sort": (field_sort, "SELECT c_mktsegment, c_nationkey::VARCHAR AS nation, c_custkey::VARCHAR AS \"key\", row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey DESC, c_custkey) AS place FROM customer"),
     "max_cut_scan": (max_cut, f"""WITH c AS (SELECT unnest([50000.0, 100000.0, 150000.0, 200000.0, 250000.0])::DOUBLE AS cut), {_SURV.format(g='(o_totalprice > cut)::INT', more=', c').replace('AS g FROM', 'AS g, cut FROM')},
  b AS (SELECT cut, t, count(*) AS n, sum(g) AS n1, sum(ev) AS d, sum(ev * g) AS d1 FROM x GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER w AS r, sum(n1) OVER w AS r1 FROM b WINDOW w AS (PARTITION BY cut ORDER BY t DESC)),
  s AS (SELECT cut, sum(d1) AS o, sum(d * r1 / r) AS e, sum(CASE WHEN r > 1 THEN d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1) ELSE 0 END) AS v FROM r WHERE d > 0 GROUP BY 1) SELECT cut, round((o - e) * (o - e) / v, 4) AS chi2 FROM s WHERE v > 0 ORDER BY chi2 DESC, cut LIMIT 1"""),
