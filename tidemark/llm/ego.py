@@ -20,9 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import graph, scratch
@@ -30,9 +32,11 @@ from . import graph, scratch
 THRESHOLD = 0.9
 #: Leading principal axes of the grid.
 AXES = 6
-#: Vectors of a sequence interval, and of the pieces that are multiplied out.
+#: Most vectors and bytes of a sequence interval, vectors of the pieces that are multiplied out, intervals on a side of a task.
 INTERVAL = 4096
+INTERVAL_BYTES = 4 << 20
 LEAF = 256
+SQUARE = 4
 #: Most vector components (the covariance has this squared).
 MOST_DIMS = 4096
 _SLACK = 1e-9
@@ -72,6 +76,7 @@ def _intervals(vectors: DataFrame, dims: int, eps: float) -> tuple[DataFrame, np
     """(block, ids, weights, x, low, high): sequence intervals of the grid order with their bounding boxes, and the turn onto the axes."""
     turn = _axes(vectors, dims)
     n = vectors.count()
+    rows = max(LEAF, min(INTERVAL, INTERVAL_BYTES // (8 * dims)))
     k = min(AXES, dims)
     cells = [f"c{i}" for i in range(k)]
 
@@ -83,13 +88,13 @@ def _intervals(vectors: DataFrame, dims: int, eps: float) -> tuple[DataFrame, np
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c[:, i]) for i in range(k)], rows], ["rep", "weight", *cells, "x"])
 
     placed = vectors.select("rep", "weight", "v").mapInArrow(grid, f"rep long, weight long, {', '.join(f'{c} int' for c in cells)}, x binary")
-    placed = placed.repartitionByRange(max(1, -(-n // INTERVAL)), *cells, "rep").sortWithinPartitions(*cells, "rep")
+    placed = placed.repartitionByRange(max(1, -(-n // rows)), *cells, "rep").sortWithinPartitions(*cells, "rep")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            for a in range(0, b.num_rows, INTERVAL):
-                piece = b.slice(a, INTERVAL)
+            for a in range(0, b.num_rows, rows):
+                piece = b.slice(a, rows)
                 raw = np.frombuffer(b"".join(piece.column(piece.num_columns - 1).to_pylist()), np.float64).reshape(piece.num_rows, dims)
                 x = _unit(raw) @ turn
                 low = raw.astype(np.float32)  # half the bytes where nothing is lost
@@ -157,43 +162,57 @@ def _pairs(intervals: DataFrame, eps: float) -> DataFrame:
 
 
 def _linked(vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """(kind, u, v): kind 0 gives distinct vector u further v links, kind 1 links u and v."""
+    """(kind, u, v): kind 0 gives distinct vector u further v links, kind 1 links u and v.
+
+    A task gets ``SQUARE`` neighbouring intervals on each side and compares all their pairs that are not provably apart,
+    so that an interval travels once for up to ``SQUARE`` pairs.
+    """
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     intervals, turn = _intervals(vectors, dims, eps)
-    data = intervals.select("block", "ids", "weights", "x")
-    one = data.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("weights").alias("weights_a"), F.col("x").alias("x_a"))
-    two = data.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("weights").alias("weights_b"), F.col("x").alias("x_b"))
-    met = _pairs(intervals, eps).join(one, "a").join(two, "b").repartition(scratch.shuffle_partitions(vectors.sparkSession), F.xxhash64("a", "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(i)[r].as_py() for i, name in enumerate(batch.schema.names)}
-                same = row["a"] == row["b"]
-                ia, ib = np.frombuffer(row["ids_a"], np.int64), np.frombuffer(row["ids_b"], np.int64)
-                wa, wb = np.frombuffer(row["weights_a"], np.int64), np.frombuffer(row["weights_b"], np.int64)
-                ra, rb = (np.frombuffer(row[x], np.float32 if len(row[x]) == 4 * dims * n else np.float64).reshape(-1, dims).astype(np.float64) for x, n in (("x_a", len(ia)), ("x_b", len(ib))))
+    place = intervals.select("block", F.floor((F.row_number().over(W.orderBy("block")) - 1) / SQUARE).alias("square"))  # a number an interval
+    pairs = _pairs(intervals, eps).join(place.select(F.col("block").alias("a"), F.col("square").alias("sa")), "a").join(place.select(F.col("block").alias("b"), F.col("square").alias("sb")), "b")
+    pairs = pairs.groupBy("sa", "sb", F.col("a").alias("block")).agg(F.collect_list("b").alias("others"))
+    needed = pairs.withColumn("block", F.explode("others")).select("sa", "sb", "block").union(pairs.select("sa", "sb", "block")).distinct()
+    met = needed.join(pairs, ["sa", "sb", "block"], "left").join(intervals.select("block", "ids", "weights", "x"), "block")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = {}
+        for r in pdf.itertuples():
+            ids, raw = np.frombuffer(r.ids, np.int64), np.frombuffer(r.x, np.float32 if len(r.x) * 2 == len(r.ids) * dims else np.float64).reshape(-1, dims)
+            blocks[r.block] = ids, np.frombuffer(r.weights, np.int64), raw, _unit(raw.astype(np.float64)) @ turn
+        names = sorted(blocks)
+        sizes = [len(blocks[n][0]) for n in names]
+        start = dict(zip(names, np.cumsum([0, *sizes[:-1]]).tolist()))
+        ids, weights = np.concatenate([blocks[n][0] for n in names]), np.concatenate([blocks[n][1] for n in names])
+        more, root_links = np.zeros(len(ids), np.int64), []
+        for r in pdf.itertuples():
+            for other in [] if r.others is None else r.others:
+                same = other == r.block
+                _, wa, ra, xa = blocks[r.block]
+                _, wb, rb, xb = blocks[other]
                 found: list = []
-                join_intervals(_unit(ra) @ turn, None if same else _unit(rb) @ turn, eps, threshold, found)
+                join_intervals(xa, None if same else xb, eps, threshold, found)
                 i, j, cosine = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
                 near = np.flatnonzero(cosine < threshold + _SLACK)
-                x, y = ra[i[near]], rb[j[near]]
+                x, y = ra[i[near]].astype(np.float64), rb[j[near]].astype(np.float64)
                 ok = np.ones(len(i), bool)
                 ok[near] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)) >= threshold
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                # links by vector, and a star for each local component: no list of pairs leaves the task
-                more_a, more_b = np.bincount(i, wb[j], len(ia)).astype(np.int64), np.bincount(j, wa[i], len(ib)).astype(np.int64)
-                root = graph.local_roots(len(ia) + len(ib), i, j if same else j + len(ia))
-                ids = np.concatenate([ia, ib])
+                # links by vector, and a star for each component of the pair: no list of pairs is held
+                more[start[r.block] : start[r.block] + len(wa)] += np.bincount(i, wb[j], len(wa)).astype(np.int64)
+                more[start[other] : start[other] + len(wb)] += np.bincount(j, wa[i], len(wb)).astype(np.int64)
+                root = graph.local_roots(len(wa) + len(wb), i, j if same else j + len(wa))
+                at = np.concatenate([start[r.block] + np.arange(len(wa)), start[other] + np.arange(len(wb))])
                 star = np.flatnonzero(root != np.arange(len(root)))
-                ha, hb = np.flatnonzero(more_a), np.flatnonzero(more_b)
-                kind = np.repeat([0, 0, 1], [len(ha), len(hb), len(star)])
-                u, v = np.concatenate([ia[ha], ib[hb], ids[star]]), np.concatenate([more_a[ha], more_b[hb], ids[root[star]]])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(u), pa.array(v)], ["kind", "u", "v"])
+                root_links.append((at[star], at[root[star]]))
+        u, v = (np.concatenate([x[k] for x in root_links] or [np.zeros(0, np.int64)]) for k in range(2))
+        root = graph.local_roots(len(ids), u, v)
+        star, has = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(more)
+        return pd.DataFrame({"kind": np.repeat([0, 1], [len(has), len(star)]), "u": np.concatenate([ids[has], ids[star]]), "v": np.concatenate([more[has], ids[root[star]]])})
 
-    return met.mapInArrow(run, "kind long, u long, v long")
+    return met.groupBy("sa", "sb").applyInPandas(run, "kind long, u long, v long")
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
