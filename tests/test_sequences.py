@@ -31,7 +31,7 @@ def test_quality_guess(spark):
     text = "DLXYXXRXWYYTPMLUUQWTXTRSXSWMDMTRNDNSMJFJFFRMV"
     codes = one(spark, quality.codes("x"), x=text)
     assert (min(codes), max(codes)) == (68, 89)
-    assert one(spark, quality.encodings(F.lit(68), F.lit(89))) == ["Illumina-1.3", "Illumina-1.5", "Solexa"]
+    assert one(spark, quality.encodings(F.lit(68), F.lit(89))) == ["Illumina-1.3", "Illumina-1.5", "Sanger", "Solexa"]
 
 
 def test_cigar(spark):

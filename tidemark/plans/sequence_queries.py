@@ -161,7 +161,7 @@ def bgzf_round_trip(spark, d):
 
 def bam_round_trip(spark, d):
     """Lines as alignment records, written to BAM files by supplier group and read again."""
-    from ..sources.bam import SCHEMA, records
+    from ..sources.bam_records import SCHEMA, records
 
     x = table(spark, d, "lineitem")
     text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M"), (F.col("l_partkey") % 90 + 1).cast("string"), F.lit("N5M"))

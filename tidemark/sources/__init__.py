@@ -150,7 +150,7 @@ def bgzf_blocks(data: bytes) -> list[tuple[int, int]]:
 
 def bam(spark: SparkSession, path: str) -> DataFrame:
     """Records of BAM files as (qname, flag, rname, pos 1-based, mapq, cigar, rnext, pnext, tlen, seq, qual, tags string map)."""
-    from .bam import SCHEMA, decode_files
+    from .bam_records import SCHEMA, decode_files
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode_files, SCHEMA)
 
