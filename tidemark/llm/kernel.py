@@ -9,6 +9,8 @@ hash of any span costs two lookups and equal bytes always give equal hashes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,20 @@ LOWER[65:91] += 32
 
 def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     if which not in _pow or len(_pow[which][0]) < n + 1:
-        m = max(n + 1, 2 * CHUNK)
+        m = max(n + 1, CHUNK + CHUNK // 16)
         p, q = np.full(m, _MULT[which], np.uint64), np.full(m, pow(_MULT[which], -1, 1 << 64), np.uint64)
         p[0] = q[0] = 1
         _pow[which] = np.multiply.accumulate(p), np.multiply.accumulate(q)
     return _pow[which]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on with what its largest block took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes: every input bit reaches every output bit."""
     h = h ^ (h >> _U(32))

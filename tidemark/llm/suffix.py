@@ -55,7 +55,9 @@ ROUNDS = 4
 BUCKETS = 64
 BUCKET_BYTES = 16 << 20
 #: Bytes of text in a block: what one task holds at a time, several times over.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of text whose fingerprints are taken at a time: whole documents, at least one.
+CHUNK = 1 << 18
 _U = np.uint64
 
 
@@ -149,7 +151,7 @@ class _Block:
     def _at(self, positions: np.ndarray, width: int, which: int = 0) -> np.ndarray:
         """Fingerprints of the ``width`` bytes from each position (sorted, inside a document)."""
         got = []
-        for a, b in kernel.chunks(self.offs):
+        for a, b in kernel.chunks(self.offs, CHUNK):
             lo, hi = self.offs[a], self.offs[b]
             p = positions[np.searchsorted(positions, lo) : np.searchsorted(positions, hi)] - lo
             if len(p):
@@ -320,6 +322,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             for i in range(b.num_rows):
                 row = {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
                 yield row, _Block(row.pop("ids"), row.pop("offs"), row.pop("text"), row.pop("copies"), length)
+                kernel.trim()
 
     def cover_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in each(batches):
