@@ -218,7 +218,7 @@ QUERIES = {
  k AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS k FROM fl) SELECT chrom, count(*) AS n, min(id) AS first_id, max(e) AS e FROM k GROUP BY chrom, k"""),
     "interval_subtract": (subtract, f"WITH {_TWO}, t AS (SELECT * FROM r WHERE e IS NOT NULL AND a > 0 AND b = 0), {_islands('t', 's > far')} SELECT chrom, s, e FROM loci"),
     "interval_intersect": (intersect, f"WITH {_TWO}, t AS (SELECT * FROM r WHERE e IS NOT NULL AND a > 0 AND b > 0), {_islands('t', 's > far')} SELECT chrom, s, e FROM loci"),
-    "interval_union": (union, f"WITH {iv_sql('l_partkey')}, {_islands('iv', 's > far')} SELECT chrom, s, e FROM loci"),
+    "interval_union": (union, f"WITH {_TWO}, t AS (SELECT * FROM r WHERE e IS NOT NULL AND (a > 0 OR b > 0)), {_islands('t', 's > far')} SELECT chrom, s, e FROM loci"),
     "interval_complement": (complement, f"""WITH {iv_sql()}, {_islands('iv', 's > far')}, edges AS (SELECT s_suppkey AS chrom, 0::BIGINT AS e FROM supplier UNION ALL SELECT chrom, e FROM loci),
  ends AS (SELECT s_suppkey AS chrom, 4000::BIGINT AS s FROM supplier UNION ALL SELECT chrom, s FROM loci),
  x AS (SELECT chrom, e, row_number() OVER (PARTITION BY chrom ORDER BY e) AS k FROM edges), y AS (SELECT chrom, s, row_number() OVER (PARTITION BY chrom ORDER BY s) AS k FROM ends)
