@@ -169,9 +169,13 @@ class _Block:
         end = self.offs[np.searchsorted(self.offs, starts, "right")]
         return starts[starts + self.length <= end]
 
-    def strings(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The strings' fingerprints (high and low half) in order, and that order; equal ones stay in document order."""
-        hi, lo = self._at(starts, self.length, 0), self._at(starts, self.length, 1)
+    def strings(self, starts: np.ndarray, rounds: int = 1, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints (high and low half) of the strings of round ``k``, in order, and that order; equal ones stay in document order."""
+        hi = self._at(starts, self.length, 0)
+        if rounds > 1:
+            own = _bucket(hi, rounds) == k
+            starts, hi = starts[own], hi[own]
+        lo = self._at(starts, self.length, 1)
         order = _order(hi, lo)
         return hi[order], lo[order], order
 
@@ -339,9 +343,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     def string_runs(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, block in each(batches):
-                hi, lo, _ = block.strings(block.tying(cover.ties(block, row["ties"])))
-                a, b = np.searchsorted(_bucket(hi, rounds), [k, k + 1])
-                hi, lo = hi[a:b], lo[a:b]
+                hi, lo, _ = block.strings(block.tying(cover.ties(block, row["ties"])), rounds, k)
                 first = _first(hi, lo)
                 yield _batch(row["block"], _bucket(hi[first], total), np.column_stack([hi[first], lo[first]]))
 
