@@ -284,9 +284,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(alive[near])
             right.append(pivot[near])
             alive = alive[(apart > SIMILAR // 2) & (alive != pivot)]
-        a, z = node[np.concatenate(left)], node[np.concatenate(right)]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+        # one link a node joins what the batch has linked, however many pivots a row is near to
+        names, at = np.unique(node, return_inverse=True)
+        root = graph.local_roots(len(names), at[np.concatenate(left)], at[np.concatenate(right)])
+        star = np.flatnonzero(root != np.arange(len(root)))
+        if len(star):
+            yield pa.RecordBatch.from_arrays([pa.array(names[star]), pa.array(names[root[star]])], ["a", "b"])
         keep = pivots & (group == group[-1])
         held = start[keep], key[keep], node[keep], f[keep]
 
