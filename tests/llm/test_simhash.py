@@ -159,3 +159,55 @@ def test_a_large_group_over_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert kept == [0]
+
+
+def _first_of_each(rows):
+    """Ids that stay: the least of each group that is connected by wide fingerprints within 38 bits."""
+    import pyarrow as pa
+    from tidemark.llm import graph, kernel
+
+    rows = sorted(rows)
+    f = simhash.wide_fingerprints(*kernel.flat(pa.array([t for _, t in rows])))
+    apart = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    a, b = np.nonzero(np.triu(apart <= 38, 1))
+    root = graph.local_roots(len(rows), a, b)
+    return [i for k, (i, _) in enumerate(rows) if root[k] == k], int((apart[a, b] > 25).sum())
+
+
+def test_every_text_within_the_budget_is_grouped(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(80):
+        words = [f"v{rnd.randrange(3000)}" for _ in range(200)]
+        for m in range(4):
+            copy = list(words)
+            for _ in range(m and rnd.randrange(2, 7)):
+                copy[rnd.randrange(200)] = f"changed{rnd.randrange(9)}"
+            rows.append((4 * k + m, " ".join(copy)))
+    want, far = _first_of_each(rows)
+    assert far > 100
+    docs = make_docs(spark, rows)
+    assert sorted(r.doc_id for r in simhash.first_of_group(docs).collect()) == want
+    monkeypatch.setattr(simhash, "BLOCK", 100)  # four blocks, ten pairs of them
+    assert sorted(r.doc_id for r in simhash.first_of_group(docs).collect()) == want
+
+
+def test_wide_links_against_brute_force(monkeypatch):
+    from tidemark.llm import graph
+
+    rng = np.random.default_rng(3)
+    f = rng.integers(0, 2**64, (60, 4), dtype=np.uint64)
+    for lim in (6, 20, 39, 39, 45):  # chains of links, each copy of an earlier one
+        copy = f[rng.integers(0, len(f), 120)]
+        for row in copy:
+            for b in rng.choice(256, rng.integers(lim // 2, lim + 1), replace=False):
+                row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        f = np.concatenate([f, copy])
+    n = len(f)
+    a, b = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= 38, 1))
+    arcs = list(range(13))
+    for chunk in (1 << 20, 50):
+        monkeypatch.setattr(simhash, "CANDIDATES", chunk)
+        assert (simhash._alike(f, n, arcs) == graph.local_roots(n, a, b)).all()
+        across = (a < 250) & (b >= 250)
+        assert (simhash._alike(f, 250, arcs) == graph.local_roots(n, a[across], b[across])).all()

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes over the links a-b (one task's share)."""
-    root = np.arange(n)
+def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index reachable from each of ``n`` nodes over the links a-b (one task's share) and those of an earlier ``root``."""
+    root = np.arange(n) if root is None else root.copy()
     while len(a):
         ra, rb = root[a], root[b]
         open_ = ra != rb

@@ -9,12 +9,13 @@ in five rotations, the chain prunes them, and the full Hamming distance is
 checked last.  Equal fingerprints are folded into one row before anything meets.
 
 ``near_duplicates`` is exact for that budget.  ``first_of_group``, the pipeline's
-stage, looks for similar texts: fingerprints of 256 bits over five-word shingles,
-whose ring has 32 segments of 8 bits.  Candidates meet on three whole segments from
-any of the 32 starts (every chain within ``SIMILAR`` / 4 bits has such a start), and the
-full Hamming distance links them within ``SIMILAR`` bits, the expected distance of
-texts with a shingle similarity of 0.8.  Pairs within half of it that meet are always
-in one group.
+stage, looks for similar texts: fingerprints of 256 bits over five-word shingles that
+link within ``SIMILAR`` bits, the expected distance of texts with a shingle similarity
+of 0.8.  It is exact for that budget too: on a ring of 13 segments some chain differs
+in at most 2 bits in its first segment and 8 in its first three.  Blocks of distinct
+fingerprints are compared pair by pair; within a pair, each segment looks up all 211
+changes of up to two bits, the chain prunes, and the full Hamming distance decides.
+Pairs that other links have already joined need no comparing.
 
 Cases: null and empty texts have fingerprint 0 and link like any other; null ids
 take the component of their fingerprint (null if all its ids are); repeated rows stay
@@ -42,7 +43,14 @@ PROBE_FROM = 1500
 _TURNS = [SEGMENTS[i:] + SEGMENTS[:i] for i in range(5)]
 #: Most differing bits of 256 that link two documents of the stage: 256 / pi * acos(2 * 0.8 / 1.8) = 38.8.
 SIMILAR = 38
-_WIDE, _STARTS, _SAME = 4, 32, 24
+_WIDE = 4
+#: Segments of the wide ring (up to 38 bits in all are at most two in one of 13); most differing bits in a chain's first three.
+_ARCS = (20,) * 9 + (19,) * 4
+_THREE = 3 * SIMILAR // len(_ARCS)
+#: Distinct wide fingerprints in a block: a task holds two blocks.
+BLOCK = 1 << 19
+#: Candidate pairs that are looked at at a time.
+CANDIDATES = 1 << 20
 _KEY = np.array([sum(t[:2]) for t in _TURNS], np.uint64)
 _AFTER3 = np.array([64 - sum(t[:3]) for t in _TURNS], np.uint64)
 _AFTER4 = np.array([64 - sum(t[:4]) for t in _TURNS], np.uint64)
@@ -251,47 +259,78 @@ def wide_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> np.n
     return out
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition of (start, key, node, f0..f3) sorted by start, key and node.
+def _alike(f: np.ndarray, cut: int, arcs: list[int]) -> np.ndarray:
+    """Smallest index that each row of ``f`` reaches over links within ``SIMILAR`` bits whose chain starts in one of ``arcs``.
 
-    In each group the first row is a pivot: rows within ``SIMILAR`` bits link to it, rows
-    within half of that need no more comparing (whoever is that near to them is near
-    enough to the pivot), and the rest goes on with the next pivot.  Of a group that
-    goes on in the next batch only the pivots are held.  Pairs within half of the
-    budget that share an earlier start are connected there and not linked again.
+    The first ``cut`` rows are compared with the others, or all with each other if there are no others.
     """
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        start, key, node = (b.column(k).to_numpy() for k in range(3))
-        f = np.column_stack([b.column(3 + k).to_numpy().view(np.uint64) for k in range(_WIDE)])
-        if held is not None:
-            start, key, node, f = (np.concatenate(x) for x in zip(held, (start, key, node, f)))
-        new = np.r_[True, (start[1:] != start[:-1]) | (key[1:] != key[:-1])]
-        group = np.cumsum(new)
-        alive, pivots, left, right = np.arange(len(node)), np.zeros(len(node), bool), [], []
-        while len(alive):
-            g = group[alive]
-            first = np.r_[True, g[1:] != g[:-1]]
-            pivots[alive[first]] = True
-            pivot = alive[first][np.cumsum(first) - 1]
-            apart = np.bitwise_count(f[alive] ^ f[pivot]).sum(1)
-            near = (apart <= SIMILAR) & (alive != pivot)
-            at = np.flatnonzero(near & (apart <= SIMILAR // 2))
-            same = (f[alive[at]] ^ f[pivot[at]]).view(np.uint8).reshape(-1, _STARTS) == 0
-            near[at] = (same & np.roll(same, -1, 1) & np.roll(same, -2, 1)).argmax(1) == start[alive[at]]
-            left.append(alive[near])
-            right.append(pivot[near])
-            alive = alive[(apart > SIMILAR // 2) & (alive != pivot)]
-        # one link a node joins what the batch has linked, however many pivots a row is near to
-        names, at = np.unique(node, return_inverse=True)
-        root = graph.local_roots(len(names), at[np.concatenate(left)], at[np.concatenate(right)])
-        star = np.flatnonzero(root != np.arange(len(root)))
-        if len(star):
-            yield pa.RecordBatch.from_arrays([pa.array(names[star]), pa.array(names[root[star]])], ["a", "b"])
-        keep = pivots & (group == group[-1])
-        held = start[keep], key[keep], node[keep], f[keep]
+    n, root, found = len(f), np.arange(len(f)), []
+
+    def join() -> None:
+        nonlocal root
+        if found:
+            root = graph.local_roots(n, *np.concatenate(found, axis=1), root)
+            found.clear()
+
+    for arc in arcs:
+        w, off = divmod(sum(_ARCS[:arc]), 64)
+        ring = f[:, w] >> np.uint64(off)
+        if off:
+            ring = ring | f[:, (w + 1) % _WIDE] << np.uint64(64 - off)
+        width = _ARCS[arc]
+        ring &= np.uint64((1 << sum((_ARCS * 2)[arc : arc + 3])) - 1)
+        key = (ring & np.uint64((1 << width) - 1)).astype(np.int32)
+        left = np.argsort(key[:cut])
+        right = cut + np.argsort(key[cut:]) if cut < n else left
+        own, a_ring, b_ring = key[left], ring[left], ring[right]
+        at = np.append(0, np.cumsum(np.bincount(key[right], minlength=1 << width))).astype(np.int32)
+
+        def compare(i: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            """Links of the rows ``i`` of the left side with the rows [lo, hi) of the right one."""
+            some = np.flatnonzero(hi > lo)
+            i, lo, hi = i[some], lo[some], hi[some]
+            while len(i):
+                size = (hi - lo).astype(np.int64)
+                if size.sum() > n:  # many: leave out what is joined already
+                    join()
+                    r = root[right]
+                    turn = np.append(0, np.cumsum(r[1:] != r[:-1]))
+                    todo = (turn[lo] != turn[hi - 1]) | (r[lo] != root[left[i]])
+                    i, lo, hi, size = i[todo], lo[todo], hi[todo], size[todo]
+                    if not len(i):
+                        return
+                end = np.cumsum(size)
+                k = max(1, int(np.searchsorted(end, CANDIDATES, "right")))
+                b = np.arange(end[k - 1]) + np.repeat(lo[:k] - (end[:k] - size[:k]), size[:k])
+                near = np.flatnonzero(np.bitwise_count(np.repeat(a_ring[i[:k]], size[:k]) ^ b_ring[b]) <= _THREE)
+                if len(near):
+                    p, q = left[i[np.searchsorted(end, near, "right")]], right[b[near]]
+                    apart = np.bitwise_count(f[p] ^ f[q]).sum(1) <= SIMILAR
+                    found.append(np.stack([p[apart], q[apart]]))
+                i, lo, hi = i[k:], lo[k:], hi[k:]
+
+        every = np.arange(len(own))
+        compare(every, every.astype(np.int32) + 1 if cut == n else at[own], at[own + 1])
+        for top in range(width):
+            i = np.flatnonzero(own >> top & 1 == 0) if cut == n else every  # each pair of keys once
+            for low in [0, *(1 << x for x in range(top))]:
+                other = own[i] ^ np.int32(1 << top | low)
+                compare(i, at[other], at[other + 1])
+        join()
+    return root
+
+
+def _similar(key: tuple, t: pa.Table) -> pa.Table:
+    """Links of one pair of blocks (node, block, f0..f3) over the segments of one turn, as stars of what is joined."""
+    i, j, turn, turns = (k.as_py() for k in key)
+    node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
+    order = np.lexsort((node, block != i))
+    node = node[order]
+    f = np.column_stack([t.column(f"sim_{k}").to_numpy().view(np.uint64)[order] for k in range(_WIDE)])
+    root = _alike(f, int((block == i).sum()), list(range(turn, len(_ARCS), turns)))
+    kernel.trim()
+    star = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": node[star], "b": node[root[star]]})
 
 
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -307,20 +346,15 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).cast("long").alias("id"), F.col("sim_row").alias("row"))
     distinct = told.groupBy(*words).agg(F.min(place).alias("first"))
     distinct = scratch.written(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
-    per_word = 64 * _WIDE // _STARTS
-
-    def segments(start: int):
-        """The ``_SAME`` bits of the ring from segment ``start``."""
-        at = start * per_word
-        w, off = divmod(at, 64)
-        low = F.shiftrightunsigned(words[w], off)
-        if off + _SAME > 64:
-            low = low.bitwiseOR(F.shiftleft(words[(w + 1) % _WIDE], 64 - off))
-        return low.bitwiseAND(F.lit((1 << _SAME) - 1))
-
-    met = F.explode(F.array(*(F.struct(F.lit(s).alias("start"), segments(s).alias("key")) for s in range(_STARTS)))).alias("x")
-    met = distinct.select("node", *words, met).select("x.start", "x.key", "node", *words)
-    links = met.repartition(_parts(distinct, _STARTS), "start", "key").sortWithinPartitions("start", "key", "node").mapInArrow(_similar, "a long, b long")
+    n = -(-distinct.count() // BLOCK) or 1
+    turns = max(1, len(_ARCS) // n)  # few blocks: a pair's segments go to several tasks
+    placed = distinct.select("node", *words, F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("block"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n * turns - 1))).alias("x"))
+    other = (F.col("x") / turns).cast("int")
+    placed = placed.select("node", *words, "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), (F.col("x") % turns).alias("turn"), F.lit(turns).alias("turns"))
+    pair = ["i", "j", "turn", "turns"]
+    parts = max(scratch.shuffle_partitions(docs.sparkSession), 4 * turns * n * (n + 1))
+    links = placed.repartition(parts, *pair).groupBy(*pair).applyInArrow(_similar, "a long, b long")
     links = scratch.written(links.distinct(), "similar-links")
     keep = _grouped(links, distinct).select(F.col("component.row").alias("sim_row")).distinct()
     return told.join(keep, "sim_row", "left_semi").select(*docs.columns)
