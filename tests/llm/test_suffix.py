@@ -76,3 +76,43 @@ def test_more_buckets_do_not_change_the_result(spark, monkeypatch):
     rnd = random.Random(11)
     base = ["".join(rnd.choice("abc ") for _ in range(150)) for _ in range(20)]
     check(spark, [(i, base[i % 20][i % 3 :]) for i in range(60)], 20)
+
+
+def test_tying_starts_are_found_once(spark, monkeypatch):
+    import numpy as np
+    from tidemark.llm import scratch
+
+    tables, written = {}, scratch.written
+
+    def keep(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(scratch, "written", keep)
+    rnd = random.Random(12)
+    rows = [(i, "".join(rnd.choice("abc ") for _ in range(150))) for i in range(20)]
+    rows += [(20 + i, "x" * (i + 1) + rows[i][1]) for i in range(5)]
+    check(spark, rows, 40)
+    strings = {}
+    for i, t in rows:
+        for p in range(len(t) - 39):
+            strings.setdefault(t[p : p + 40], []).append((i, p))
+    want = {x for at in strings.values() if len(at) > 1 for x in at}
+    got = set()
+    for r in tables["suffix-tied"].collect():  # what each round reads
+        block = suffix._Block(r.ids, r.offs, r.text, r.copies, 40)
+        for p in suffix._starts(block, r.starts):
+            k = np.searchsorted(block.offs, p, "right") - 1
+            got.add((int(block.ids[k]), int(p - block.offs[k])))
+    assert len(want) > 1000 and want <= got and len(got) < 2 * len(want)
+
+
+def test_the_first_of_equal_strings_stays_in_any_order():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    hi = rng.integers(0, 50, 5000).astype(np.uint64)
+    order = suffix._order(hi, hi)
+    lead = suffix._leads(order, suffix._first(hi[order]))
+    assert sorted(lead) == sorted(np.unique(hi, return_index=True)[1])
+    assert not len(suffix._leads(order[:0], np.zeros(0, bool)))

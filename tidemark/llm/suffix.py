@@ -170,7 +170,7 @@ class _Block:
         return starts[starts + self.length <= end]
 
     def strings(self, starts: np.ndarray, rounds: int = 1, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprints (high and low half) of the strings of round ``k``, in order, and that order; equal ones stay in document order."""
+        """Fingerprints (high and low half) of the strings of round ``k``, in order, and that order; equal ones come in any order."""
         hi = self._at(starts, self.length, 0)
         if rounds > 1:
             own = _bucket(hi, rounds) == k
@@ -181,8 +181,8 @@ class _Block:
 
 
 def _order(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Stable order by (hi, lo)."""
-    order = np.argsort(hi, kind="stable")
+    """Order by (hi, lo); equal ones come in any order."""
+    order = np.argsort(hi)
     s, t = hi[order], lo[order]
     if ((s[1:] == s[:-1]) & (t[1:] != t[:-1])).any():  # half the fingerprint collides: rare
         return np.lexsort((lo, hi))
@@ -198,6 +198,11 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _leads(order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least index of each run of equal entries; ``first`` marks where the runs of ``order`` begin."""
+    return np.minimum.reduceat(order, np.flatnonzero(first)) if len(order) else order
+
+
 def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per run (distinct cover suffixes) of one bucket: bits of those that another run has too."""
     runs = [np.frombuffer(r, np.uint64) if w else np.frombuffer(r, np.uint32) for r, w in zip(pdf.run, pdf.wide)]
@@ -219,10 +224,10 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
     runs = [np.frombuffer(r, np.uint64).reshape(-1, 2) for r in pdf.run]
     cut = np.append(0, np.cumsum([len(r) for r in runs]))
     keys = np.concatenate(runs)
-    order = _order(keys[:, 0], keys[:, 1])  # merges the sorted runs; ties stay in document order
+    order = _order(keys[:, 0], keys[:, 1])
     s = keys[order]
-    later = np.zeros(len(keys), bool)
-    later[order] = ~_first(s[:, 0], s[:, 1])
+    later = np.ones(len(keys), bool)
+    later[_leads(order, _first(s[:, 0], s[:, 1]))] = False  # runs are in document order
     return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "bits": [np.packbits(later[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])]})
 
 
@@ -244,6 +249,12 @@ def _unpack(runs: list, bucket_of: np.ndarray) -> np.ndarray:
     return flags
 
 
+def _starts(block: _Block, packed: bytes) -> np.ndarray:
+    """Starts of the block's strings that may tie."""
+    bits = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, len(block.buf)))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(block.buf)).view(bool))
+
+
 def _bucket(keys: np.ndarray, total: int) -> np.ndarray:
     """The leading bits of the keys: which of ``total`` (a power of two) buckets they fall into."""
     return (keys >> _U(64 - (total - 1).bit_length())).astype(np.int64) if total > 1 else np.zeros(len(keys), np.int64)
@@ -263,7 +274,7 @@ class _Cover:
     def entries(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The block's cover keys as they are compared, in order; that order; which differ from the one before."""
         keys = block.cover_keys() >> self.shift
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         return keys[order], order, _first(keys[order])
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
@@ -325,6 +336,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         for b in batches:
             for i in range(b.num_rows):
                 row = {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
+                row["row"] = b.slice(i, 1)
                 yield row, _Block(row.pop("ids"), row.pop("offs"), row.pop("text"), row.pop("copies"), length)
                 kernel.trim()
 
@@ -334,8 +346,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     runs = marked.drop("rest").mapInArrow(cover_runs, _RUN).withColumn("wide", F.lit(cover.wide))
     ties = scratch.written(_gathered(runs.groupBy("bucket").applyInPandas(_ties, _BITS), "ties"), "suffix-ties")
-    # joined once and for all: the rounds read the blocks with their ties and shuffle only keys
-    tied = scratch.written(marked.join(ties, "block", "left"), "suffix-tied")
+    columns = marked.columns
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, block in each(batches):
+            found = np.zeros(len(block.buf), bool)
+            found[block.tying(cover.ties(block, row["ties"]))] = True
+            packed = zstandard.ZstdCompressor(3).compress(np.packbits(found).tobytes())
+            yield pa.RecordBatch.from_arrays([row["row"].column(c) for c in columns] + [pa.array([packed])], [*columns, "starts"])
+
+    # found once and for all: the rounds read the blocks with the starts that tie and shuffle only keys
+    tied = marked.join(ties, "block", "left").mapInArrow(starts, T.StructType([*marked.schema, T.StructField("starts", T.BinaryType())]))
+    tied = scratch.written(tied, "suffix-tied")
     scratch.remove(marked)
     scratch.remove(ties)
     scratch.release(spark)
@@ -343,7 +365,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     def string_runs(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, block in each(batches):
-                hi, lo, _ = block.strings(block.tying(cover.ties(block, row["ties"])), rounds, k)
+                hi, lo, _ = block.strings(_starts(block, row["starts"]), rounds, k)
                 first = _first(hi, lo)
                 yield _batch(row["block"], _bucket(hi[first], total), np.column_stack([hi[first], lo[first]]))
 
@@ -357,12 +379,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in each(batches):
-            starts = block.tying(cover.ties(block, row["ties"]))
-            hi, lo, order = block.strings(starts)
+            at = _starts(block, row["starts"])
+            hi, lo, order = block.strings(at)
             first = _first(hi, lo)
-            later = ~first | _unpack(row["later"], _bucket(hi[first], total))[np.cumsum(first) - 1]
-            starts = starts[order[later]]
-            gone = _covered(len(block.buf), starts, starts + length) | np.repeat(block.copies, np.diff(block.offs))
+            later = np.ones(len(at), bool)
+            later[_leads(order, first)] = _unpack(row["later"], _bucket(hi[first], total))
+            at = at[later]
+            gone = _covered(len(block.buf), at, at + length) | np.repeat(block.copies, np.diff(block.offs))
             rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(row["rest"])).read_all().combine_chunks()
             yield from _cuts(block, gone, rest)
 
