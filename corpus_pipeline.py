@@ -1,4 +1,4 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's docs.
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's docs; a stage's own tables then go.
 
 Language identification drops documents without a recognisable language, SimHash
 keeps one document of each group of near-duplicates, suffix-array dedup cuts strings
@@ -11,6 +11,8 @@ for itself; further columns of the documents come along unchanged, whatever thei
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import langid, mixing, packing, scratch, simhash, suffix
@@ -56,7 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        docs = scratch.alone(partial(stage, spark, docs, sf_dir), name)
         if last is not None:
             scratch.remove(last)
         last = docs

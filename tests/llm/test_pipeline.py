@@ -74,3 +74,13 @@ def test_empty_corpus(spark):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
     assert mixing.exponent({}, 1.5) == 1.0
+
+
+def test_run_leaves_no_table_but_its_result(spark, tmp_path, monkeypatch):
+    from tidemark.llm import scratch
+
+    make_docs(spark, _corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    base = tmp_path / "shared"
+    monkeypatch.setattr(scratch, "base", lambda spark: f"file://{base}")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [p.name.rsplit("-", 1)[0] for p in (base / "tidemark").iterdir()] == ["best_fit_packing"] and out.count() > 50

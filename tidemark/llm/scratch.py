@@ -5,11 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
+#: Tables written in the stage that is under way, if one is.
+_stage: ContextVar[list[DataFrame] | None] = ContextVar("stage", default=None)
 
 
 def base(spark: SparkSession) -> str:
@@ -29,9 +33,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{base(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
+    if (tables := _stage.get()) is not None:
+        tables.append(out)
+    return out
+
+
+def alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` gives, written; whatever else it has written on the way is removed."""
+    out, tables = None, []
+    token = _stage.set(tables)
+    try:
+        out = written(make(), name)
+    finally:
+        _stage.reset(token)
+        for t in tables:
+            if t is not out:
+                remove(t)
     return out
 
 

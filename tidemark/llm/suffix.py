@@ -295,8 +295,8 @@ class _Cover:
         return flags
 
 
-def _copies(blocks: DataFrame, length: int) -> DataFrame:
-    """(block, copies): documents whose whole text, of at least ``length`` bytes, an earlier document has."""
+def _texts(blocks: DataFrame, length: int) -> DataFrame:
+    """(block, k, text): digests of the whole texts of at least ``length`` bytes, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,7 +308,11 @@ def _copies(blocks: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.binary())], ["block", "k", "text"])
 
     every = blocks.select("block", "ids", "offs", "text").mapInArrow(run, "block long, k int, text binary")
-    every = scratch.written(every, "suffix-texts")
+    return scratch.written(every, "suffix-texts")
+
+
+def _copies(every: DataFrame) -> DataFrame:
+    """(block, copies): documents whose whole text an earlier document has."""
     first = every.groupBy("text").agg(F.min(F.struct("block", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").select("text", "first")
     return every.join(first, "text").where(F.struct("block", "k") != F.col("first")).groupBy("block").agg(F.collect_list("k").alias("copies"))
 
@@ -329,7 +333,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     buckets = max(BUCKETS, 1 << (n_bytes // (rounds * BUCKET_BYTES)).bit_length())
     total = rounds * buckets
     cover = _Cover(n_bytes, buckets)
-    marked = scratch.written(blocks.join(_copies(blocks, length), "block", "left"), "suffix-copies")
+    texts = _texts(blocks, length)
+    marked = scratch.written(blocks.join(_copies(texts), "block", "left"), "suffix-copies")
+    scratch.remove(texts)
     scratch.remove(blocks)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
