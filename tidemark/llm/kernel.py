@@ -3,8 +3,10 @@
 A batch of texts is one uint8 buffer with document offsets.  Kernels work on
 chunks of about ``CHUNK`` bytes (whole documents, so a longer document makes a
 longer chunk), which bounds memory whatever the batch size.  Hashes of substrings
-come from a polynomial prefix sum modulo 2**64 over randomised byte values, so a
-hash of any span costs two lookups and equal bytes always give equal hashes.
+come from polynomial prefix sums modulo the prime 2**31 - 1 at two bases, so a hash
+of any span costs four lookups and equal bytes always give equal hashes.  Two
+different strings of n bytes agree at a share of at most (n / 2**31)**2 of the pairs
+of bases, however they are built; modulo a power of two some strings agree at all.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 CHUNK_DOCS = 512
+BLOCK = 1 << 14  # elements that a step of a long array takes, so that they stay in the cache
 _U = np.uint64
-#: Two independent hashes: multipliers and byte values.
-_MULT = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4D)
-_BYTES = np.random.default_rng(20240229).integers(1, 2**64, (2, 256), dtype=np.uint64)
-_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Fixed random numbers: two hashes of two bases each, and the values of bytes.
+PRIME = np.uint64((1 << 31) - 1)
+_BASES = np.random.default_rng(20240229).integers(1 << 20, (1 << 31) - 2, (2, 2))
+_BYTES = np.random.default_rng(20240301).integers(1, (1 << 31) - 2, 256, dtype=np.uint64)
+_pow: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -31,13 +35,43 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    if which not in _pow or len(_pow[which][0]) < n + 1:
-        m = max(n + 1, CHUNK + CHUNK // 16)
-        p, q = np.full(m, _MULT[which], np.uint64), np.full(m, pow(_MULT[which], -1, 1 << 64), np.uint64)
-        p[0] = q[0] = 1
-        _pow[which] = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _pow[which]
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** n modulo PRIME, at least."""
+    known = _pow.get(base, np.ones(1, np.uint64))
+    while len(known) <= n:
+        known = np.append(known, known * _U(pow(base, len(known), int(PRIME))) % PRIME)
+    _pow[base] = known
+    return known
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME up to one PRIME more or so: below 2**32 for every x below 2**62."""
+    high = x >> _U(31)
+    x &= PRIME
+    x += high
+    return x
+
+
+def sums(values: np.ndarray, base: int) -> np.ndarray:
+    """Prefix sums of values[i] * base ** i, each term folded below 2**32, so that 2**31 of them fit."""
+    by, out = powers(base, len(values)), np.zeros(len(values) + 1, np.uint64)
+    for a in range(0, len(values), BLOCK):
+        part = out[a + 1 : a + 1 + BLOCK]
+        np.multiply(values[a : a + BLOCK], by[a : a + len(part)], out=part)
+        _fold(part)
+        part[0] += out[a]
+        np.cumsum(part, out=part)
+    return out
+
+
+def between(sums_: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash (31 bits) of values[start:end] of each span; the same wherever the span lies."""
+    h = _fold(sums_[end] - sums_[start])
+    h = _fold(h)
+    h *= powers(pow(base, -1, int(PRIME)), len(sums_))[start]
+    h = _fold(_fold(h))
+    h[h >= PRIME] -= PRIME
+    return h
 
 
 def trim() -> None:
@@ -87,19 +121,16 @@ def texts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield a, b, buf[o[0] : o[-1]], o - o[0]
 
 
-def prefix(buf: np.ndarray, which: int = 0) -> np.ndarray:
-    """P with hash(i, j) = (P[j] - P[i]) * q[i]; see ``spans``.  ``which`` is one of two independent hashes."""
-    p, _ = _powers(len(buf), which)
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[which][buf] * p[: len(buf)], out=out[1:])
-    return out
+def prefix(buf: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums for ``spans``.  ``which`` is one of two independent hashes."""
+    values = _BYTES[buf]  # below 2**31, as powers are
+    return tuple(sums(values, int(b)) for b in _BASES[which])
 
 
-def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+def spans(pre: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of the bytes [start, end) of each span."""
-    _, q = _powers(len(pre), which)
-    h = (pre[end] - pre[start]) * q[start]
-    return mix(h + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
+    one, two = (between(p, int(b), start, end) for p, b in zip(pre, _BASES[which]))
+    return mix((one << _U(31) | two) + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
