@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import kept
 from . import intervals as iv
+from .running import running
 
 
 def transcript_depth(exons: DataFrame, depth: DataFrame, min_depth: int = 1, width: int = iv.BIN) -> DataFrame:
@@ -60,3 +62,68 @@ def background(regions: DataFrame, genes: DataFrame, depth: DataFrame, buffer: i
     tiles = iv.tile(free, window).withColumn("id", F.concat_ws(":", "chrom", "s"))
     met = iv.overlap_join(tiles, depth, width=width).groupBy("a_id").agg(F.sum(F.col("bp") * F.col("b_depth")).alias("_sum"))
     return tiles.join(met, tiles.id == met.a_id, "left").select("chrom", "s", "e", F.round(F.coalesce("_sum", F.lit(0)) / window, 6).alias("mean_depth"))
+
+
+def ladder(reads: DataFrame, join_gap: int = 68, chain_gap: int = 100_000, width: int = iv.BIN) -> DataFrame:
+    """(chrom, level, locus, exons): the regions of depth 1, 2, 4, ... and more, as exons and chains of them.
+
+    One sweep gives the depth; a segment then stands on every level up to its depth.  On each level segments up to
+    ``join_gap`` apart join into exons, and exons up to ``chain_gap`` apart into chains.
+    """
+    depth = iv.coverage(reads, width=width)
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2("depth") + 1e-9).cast("int")), lambda k: F.pow(F.lit(2), k).cast("long"))).alias("level")
+    deep = depth.select("chrom", levels, "s", "e")
+    exons = iv.merge(deep, ["chrom", "level"], join_gap, True, width).drop("n")
+    rows = iv.islands(exons, ["chrom", "level"], chain_gap, True, width).withColumnRenamed("island", "locus")
+    return rows.groupBy("chrom", "level", "locus").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("exons"))
+
+
+def novel(reads: DataFrame, annotation: DataFrame, join_gap: int = 68, chain_gap: int = 100_000, width: int = iv.BIN) -> DataFrame:
+    """``ladder`` of the reads that share no base with the annotation."""
+    columns = ["chrom", "s", "e"]
+    known = iv.merge(annotation.select(*columns), width=width).drop("n")
+    return ladder(iv.overlap_join(reads, known, how="left_anti", width=width), join_gap, chain_gap, width)
+
+
+def least_under(ranges: DataFrame, segments: DataFrame, value: str = "depth", width: int = iv.BIN) -> DataFrame:
+    """``ranges`` (chrom, s, e, ...) with ``least``: the smallest ``value`` of the segments that share a base with the range.
+
+    Segments (chrom, s, e, value) lie apart and are numbered along the chromosome; a range finds the numbers of its first and last
+    one in a running pass, and a table of minima over 1, 2, 4, ... segments answers it with two look-ups, however many segments
+    lie under it.  Ranges without one get null.
+    """
+    place = F.floor(F.col("pos") / width)
+    one = segments.select("chrom", F.col("s").alias("pos"), F.col("e").alias("end"), F.col(value).alias("v")).withColumn("_bin", place).withColumn("_one", F.lit(1).cast("long"))
+    base = kept(running(one, ["chrom"], "_bin", ["pos"], "_one", "sum", "i").select("chrom", "pos", "end", "i", "v"), "segments")
+    spans = kept(ranges.where("s < e").select("chrom", "s", "e").distinct(), "spans")
+    marks = spans.select("chrom", F.explode(F.array("s", F.col("e") - 1)).alias("pos")).distinct().select("chrom", "pos", F.lit(1).alias("kind"), F.lit(None).cast("struct<i:bigint,end:bigint>").alias("x"))
+    seen = base.select("chrom", "pos", F.lit(0).alias("kind"), F.struct("i", "end").alias("x"))
+    told = running(seen.unionByName(marks).withColumn("_bin", place), ["chrom"], "_bin", ["pos", "kind"], "x", "max", "last").where("kind = 1")
+    told = kept(told.select("chrom", "pos", "last.i", "last.end"), "marks")
+    first = F.when(F.col("end") > F.col("pos"), F.col("i")).otherwise(F.coalesce(F.col("i"), F.lit(0)) + 1)
+    spans = spans.join(told.select("chrom", F.col("pos").alias("s"), first.alias("i")), ["chrom", "s"]).join(told.select("chrom", (F.col("pos") + 1).alias("e"), F.col("i").alias("j")), ["chrom", "e"])
+    spans = kept(spans.where("j >= i").withColumn("k", F.floor(F.log2(F.col("j") - F.col("i") + 1) + 1e-9).cast("int")), "spans")
+    top = spans.agg(F.max("k")).first()[0] or 0
+    level = base.select("chrom", "i", "v")
+    tables = level.withColumn("k", F.lit(0))
+    for k in range(1, top + 1):
+        ahead = level.select("chrom", (F.col("i") - (1 << (k - 1))).alias("i"), F.col("v").alias("w"))
+        level = kept(level.join(ahead, ["chrom", "i"]).select("chrom", "i", F.least("v", "w").alias("v")), "minima")
+        tables = tables.unionByName(level.withColumn("k", F.lit(k)))
+    ends = spans.select("chrom", "s", "e", "k", F.explode(F.array("i", F.col("j") - F.pow(F.lit(2), F.col("k")).cast("long") + 1)).alias("i"))
+    found = ends.join(tables, ["chrom", "i", "k"]).groupBy("chrom", "s", "e").agg(F.min("v").alias("least"))
+    return ranges.join(found, ["chrom", "s", "e"], "left")
+
+
+def thinned(hits: DataFrame, threshold: int, seed: int = 1, width: int = iv.BIN) -> DataFrame:
+    """(id, chrom, s, e, n, least, kept): hits (id, chrom, s, e, n copies) and how many of their copies stay.
+
+    Where the least depth under a hit is above ``threshold`` each copy stays with a chance of threshold / depth, by a hash of the
+    seed, the id and the copy's number; hits without a base have no depth and stay.
+    """
+    depth = iv.coverage(hits, weight="n", width=width)
+    rows = least_under(hits, depth, width=width)
+    copies = F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("long")
+    stay = F.size(F.filter(copies, lambda k: draw(k) * F.col("least") < F.lit(threshold * 2**32))).cast("long")
+    return rows.withColumn("kept", F.when(F.coalesce("least", F.lit(0)) <= threshold, F.col("n").cast("long")).otherwise(stay))

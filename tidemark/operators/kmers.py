@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq
@@ -44,3 +45,69 @@ def heavy(reads: DataFrame, seq_col: str, k: int, end: int, top: int, most_at: i
     tail = F.regexp_extract("kmer", "([AT]*)$", 1)
     head = F.regexp_extract("kmer", "^([AT]*)", 1)
     return by.where((F.length(tail) <= most_at) & (F.length(head) <= most_at)).orderBy(F.desc("n"), "kmer").limit(top)
+
+
+def _side(rows: DataFrame, least: int, prefix: bool) -> DataFrame:
+    """(o, piece, n, lo, hi): how many sequences begin (or end) with each piece of ``o`` letters, and the least and greatest of them."""
+    size = F.explode(F.sequence(F.lit(least), F.length("kmer") - 1)).alias("o")
+    cut = F.substring("kmer", F.lit(1), F.col("o")) if prefix else F.expr("right(kmer, o)")
+    return rows.where(F.length("kmer") > least).select("kmer", size).groupBy("o", cut.alias("piece")).agg(F.count("*").alias("n"), F.min("kmer").alias("lo"), F.max("kmer").alias("hi"))
+
+
+def _neighbour(rows: DataFrame, others: DataFrame, least: int, suffix: bool) -> DataFrame:
+    """(kmer, o, other): the longest overlap of each sequence with another one on one side; ``other`` is null if several share it."""
+    size = F.explode(F.sequence(F.lit(least), F.length("kmer") - 1)).alias("o")
+    own, same = (F.expr("right(kmer, o)"), F.expr("left(kmer, o)")) if suffix else (F.expr("left(kmer, o)"), F.expr("right(kmer, o)"))
+    pieces = rows.where(F.length("kmer") > least).select("kmer", size).select("kmer", "o", own.alias("piece"), (own == same).alias("itself"))
+    met = pieces.join(others, ["o", "piece"]).withColumn("n", F.col("n") - F.col("itself").cast("long")).where("n > 0")
+    other = F.when(F.col("n") == 1, F.when(F.col("lo") == F.col("kmer"), F.col("hi")).otherwise(F.col("lo")))
+    return met.groupBy("kmer").agg(F.max(F.struct("o", other.alias("other"))).alias("m")).select("kmer", "m.o", "m.other")
+
+
+def assembled(table: DataFrame, least: int) -> DataFrame:
+    """(contig, kmers, n): the sequences of ``table`` (kmer, n) put together where they overlap by ``least`` letters or more.
+
+    A sequence goes on to another if that is the only one with the longest overlap, and it is the only one with that one's
+    longest overlap.  Overlaps meet as counts by piece, so a frequent piece pairs nothing; unbranched paths are contracted by
+    pointer jumping.  ``n`` sums the members' counts; rings open before their least member.
+    """
+    from ..tables import kept
+    from . import graph
+
+    rows = kept(table.select("kmer", "n").groupBy("kmer").agg(F.sum("n").alias("n")), "kmers")
+    right = _neighbour(rows, _side(rows, least, True), least, True)
+    left = _neighbour(rows, _side(rows, least, False), least, False)
+    pairs = right.join(left.select(F.col("kmer").alias("other"), F.col("o").alias("o2"), F.col("other").alias("back")), "other").where("o = o2 AND back = kmer")
+    paths = graph.ranked_paths(kept(pairs.select(F.col("kmer").alias("a"), F.col("other").alias("b"), (F.length("kmer") - F.col("o")).alias("step")), "overlaps"))
+    placed = rows.join(paths.withColumnRenamed("id", "kmer"), "kmer", "left").select("kmer", "n", F.coalesce("head", "kmer").alias("head"), F.coalesce("distance", F.lit(0)).alias("at"))
+    parts = placed.groupBy("head").agg(F.count("*").alias("kmers"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "kmer"))).alias("x"))
+    # a member adds what reaches beyond the end of the one before
+    added = F.transform("x", lambda x, i: F.substr(x["kmer"], F.when(i == 0, F.lit(1)).otherwise(F.get("x", i - 1)["at"] + F.length(F.get("x", i - 1)["kmer"]) - x["at"] + 1).cast("int")))
+    return parts.select(F.array_join(added, "").alias("contig"), "kmers", "n")
+
+
+def mappability(sequences: DataFrame, k: int, both_strands: bool = False, piece: int = PIECE, name: str = "name", seq_col: str = "seq") -> DataFrame:
+    """(name, s, e, n): runs of window starts [s, e) whose ``k`` letters occur equally often, ``n`` times, over all sequences.
+
+    Every window is counted over the whole table (with ``both_strands`` also where its reverse complement stands) and the count
+    goes back to its places, so no aligner is needed; names are unique.  Pieces of a sequence are bins, and runs go on across them.
+    """
+    from .running import following
+
+    cut = F.posexplode(seq.overlapping(seq_col, max(piece, k), k - 1)).alias("_bin", "_piece")
+    flat = sequences.select(name, cut).select(name, "_bin", F.posexplode(seq.kmers("_piece", k)).alias("_i", "kmer"))
+    flat = flat.select(name, F.col("_bin").cast("long").alias("_bin"), (F.col("_bin").cast("long") * max(piece, k) + F.col("_i")).alias("pos"), "kmer")
+    by = flat.groupBy("kmer").agg(F.count("*").alias("n"))
+    if both_strands:
+        turned = by.select(seq.reverse_complement("kmer").alias("kmer"), F.col("n").alias("m"))
+        by = by.join(turned, "kmer", "left").select("kmer", F.when(F.col("kmer") == seq.reverse_complement("kmer"), F.col("n")).otherwise(F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    from ..tables import kept
+
+    placed = kept(flat.join(by, "kmer").select(name, "_bin", "pos", "n"), "window-counts")
+    bins = placed.groupBy(name, "_bin").agg(F.max_by("n", "pos").alias("last"), F.max("pos").alias("end"))
+    before = bins.select(name, (F.col("_bin") + 1).alias("_bin"), F.col("last").alias("carried"))
+    order = W.partitionBy(name, "_bin").orderBy("pos")
+    rows = placed.join(before, [name, "_bin"], "left").withColumn("was", F.coalesce(F.lag("n").over(order), "carried"))
+    starts = following(rows.where("was IS NULL OR was <> n").select(name, "_bin", "pos", "n"), [name], "_bin", "pos", "e")
+    end = bins.groupBy(name).agg((F.max("end") + 1).alias("_end"))
+    return starts.join(end, name).select(name, F.col("pos").alias("s"), F.coalesce("e", "_end").alias("e"), "n")
