@@ -250,3 +250,25 @@ def test_kernel_words_and_hashes():
     assert found == [(0, b"ab"), (0, b"cd"), (2, b"ab"), (3, b"cd"), (3, b"ab"), (3, b"cd")]
     h = kernel.spans(kernel.prefix(buf), s, e)
     assert len(set(h[[0, 2, 4]].tolist())) == 1 and len(set(h.tolist())) == 2
+
+
+def test_hashes_of_spans_tell_apart_what_powers_of_two_do_not():
+    """Lines and windows of the Thue-Morse word and its complement: equal under any polynomial modulo 2**64."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    for t in (f"{one}\n{two}", f"x {one} y z q x {two} y z q"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        got = dict(zip(rules.STATS, rules.statistics(raw, np.array([0, len(raw)]))[0]))
+        assert got["n_dup_lines"] == got["n_repeat_words"] == got["n_echo"] == 0
+    raw = np.frombuffer(f"{one}\n{two}\n{one}".encode(), np.uint8)
+    assert rules.statistics(raw, np.array([0, len(raw)]))[0][3] == 1
+
+
+def test_bounded_sample_does_not_travel_by_label(spark):
+    rows = make_docs(spark, [(i, "t", "en" if i % 3 else "de") for i in range(300)])
+    from tidemark.llm import features
+
+    got = features.per_label(rows, "doc_id", "lang", {"en": 5, "de": 5})
+    assert got.count() == 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan

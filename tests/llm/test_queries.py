@@ -162,3 +162,69 @@ def test_op10(spark, corpus):
     want = brute_components([r[0] for r in rows], fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash_near_dedup(spark, d).collect()}
     assert got == {r[0]: (f"{f:016x}", want[r[0]]) for r, f in zip(rows, fps)}
+
+
+def _by_sql(spark, corpus, name):
+    d = corpus[0]
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    found = queries.queries()[name](spark, d)
+    want = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r) for r in found.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+    return found
+
+
+def test_op11(spark, corpus):
+    found = _by_sql(spark, corpus, "op11_substring_dedup").collect()
+    long = {r[0] for r in corpus[1] if 400 <= r[0] < 420 and len(r[1].split()) >= 50}  # copies that have a window
+    assert long and long <= {r.doc_id for r in found if r.n_removed}
+
+
+def test_op13(spark, corpus):
+    assert _by_sql(spark, corpus, "op13_fill_in_middle").where("restored_sha256 <> ''").count() == len(corpus[1])
+
+
+def test_op12(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(64)]) for i in range(200)] + [(300, None), (301, [1.0] * 63), (302, [float("nan")] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert _by_sql(spark, (str(tmp_path),), "op12_centroid_clustering").count() == 200
+
+
+def test_op9_places_by_brute_force(spark, corpus):
+    """Weights, epochs and the interleaving of the mixture, recomputed from the documents."""
+    d, rows, *_ = corpus
+    got = queries.op9_source_mixing(spark, d).collect()
+    size = {}
+    for i, t, _, s, _n in rows:
+        size.setdefault(s or "", []).append((i, len((t or "").split())))
+    share = {s: sum(n for _, n in v) for s, v in size.items()}
+    total = sum(share.values())
+    low, high = 0.0, 1.0
+    power = lambda a: {s: (n / total) ** a for s, n in share.items() if n}
+    spread = lambda a: max(power(a)[s] / share[s] for s in power(a)) / min(power(a)[s] / share[s] for s in power(a))
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if spread(mid) <= 1.5 else (mid, high)
+    w = power(high)
+    budget = max(share[s] * sum(w.values()) / w[s] for s in w)
+    epochs = {}
+    for r in got:
+        epochs.setdefault((r.source or "", r.doc_id), []).append(r.epoch)
+    for s, docs in size.items():
+        aim = budget * w[s] / sum(w.values()) / share[s] if share[s] else 1.0
+        for i, _ in docs:
+            many = len([x for x, _ in docs if x == i])
+            seen = sorted(epochs[s, i])
+            assert seen == sorted(list(range(len(seen) // many)) * many) and int(aim + 1e-9) <= len(seen) // many <= int(aim) + 1
+        placed = sum(n * (len(epochs[s, i]) // len([x for x, _ in docs if x == i])) for i, n in docs)
+        assert placed <= aim * share[s] + 1e-6 and placed >= aim * share[s] - max((n for _, n in docs), default=0) or not share[s]
+    for s in size:  # copies of epoch e of a source of c copies lie in [e / c, (e + 1) / c)
+        for r in got:
+            if (r.source or "") == s:
+                c = len(epochs[s, r.doc_id]) // len([x for x, _ in size[s] if x == r.doc_id])
+                assert r.epoch / c <= r.mix_order < (r.epoch + 1) / c

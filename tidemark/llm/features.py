@@ -44,7 +44,8 @@ def per_label(rows: DataFrame, id_col: str, label_col: str, bounds: dict | Calla
         return slim.limit(0)
     kind = dict(slim.dtypes)["sample_label"]
     table = rows.sparkSession.createDataFrame(share, f"sample_label {kind}, bound long, share long")
-    some = slim.join(table, "sample_label").where(F.pmod(F.xxhash64(F.lit(5), "sample_id"), F.lit(1 << 30)) < F.col("share"))
+    # the bounds, one row a label as collected above, go to the rows: those that the hash leaves out never travel by their label
+    some = slim.join(F.broadcast(table), "sample_label").where(F.pmod(F.xxhash64(F.lit(5), "sample_id"), F.lit(1 << 30)) < F.col("share"))
     turn = Window.partitionBy("sample_label").orderBy(F.xxhash64("sample_id"), "sample_id")
     return some.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= F.col("bound")).select("sample_id", "sample_label")
 
@@ -170,7 +171,7 @@ def score_rows(docs: DataFrame, score: Callable[[pa.Array], list[pa.Array]], fie
 
 
 def annotated(docs: DataFrame, score: Callable[[pa.Array], list[pa.Array]], fields: str, text_col: str = "text") -> DataFrame:
-    """Every row with all its columns and those that ``score`` computes; clashing names must be dropped before."""
+    """Every row with all its columns and those that ``score`` computes; their names must be free (see ``fresh``)."""
     names = [f.split()[0] for f in fields.split(",")]
     at = docs.columns.index(text_col)
 
@@ -185,6 +186,17 @@ def annotated(docs: DataFrame, score: Callable[[pa.Array], list[pa.Array]], fiel
     return docs.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column of ``df`` has it (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def by_chunk(col: pa.Array, f: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int = 0) -> np.ndarray:
     """``f(bytes, offsets)`` of each chunk of the batch, stacked."""
     got = [f(buf, offs) for _, _, buf, offs in kernel.texts(col)]

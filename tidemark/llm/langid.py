@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` that has a language: all columns, neither ``und`` nor ambiguous."""
-    own = FIELDS.replace("lang_pred", "own_lang_pred").replace("score", "own_score").replace("ambiguous", "own_ambiguous")
-    told = features.annotated(docs, _scorer(model), own, text_col)
-    return told.where("own_lang_pred <> 'und' AND NOT own_ambiguous").select(*docs.columns)
+    """Every row of ``docs`` that has a language: all columns, whatever their names, neither ``und`` nor ambiguous."""
+    lang, score, ambiguous = features.fresh(docs, "own_lang_pred", "own_score", "own_ambiguous")
+    told = features.annotated(docs, _scorer(model), f"{lang} string, {score} double, {ambiguous} boolean", text_col)
+    return told.where((F.col(lang) != "und") & ~F.col(ambiguous)).select(*docs.columns)

@@ -10,7 +10,8 @@ the budget ends.
 
 Tokens are words here.  Cases: null sources count as the source with the empty name; null and empty texts
 weigh no tokens but are placed; rows that repeat an id share its place; a source
-without tokens is placed once; ties in hash order fall by id.
+without tokens is placed once; ties in hash order fall by id; an empty table gives no rows; texts of any length
+are counted whole, in the JVM; further columns come along whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import features, scratch
 
 #: Blocks of a source (more for larger tables, so that a block has about BLOCK_ROWS documents at most), and the most
 #: sources (whose totals alone come to the driver).
@@ -89,7 +90,9 @@ def _plan(totals: dict[str, int], budget: int | None, repeat_limit: float | None
 
 
 def mix(docs: DataFrame, budget: int | None = None, repeat_limit: float | None = 1.5, target_entropy: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` and mix_epoch, mix_tokens, mix_order for each placed copy.
+    """All columns of ``docs``, whatever their names, and mix_epoch, mix_tokens, mix_order for each placed copy.
+
+    Where ``docs`` has a column of one of the three names, the added one has underscores behind it.
 
     ``mix_order`` in [0, 1) is the copy's place in the mixture: sorting by it interleaves the sources evenly.
     """
@@ -97,8 +100,10 @@ def mix(docs: DataFrame, budget: int | None = None, repeat_limit: float | None =
     name = F.coalesce(F.col(source_col), F.lit("")).alias("mix_source")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     n_blocks = max(BLOCKS, 1 << (docs.count() // BLOCK_ROWS).bit_length())
-    dealt = docs.select("*", name, key.alias("mix_key"), F.pmod(key, F.lit(n_blocks)).cast("int").alias("mix_block"), words(text_col).alias("mix_tokens"))
-    slim = scratch.written(dealt.select(F.col(id_col).alias("mix_id"), "mix_source", "mix_key", "mix_block", "mix_tokens"), "mix-keys")
+    # the caller's columns travel as one struct, so that no name of theirs meets one of ours
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("mix_row")
+    dealt = docs.select(row, F.col(id_col).alias("mix_id"), name, key.alias("mix_key"), F.pmod(key, F.lit(n_blocks)).cast("int").alias("mix_block"), words(text_col).alias("mix_tokens"))
+    slim = scratch.written(dealt.select("mix_id", "mix_source", "mix_key", "mix_block", "mix_tokens"), "mix-keys")
     blocks = scratch.written(slim.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("tokens")), "mix-blocks")
     rows = blocks.groupBy("mix_source").agg(F.sum("tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -125,4 +130,5 @@ def mix(docs: DataFrame, budget: int | None = None, repeat_limit: float | None =
     turn = F.pmod(F.xxhash64(F.lit(seed), "mix_epoch", "mix_source", "mix_block"), F.lit(2**20)) * 1.0
     within = F.pmod(F.xxhash64(F.lit(seed), "mix_epoch", "mix_key"), F.lit(2**20)) / float(2**20)
     place = (F.col("mix_epoch") + (turn + within) / float(2**20)) / F.col("mix_copies")
-    return placed.withColumn("mix_order", place).select(*docs.columns, "mix_epoch", "mix_tokens", "mix_order")
+    own = [F.col(c).alias(free) for c, free in zip(("mix_epoch", "mix_tokens", "mix_order"), features.fresh(docs, "mix_epoch", "mix_tokens", "mix_order"))]
+    return placed.withColumn("mix_order", place).select("mix_row.*", *own)

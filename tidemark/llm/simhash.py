@@ -335,16 +335,17 @@ def _similar(key: tuple, t: pa.Table) -> pa.Table:
 
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One row of ``docs`` for each group of similar texts: that of the least id (null ids last)."""
+    row_col, *own = features.fresh(docs, "sim_row", *(f"sim_{k}" for k in range(_WIDE)))
     words = [f"sim_{k}" for k in range(_WIDE)]
 
     def score(col: pa.Array) -> list[pa.Array]:
         f = np.concatenate([wide_fingerprints(buf, offs, width) for _, _, buf, offs in kernel.texts(col)] or [np.zeros((0, _WIDE), np.uint64)])
         return [pa.array(f[:, k].copy().view(np.int64)) for k in range(_WIDE)]
 
-    told = features.annotated(docs, score, ", ".join(f"{w} long" for w in words), text_col)
-    told = scratch.written(told.withColumn("sim_row", F.monotonically_increasing_id()), "similar-rows")
-    place = F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).cast("long").alias("id"), F.col("sim_row").alias("row"))
-    distinct = told.groupBy(*words).agg(F.min(place).alias("first"))
+    told = features.annotated(docs, score, ", ".join(f"{w} long" for w in own), text_col)
+    told = scratch.written(told.withColumn(row_col, F.monotonically_increasing_id()), "similar-rows")
+    place = F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row"))
+    distinct = told.select(*(F.col(o).alias(w) for o, w in zip(own, words)), place.alias("place")).groupBy(*words).agg(F.min("place").alias("first"))
     distinct = scratch.written(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
     n = -(-distinct.count() // BLOCK) or 1
     turns = max(1, len(_ARCS) // n)  # few blocks: a pair's segments go to several tasks
@@ -356,5 +357,5 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(scratch.shuffle_partitions(docs.sparkSession), 4 * turns * n * (n + 1))
     links = placed.repartition(parts, *pair).groupBy(*pair).applyInArrow(_similar, "a long, b long")
     links = scratch.written(links.distinct(), "similar-links")
-    keep = _grouped(links, distinct).select(F.col("component.row").alias("sim_row")).distinct()
-    return told.join(keep, "sim_row", "left_semi").select(*docs.columns)
+    keep = _grouped(links, distinct).select(F.col("component.row").alias(row_col)).distinct()
+    return told.join(keep, row_col, "left_semi").select(*docs.columns)

@@ -35,7 +35,7 @@ VOTERS, TERMS = 400, 3000
 #: How often the voters cover a toxic document, and what a clean document counts against a voter.
 COVER, STRICT = 4, 10
 #: Weight of the mining sample's rates in the label model, as rows of each class.
-PRIOR_ROWS = 30
+PRIOR_ROWS = 80
 #: Voters correlated above this within a kind of toxic rows count as one; those above it in the toxic class form a kind.
 CORRELATED, TOGETHER = 0.5, 0.3
 BEGINNINGS = (4, 5, 6, 7, 8, 10)

@@ -23,9 +23,9 @@ from . import features, kernel
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 BLOCK_WORDS = (
-    "casino", "casino-win", "win-casino", "poker", "slots", "jackpot", "betting", "free-bets", "bets", "bonus-bets", "gamble", "lottery",
-    "pills", "cheap-pills", "viagra", "pharma-deals", "weight-loss", "xxx", "porn", "adult-cams", "sex-dating", "escorts", "hot-singles",
-    "ads-track", "adserver", "ads", "track-ads", "clickbait", "popups", "spam", "malware", "phish", "free-money", "crypto-profit", "get-rich",
+    "casino", "poker", "slots", "jackpot", "betting", "bets", "bookmaker", "roulette", "gamble", "lottery",
+    "pills", "viagra", "pharma-deals", "weight-loss", "xxx", "porn", "adult-cams", "sex-dating", "escorts", "hot-singles",
+    "adserver", "ads", "adclick", "clickbait", "popups", "spam", "malware", "phish", "free-money", "crypto-profit", "get-rich",
     "payday-loans", "replica-watches", "warez", "torrents", "cracked-keys", "fake-followers", "seo-links", "buy-likes", "miracle-cure",
 )
 ALLOW_WORDS = (
@@ -34,7 +34,7 @@ ALLOW_WORDS = (
     "photos", "maps", "trains", "books", "poetry", "letters", "reading", "teacher", "students", "research", "institute", "software", "kernel",
     "python", "docs", "wiki", "encyclopedia", "dictionary", "language", "nature", "birds", "rivers", "mountain", "kitchen", "bakery", "craft",
     "winter", "better", "alphabet", "adsorption", "slotted", "shadows", "trackway", "beta-test", "island", "therapist", "pillow", "essex",
-    "station", "tion", "thing", "other", "their", "ather", "thin", "there", "hand", "entry", "stone", "inner", "order", "ready", "whole",
+    "station", "orchard", "harbour", "village", "painter", "weaver", "thunder", "feather", "leather", "motion", "nation", "lantern", "stone", "ready", "whole",
 )
 DIMS = 1 << 13
 ORDERS = (3, 4, 5)
