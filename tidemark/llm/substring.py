@@ -211,8 +211,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     # sub-windows under several ids; ``mixed`` if their runs differ
     ids = [F.min("place").alias("first_place"), F.max("place").alias("last_place")]
     common = found.groupBy("sub").agg(*ids, (F.min("run_a") < F.max("run_a")).alias("mixed")).where("first_place < last_place").select("sub", "mixed")
+    common = scratch.written(common, "window-subs")  # a table of its own, so that a hot key's rows can be split in the join
     some = scratch.written(found.join(common, "sub").drop("sub"), "window-common")
-    whole = some.groupBy("run_a", "run_b").agg(*ids).where("first_place < last_place").drop("last_place")
+    whole = scratch.written(some.groupBy("run_a", "run_b").agg(*ids).where("first_place < last_place").drop("last_place"), "window-whole")
     told = some.join(whole, ["run_a", "run_b"], "left").withColumn("gone", F.coalesce(F.col("place") > F.col("first_place"), F.lit(False)))
     told = scratch.written(told.where("gone or mixed").select("place", "text_hash", "start", "n", "gone"), "window-told")
     listed = F.collect_set(F.struct("start", "n")).cast(_SPAN)
@@ -220,7 +221,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     single = slim.select("place", "text_hash", "text").join(opened, ["place", "text_hash"])
     single = single.select("place", "text_hash", "text", "open").mapInArrow(_single(width), f"{key}, win_a long, win_b long, start int")
     single = scratch.written(single, "window-single")
-    least = single.groupBy("win_a", "win_b").agg(*ids).where("first_place < last_place").drop("last_place")
+    least = scratch.written(single.groupBy("win_a", "win_b").agg(*ids).where("first_place < last_place").drop("last_place"), "window-least")
     more = single.join(least, ["win_a", "win_b"]).where("place > first_place").select("place", "text_hash", "start", F.lit(1).alias("n"))
     gone = told.where("gone").drop("gone").unionByName(more).groupBy("place", "text_hash").agg(listed.alias("gone"))
     rows = slim.join(gone, ["place", "text_hash"], "left").select("id", "text", "gone")
