@@ -141,3 +141,35 @@ def spliced_fasta(tx: DataFrame, reference: DataFrame) -> DataFrame:
 
 def revcomp_fastq(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", seq.reverse_complement("seq")).withColumn("qual", F.reverse("qual"))
+
+
+def wrapped_fasta_lines(df: DataFrame, width: int = 60, name: str = "name", seq_col: str = "seq") -> DataFrame:
+    """FASTA with the sequence in lines of ``width`` letters."""
+    body = F.array_join(F.regexp_extract_all(F.col(seq_col), F.lit("(?s).{1,%d}" % width), F.lit(0)), "\n")
+    return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), body).alias("value"))
+
+
+def psl_lines(psl: DataFrame) -> DataFrame:
+    """Lines of the 21 PSL columns (block lists as arrays)."""
+    from .. import schemas
+
+    names = [c.split()[0] for c in schemas.PSL.split(", ")]
+    lists = {"blockSizes", "qStarts", "tStarts"}
+    return psl.select(_tsv(*[_list(F.col(c)) if c in lists else F.col(c) for c in names]).alias("value"))
+
+
+def sam_lines(sam: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """Lines of alignment records (missing fields take the format's placeholder), tags in order of their names; with (name, length) @SQ lines too."""
+    empty = {"mapq": F.lit(0), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0), "seq": F.lit("*"), "qual": F.lit("*")}
+    cols = [F.col(c) if c in sam.columns else empty[c] for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")]
+    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat_ws(":", t["key"], t["value"]["type"], t["value"]["value"]))
+    body = sam.select(F.concat_ws("\t", *[c.cast("string") for c in cols], F.coalesce(tags, F.array().cast("array<string>"))).alias("value"))
+    if lengths is None:
+        return body
+    return lengths.select(F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value")).unionByName(body)
+
+
+def vcf_lines(variants: DataFrame) -> DataFrame:
+    """Lines of (chrom, pos, id, ref, alt, qual, filter, info, samples); nulls become dots."""
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    return variants.select(F.concat_ws("\t", *[dot(c) for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")], "samples").alias("value"))

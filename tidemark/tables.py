@@ -5,17 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new table under ``spark.checkpoint.dir`` and read back.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``.
 
     Where no folder is set a temporary one serves, but only on a local master (tests): executors elsewhere would not share it.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -24,7 +23,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         base = _own[0]
-    path, schema = f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}", df.schema
+    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new table under ``spark.checkpoint.dir`` and read back."""
+    path, schema = folder(df.sparkSession, name), df.schema
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._kept_path = path
