@@ -47,7 +47,7 @@ def consecutive(rows: DataFrame, key: Column, out: str = "run") -> DataFrame:
     return running(known.drop("_was", "_carried", "_key"), ["file"], "split", ["at"], "_new", "sum", out).drop("_new")
 
 
-def grouped(rows: DataFrame, key: Column, **parts: Column) -> DataFrame:
+def grouped(rows: DataFrame, key: Column, /, **parts: Column) -> DataFrame:
     """(file, run, n, rows): each run of ``consecutive`` with its rows in order, as structs of ``parts``."""
     got = consecutive(rows, key)
     packed = F.array_sort(F.collect_list(F.struct("split", "at", F.struct(*(c.alias(n) for n, c in parts.items())).alias("row"))))

@@ -139,7 +139,7 @@ def overrepresented(df: DataFrame, text: str, size: int, share: float) -> DataFr
 
     (prefix, n, round); prefixes are counted once, and each round works on the table of counts.
     """
-    left = df.groupBy(F.substring(text, 1, size).alias("prefix")).agg(F.count("*").alias("n"))
+    left = kept(df.groupBy(F.substring(text, 1, size).alias("prefix")).agg(F.count("*").alias("n")), "prefixes")
     # A prefix above the share can be no more than 1/share of them: the heads are few, and the total is one number.
     total = left.agg(F.sum("n")).first()[0] or 0
     bound = int(1 / share) + 1

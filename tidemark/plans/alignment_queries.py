@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import psl, vcf
-from ..operators import junctions, nonredundant, reads
+from ..operators import junctions, nonredundant, reads, transcripts
 from .views import TX_EXONS, WIDTH, table, tx
 
 
@@ -42,7 +42,7 @@ def sam_blocks(spark, d):
 
 def consensus(spark, d):
     t = tx(spark, d).withColumn("exons", F.transform("exons", lambda x: F.struct(F.floor(x["s"] / 300).alias("s"), (F.floor(x["e"] / 300) + 1).alias("e"))))
-    t = t.where(F.size(F.array_distinct("exons")) == F.size("exons"))
+    t = t.withColumn("exons", transcripts.smooth("exons", 1))  # exons that the grid puts together are one
     return nonredundant.consensus(t, 1, 1, width=WIDTH).select("chrom", "locus", "n")
 
 

@@ -228,7 +228,8 @@ QUERIES = {
     "bam_round_trip": (bam_round_trip, """SELECT l_orderkey || '/' || l_linenumber AS qname, CASE l_returnflag WHEN 'R' THEN 16 ELSE 0 END AS flag, 'c' || l_suppkey % 7 AS rname, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + 1)::INTEGER AS pos,
  l_quantity::INT || 'M' || (l_partkey % 90 + 1) || 'N5M' AS cigar, l_quantity::BIGINT + 5 AS n, l_linenumber::VARCHAR AS nm FROM lineitem"""),
     "needleman_wunsch": (global_alignment, None),
-    "smith_waterman": (local_alignment, None),
+    "smith_waterman": (local_alignment, f"""{_DOCS}, q AS (SELECT doc_id, seq, substr(seq, 20) AS q FROM dna) SELECT doc_id, (10 * length(q))::BIGINT AS score, 0::BIGINT AS qs, length(q)::BIGINT AS qe,
+ CASE WHEN q = '' THEN 0 ELSE strpos(seq, q) - 1 END::BIGINT AS ts, (CASE WHEN q = '' THEN 0 ELSE strpos(seq, q) - 1 END + length(q))::BIGINT AS te, CASE WHEN q = '' THEN '' ELSE length(q) || 'M' END AS cigar, '+' AS strand FROM q"""),
     "error_classes": (error_classes, None),
     "simulated_reads": (simulated_reads, None),
     "emitted_transcripts": (emitted, None),
