@@ -9,13 +9,15 @@ in five rotations, the chain prunes them, and the full Hamming distance is
 checked last.  Equal fingerprints are folded into one row before anything meets.
 
 ``near_duplicates`` is exact for that budget.  ``first_of_group``, the pipeline's
-stage, looks for similar texts: fingerprints of 256 bits over five-word shingles that
-link within ``SIMILAR`` bits, the expected distance of texts with a shingle similarity
-of 0.8.  It is exact for that budget too: on a ring of 13 segments some chain differs
-in at most 2 bits in its first segment and 8 in its first three.  Blocks of distinct
-fingerprints are compared pair by pair; within a pair, each segment looks up all 211
-changes of up to two bits, the chain prunes, and the full Hamming distance decides.
-Pairs that other links have already joined need no comparing.
+stage, looks for similar texts: fingerprints of 1,024 bits over five-word shingles that
+link within ``SIMILAR`` bits.  Texts meet where they share one of ``ROUTES`` min-hashes of
+their shingles, so the work is linear in the texts; of pairs with a similarity s a share
+of 1 - (1 - s)**ROUTES meets (0.998 at 0.8).  What meets is compared by pigeonring on a
+ring of 57 segments: some chain differs in at most 2 bits in its first segment and 8 in
+its first three.  Small groups prune all their pairs by the ring's words; in large ones
+each segment looks up all 172 changes of up to two bits, the chain prunes, and the full
+Hamming distance decides.  Groups beyond ``GROUP`` rows are compared block by block, in
+tasks of two blocks.  Pairs that other links have already joined need no comparing.
 
 Cases: null and empty texts have fingerprint 0 and link like any other; null ids
 take the component of their fingerprint (null if all its ids are); repeated rows stay
@@ -41,14 +43,17 @@ SEGMENTS = (13, 13, 13, 13, 12)
 #: Sorted groups up to this size compare all their pairs; larger ones probe every allowed change instead.
 PROBE_FROM = 1500
 _TURNS = [SEGMENTS[i:] + SEGMENTS[:i] for i in range(5)]
-#: Most differing bits of 256 that link two documents of the stage: 256 / pi * acos(2 * 0.8 / 1.8) = 38.8.
-SIMILAR = 38
-_WIDE = 4
-#: Segments of the wide ring (up to 38 bits in all are at most two in one of 13); most differing bits in a chain's first three.
-_ARCS = (20,) * 9 + (19,) * 4
+#: Words of a wide fingerprint, and most of their 1,024 bits that differ in linked texts: texts with a similarity of 0.8 differ in
+#: 1024 / pi * acos(2 * 0.8 / 1.8) = 155 on average, with a deviation of 11, so nine in ten of them link.
+_WIDE = 16
+SIMILAR = 170
+#: Segments of the wide ring (170 bits in all are at most two in one of 57); most differing bits in a chain's first three.
+_ARCS = (18,) * 55 + (17,) * 2
 _THREE = 3 * SIMILAR // len(_ARCS)
-#: Distinct wide fingerprints in a block: a task holds two blocks.
-BLOCK = 1 << 19
+#: Min-hashes by which texts meet.
+ROUTES = 4
+#: Rows of a group that are compared in one task, and up to how many all pairs are pruned directly.
+GROUP, DIRECT = 1 << 16, 300
 #: Candidate pairs that are looked at at a time.
 CANDIDATES = 1 << 20
 _KEY = np.array([sum(t[:2]) for t in _TURNS], np.uint64)
@@ -226,13 +231,18 @@ _SPREAD = _SPREAD.sum(1, dtype=np.uint64)
 
 
 def wide_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> np.ndarray:
-    """SimHash of 256 bits (documents x 4 words) of the lower-cased texts' shingles of ``width`` words, repeats included."""
+    """SimHash of 1,024 bits (documents x 16 words) of the lower-cased texts' shingles of ``width`` words, repeats included."""
+    return _wide(buf, offs, width)[0]
+
+
+def _wide(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Wide fingerprints and the min-hashes (documents x ROUTES) of the same shingles."""
     n = len(offs) - 1
-    out = np.zeros((n, _WIDE), np.uint64)
+    out, route = np.zeros((n, _WIDE), np.uint64), np.zeros((n, ROUTES), np.uint64)
     low = kernel.LOWER[buf]
     starts, ends, doc = kernel.words(low, offs)
     if not len(starts):
-        return out
+        return out, route
     word = kernel.spans(kernel.prefix(low), starts, ends)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
@@ -256,7 +266,9 @@ def wide_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> np.n
         ones = np.stack([np.add.reduceat(_SPREAD[bits[:, k]], cut).view(np.uint8).reshape(-1, 8) for k in range(8)], 1).reshape(-1, 64)
         ones = np.add.reduceat(ones, piece, axis=0, dtype=np.int64)
         out[who, w] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+    for k in range(ROUTES):
+        route[who, k] = np.minimum.reduceat(kernel.mix(h ^ np.uint64((2 * k + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1))), begin)
+    return out, route
 
 
 def _alike(f: np.ndarray, cut: int, arcs: list[int]) -> np.ndarray:
@@ -320,42 +332,78 @@ def _alike(f: np.ndarray, cut: int, arcs: list[int]) -> np.ndarray:
     return root
 
 
-def _similar(key: tuple, t: pa.Table) -> pa.Table:
-    """Links of one pair of blocks (node, block, f0..f3) over the segments of one turn, as stars of what is joined."""
-    i, j, turn, turns = (k.as_py() for k in key)
-    node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
-    order = np.lexsort((node, block != i))
-    node = node[order]
-    f = np.column_stack([t.column(f"sim_{k}").to_numpy().view(np.uint64)[order] for k in range(_WIDE)])
-    root = _alike(f, int((block == i).sum()), list(range(turn, len(_ARCS), turns)))
-    kernel.trim()
-    star = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"a": node[star], "b": node[root[star]]})
+def _chained(x: np.ndarray) -> np.ndarray:
+    """Rows of differences (pairs x words) in which some chain of three words on the ring keeps the proportional budgets."""
+    c = np.bitwise_count(x).astype(np.int16)
+    two = c + np.roll(c, -1, 1)
+    ok = (c <= SIMILAR // _WIDE) & (two <= 2 * SIMILAR // _WIDE) & (two + np.roll(c, -2, 1) <= 3 * SIMILAR // _WIDE)
+    return ok.any(1)
+
+
+def _direct(f: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Index pairs within ``SIMILAR`` bits inside the groups of rows that end (exclusive) at ``end``; all pairs of small groups."""
+    found, d, i = [], 1, np.arange(len(f))
+    while len(i := i[i + d < end[i]]):
+        for k in range(0, len(i), CANDIDATES >> 4):
+            p = i[k : k + (CANDIDATES >> 4)]
+            x = f[p] ^ f[p + d]
+            near = np.flatnonzero(_chained(x))
+            near = near[np.bitwise_count(x[near]).sum(1) <= SIMILAR]
+            found.append(np.stack([p[near], p[near] + d]))
+        d += 1
+    return found
+
+
+_MEETING = ("slot", "key", "i", "j")
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the rows (slot, key, i, j, block, node, wide) that meet, as stars of what is joined; sorted by ``_MEETING``."""
+    for t in _whole_groups(batches, _MEETING, 1 << 15):
+        names = [t.column(n).to_numpy() for n in _MEETING]
+        first = np.flatnonzero(np.r_[True, np.any([n[1:] != n[:-1] for n in names], axis=0)])
+        size = np.diff(np.r_[first, t.num_rows])
+        node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(-1, _WIDE)
+        small = np.repeat((size > 1) & (size <= DIRECT), size)
+        rows = np.flatnonzero(small)
+        pairs = _direct(wide[rows], np.cumsum(size[(size > 1) & (size <= DIRECT)]).repeat(size[(size > 1) & (size <= DIRECT)]))
+        root = graph.local_roots(len(rows), *np.concatenate(pairs, axis=1)) if pairs else np.arange(len(rows))
+        star = np.flatnonzero(root != np.arange(len(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[rows[star]]), pa.array(node[rows[root[star]]])], ["a", "b"])
+        for a, n in zip(first[size > DIRECT], size[size > DIRECT]):
+            own = a + np.argsort(block[a : a + n] != names[2][a], kind="stable")  # block i comes first
+            cut = int((block[own] == names[2][a]).sum())
+            root = _alike(wide[own], cut, list(range(len(_ARCS))))
+            star = np.flatnonzero(root != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own[star]]), pa.array(node[own[root[star]]])], ["a", "b"])
+            kernel.trim()
 
 
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row of ``docs`` for each group of similar texts: that of the least id (null ids last)."""
-    row_col, *own = features.fresh(docs, "sim_row", *(f"sim_{k}" for k in range(_WIDE)))
-    words = [f"sim_{k}" for k in range(_WIDE)]
+    """One row of ``docs`` for each group of similar texts: that of the least id (null ids last; ids are integers)."""
+    row_col, wide_col, *key_cols = features.fresh(docs, "sim_row", "sim_wide", *(f"sim_key_{k}" for k in range(ROUTES)))
 
     def score(col: pa.Array) -> list[pa.Array]:
-        f = np.concatenate([wide_fingerprints(buf, offs, width) for _, _, buf, offs in kernel.texts(col)] or [np.zeros((0, _WIDE), np.uint64)])
-        return [pa.array(f[:, k].copy().view(np.int64)) for k in range(_WIDE)]
+        got = [_wide(buf, offs, width) for _, _, buf, offs in kernel.texts(col)]
+        f, r = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros((0, _WIDE), np.uint64), np.zeros((0, ROUTES), np.uint64))
+        return [pa.array([x.tobytes() for x in f], pa.binary()), *(pa.array(r[:, k].copy().view(np.int64)) for k in range(ROUTES))]
 
-    told = features.annotated(docs, score, ", ".join(f"{w} long" for w in own), text_col)
+    told = features.annotated(docs, score, ", ".join([f"{wide_col} binary", *(f"{c} long" for c in key_cols)]), text_col)
     told = scratch.written(told.withColumn(row_col, F.monotonically_increasing_id()), "similar-rows")
-    place = F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row"))
-    distinct = told.select(*(F.col(o).alias(w) for o, w in zip(own, words)), place.alias("place")).groupBy(*words).agg(F.min("place").alias("first"))
+    place = F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row")).alias("place")
+    slim = told.select(F.col(wide_col).alias("wide"), place, F.array(*key_cols).alias("keys"))
+    distinct = slim.groupBy("wide").agg(F.min("place").alias("first"), F.min("keys").alias("keys"))  # any of the equal ones' keys
     distinct = scratch.written(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
-    n = -(-distinct.count() // BLOCK) or 1
-    turns = max(1, len(_ARCS) // n)  # few blocks: a pair's segments go to several tasks
-    placed = distinct.select("node", *words, F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("block"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n * turns - 1))).alias("x"))
-    other = (F.col("x") / turns).cast("int")
-    placed = placed.select("node", *words, "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), (F.col("x") % turns).alias("turn"), F.lit(turns).alias("turns"))
-    pair = ["i", "j", "turn", "turns"]
-    parts = max(scratch.shuffle_partitions(docs.sparkSession), 4 * turns * n * (n + 1))
-    links = placed.repartition(parts, *pair).groupBy(*pair).applyInArrow(_similar, "a long, b long")
+    meet = distinct.select("node", "wide", F.posexplode("keys").alias("slot", "key"))
+    hot = meet.groupBy("slot", "key").count().where(F.col("count") > GROUP)
+    hot = scratch.written(hot.select("slot", "key", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "similar-hot")
+    meet = meet.join(hot, ["slot", "key"], "left") if hot.count() else meet.withColumn("blocks", F.lit(1))
+    n = F.coalesce("blocks", F.lit(1))
+    meet = meet.withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    meet = meet.select("slot", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "wide")
+    parts = max(scratch.shuffle_partitions(docs.sparkSession), distinct.count() * ROUTES >> 19)
+    links = meet.repartition(parts, *_MEETING).sortWithinPartitions(*_MEETING).mapInArrow(_similar, "a long, b long")
     links = scratch.written(links.distinct(), "similar-links")
     keep = _grouped(links, distinct).select(F.col("component.row").alias(row_col)).distinct()
     return told.join(keep, row_col, "left_semi").select(*docs.columns)
