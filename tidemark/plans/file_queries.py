@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sinks, sources
 from ..functions import seq
 from ..operators import compression, fileorder
+from ..sources import indexed
 from ..tables import folder
 from .alignment_queries import _sam
 from .reduction_queries import slot_tx
@@ -110,6 +111,21 @@ def lifted(spark, d):
     return got.select("qName", "tName", F.concat_ws(",", F.col("tStarts").cast("array<string>")).alias("starts"), F.concat_ws(",", F.col("blockSizes").cast("array<string>")).alias("sizes"), "tStart", "tEnd")
 
 
+def lookups(spark, d):
+    """Alignment records by name, by number and by coordinates, from a store that is built once for all of them."""
+    rows = _sam(spark, d).drop("tags").withColumn("line", F.xxhash64("qname", "rname", "pos", "cigar").bitwiseAND((1 << 30) - 1))
+    spans = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN]"), F.lit(1))
+    length = F.aggregate(F.transform(spans, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    path = folder(spark, "records")
+    indexed.build(rows, path, F.col("pos") + length, 16)
+    x = indexed.Index(spark, path)
+    cols = [F.col(c) for c in ("qname", "rname", "pos", "cigar")]
+    by_name = x.by_names([f"{k}/{n}" for k in (1, 7, 33, 999) for n in range(1, 8)]).select(F.lit("name").alias("by"), *cols)
+    by_range = x.by_range("3", 10, 14).select(F.lit("range").alias("by"), *cols)
+    by_table = x.by_table(table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("/1")).alias("name"))).select(F.lit("table").alias("by"), *cols)
+    return by_name.unionByName(by_range).unionByName(by_table)
+
+
 _TX = """sx AS (SELECT id, slot * 100 + min(q) % 5 AS s, slot * 100 + 50 + max(q) % 5 AS e FROM (
    SELECT l_orderkey AS id, floor(date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 14)::BIGINT AS slot, l_quantity::BIGINT AS q FROM lineitem) GROUP BY id, slot),
  tx AS (SELECT 'g' || id % 100 AS gene_name, 't' || id AS name, 'chr' || floor(id / 4000)::BIGINT AS chrom, CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END AS strand, string_agg(s || '-' || e, ',' ORDER BY s) AS exons FROM sx GROUP BY id)"""
@@ -126,6 +142,10 @@ QUERIES = {
  l_quantity::INT || 'M' || (l_partkey % 3 * 40 + 30) || 'N' || (l_linenumber + 5) || 'M' AS cigar, (l_linenumber % 2 + 1)::VARCHAR AS nh, (SELECT count(*) FROM supplier) AS targets FROM lineitem"""),
     "vcf_files": (vcf, """SELECT 'c' || l_suppkey AS chrom, (l_orderkey % 1000 + 1)::INTEGER AS pos, l_orderkey || '/' || l_linenumber AS id, CASE l_returnflag WHEN 'A' THEN 'GT' ELSE 'G' END AS alt,
  CASE WHEN l_linenumber % 5 > 0 THEN round(l_extendedprice::DOUBLE, 2) END AS qual, 'DP=' || l_quantity::INT AS info, 2::BIGINT AS samples FROM lineitem"""),
+    "record_lookups": (lookups, """WITH s AS (SELECT l_orderkey || '/' || l_linenumber AS qname, l_orderkey AS k, l_linenumber AS n, l_suppkey::VARCHAR AS rname, (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) % 50 + 1)::INTEGER AS pos,
+ l_quantity::INT || 'M' || (l_partkey % 3 * 40 + 30) || 'N' || (l_linenumber + 5) || 'M' AS cigar, l_quantity::INT + l_partkey % 3 * 40 + 30 + l_linenumber + 5 AS len FROM lineitem)
+ SELECT 'name' AS by, qname, rname, pos, cigar FROM s WHERE k IN (1, 7, 33, 999) UNION ALL SELECT 'range', qname, rname, pos, cigar FROM s WHERE rname = '3' AND pos <= 14 AND pos + len > 10
+ UNION ALL SELECT 'table', qname, rname, pos, cigar FROM s WHERE n = 1 AND k % 50 = 0 AND k IN (SELECT o_orderkey FROM orders)"""),
     "consecutive_groups": (neighbours, f"""WITH {_ORDERED.format(v="l_returnflag")}, f AS (SELECT *, CASE WHEN flag = lag(flag) OVER (PARTITION BY l_suppkey ORDER BY i) THEN 0 ELSE 1 END AS f FROM ln),
  k AS (SELECT *, sum(f) OVER (PARTITION BY l_suppkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT l_suppkey AS supplier, run::BIGINT AS run, any_value(flag) AS flag, count(*) AS n, arg_min(l_orderkey, i) AS first, arg_max(l_orderkey, i) AS last FROM k GROUP BY l_suppkey, run"""),
     "records_across_splits": (lines_of_four, f"""WITH {_ORDERED.format(v="l_orderkey || '/' || l_linenumber || '/' || l_partkey")} SELECT l_suppkey AS supplier, (i // 4)::BIGINT AS record, max(value) FILTER (i % 4 = 0) AS a, max(value) FILTER (i % 4 = 1) AS b, max(value) FILTER (i % 4 = 2) AS c, max(value) FILTER (i % 4 = 3) AS d
