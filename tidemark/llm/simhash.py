@@ -405,5 +405,7 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(scratch.shuffle_partitions(docs.sparkSession), distinct.count() * ROUTES >> 19)
     links = meet.repartition(parts, *_MEETING).sortWithinPartitions(*_MEETING).mapInArrow(_similar, "a long, b long")
     links = scratch.written(links.distinct(), "similar-links")
-    keep = _grouped(links, distinct).select(F.col("component.row").alias(row_col)).distinct()
+    nodes = scratch.written(distinct.select("node", "first"), "similar-nodes")
+    scratch.remove(distinct)  # the fingerprints are not needed any more
+    keep = _grouped(links, nodes).select(F.col("component.row").alias(row_col)).distinct()
     return told.join(keep, row_col, "left_semi").select(*docs.columns)
