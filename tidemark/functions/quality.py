@@ -30,9 +30,15 @@ def mean_error(qual: str | Column, kind: str = "S") -> Column:
     return F.aggregate(c, F.lit(0.0), lambda s, x: s + error_probability(x, kind)) / F.size(c)
 
 
+def count_between(qual: str | Column, low: int, high: int) -> Column:
+    """Characters whose code lies in [low, high]."""
+    q = F.col(qual) if isinstance(qual, str) else qual
+    return F.regexp_count(q, F.lit(r"[\x{%x}-\x{%x}]" % (low, high)))
+
+
 def low_count(qual: str | Column, most: int) -> Column:
     """Characters whose code is at most ``most``."""
-    return F.size(F.filter(codes(qual), lambda x: x <= most))
+    return count_between(qual, 0, most)
 
 
 def to_phred33(rate: Column) -> Column:
@@ -55,13 +61,8 @@ def called(reads: DataFrame, qual: str, keys: list[str] = []) -> DataFrame:
     P (PacBio), S (Sanger), J (Illumina 1.5+), I (Illumina 1.3+); more than two characters of a range count as a sign.
     Codes that only Solexa has are recognised, but such reads are not called.
     """
-    c = codes(qual)
-
-    def n(low: int, high: int) -> Column:
-        return F.sum(F.size(F.filter(c, lambda x: (x >= low) & (x <= high))))
-
     # fixed values: the code ranges that tell the encodings apart
     ranges = {"pacbio": (105, 113), "first": (64, 65), "high": (76, 104), "solexa": (59, 63), "start": (64, 66), "next": (67, 72), "low": (33, 58)}
-    by = reads.where(F.length(qual) > 0).groupBy(*keys).agg(*(n(*r).alias(f"_{name}") for name, r in ranges.items()))
+    by = reads.where(F.length(qual) > 0).groupBy(*keys).agg(*(F.sum(count_between(qual, *r)).alias(f"_{name}") for name, r in ranges.items()))
     kind = F.expr("CASE WHEN _pacbio > 2 AND _low > 2 THEN 'P' WHEN _low > 2 THEN 'S' WHEN _solexa > 2 AND _high > 2 THEN NULL WHEN _next > 2 AND _high > 2 AND _first = 0 THEN 'J' WHEN _start > 2 AND _high > 2 THEN 'I' END")
     return by.select(*keys, kind.alias("kind"))

@@ -126,7 +126,7 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], how: s
     """Pairs of rows that share a base (or lie within ``slack`` bases): keys, a_*, b_* and ``bp`` shared.
 
     ``how``: inner, left_semi, left_anti (columns of a), or left (b_* null where nothing meets).
-    ``where`` is a further condition on a_*, b_* and bp.
+    ``where`` is a further condition on a_*, b_* and bp; without one, which rows meet nothing is told without pairs.
     """
     left, right = _prefixed(a, "a", keys), _prefixed(b, "b", keys)
     wide_a = left.withColumn("_bin", F.explode(F.sequence(_bin(F.col("a_s") - slack, width), _bin(F.col("a_e") - 1 + slack, width))))
@@ -139,6 +139,12 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], how: s
     met = met.drop("_bin")
     if how == "inner":
         return met
+    if where is None:
+        some = F.coalesce(F.col("_reach") > F.col("s") - slack, F.lit(False))
+        marked = _reached(a, b, keys, slack, width)
+        if how in ("left_semi", "left_anti"):
+            return marked.where(some if how == "left_semi" else ~some).drop("_reach")
+        return met.unionByName(_prefixed(marked.where(~some).drop("_reach"), "a", keys), allowMissingColumns=True)
     # rows are known by all their columns: equal rows meet the same rows, and no number has to be the same in two evaluations
     own = met.select(*left.columns).distinct()
     same = F.lit(True)
@@ -150,6 +156,20 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], how: s
     return met.unionByName(alone, allowMissingColumns=True)
 
 
+def _reached(a: DataFrame, b: DataFrame, keys: list[str], slack: int, width: int) -> DataFrame:
+    """``a`` with ``_reach``: the furthest end of the rows of b that start before the row's end and slack.
+
+    A row shares a base with some row of b just where that end lies beyond its start, so whether it does takes one running
+    maximum over starts and ends, and no pairs.
+    """
+    until = F.col("e") + slack
+    starts = b.where("s <= e").groupBy(*keys, F.col("s").alias("_pos")).agg(F.max("e").alias("_x")).withColumn("_kind", F.lit(1))
+    ends = a.select(*keys, until.alias("_pos")).distinct().withColumn("_kind", F.lit(0))
+    rows = starts.unionByName(ends, allowMissingColumns=True).withColumn("_bin", _bin("_pos", width))
+    told = running(rows, keys, "_bin", ["_pos", "_kind"], "_x", "max", "_reach").where("_kind = 0 AND _reach IS NOT NULL")
+    return a.withColumn("_pos", until).join(told.select(*keys, "_pos", "_reach"), [*keys, "_pos"], "left").select(*a.columns, "_reach")
+
+
 def nearest(a: DataFrame, b: DataFrame, keys: list[str] = ["chrom"], tie: str = "id", width: int = BIN) -> DataFrame:
     """Each row of a with the nearest row of b by gap (0 if they overlap): a_*, b_*, distance; ties by b's start, then ``tie``.
 

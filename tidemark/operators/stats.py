@@ -69,9 +69,12 @@ def length_bins(df: DataFrame, size: str, width: int, last: int, hit: Column) ->
     return df.groupBy(b).agg(F.count("*").alias("n"), F.count_if(hit).alias("n_hit"), F.round(F.count_if(hit) / F.count("*"), 6).alias("rate"))
 
 
-def percentile_table(df: DataFrame, value: str, percents: list[int], keys: list[str] = []) -> DataFrame:
-    """(keys, percent, value): the value at index int(n * p / 100), the last one at most, of the ascending values."""
-    by = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+def percentile_table(df: DataFrame, value: str, percents: list[int], keys: list[str] = [], count: str | None = None) -> DataFrame:
+    """(keys, percent, value): the value at index int(n * p / 100), the last one at most, of the ascending values.
+
+    ``count`` names a column that tells how many values a row stands for.
+    """
+    by = df.groupBy(*keys, value).agg((F.sum(count) if count else F.count("*")).alias("_c"))
     w = W.partitionBy(*keys)
     run = by.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
     marks = run.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
@@ -179,11 +182,43 @@ def transpose(cells: DataFrame, row: str, col: str, value: str, columns: list[st
     return cells.groupBy(col).pivot(row, columns).agg(F.first(value))
 
 
+#: Letters of which one step of ``quality_profile`` makes a table.
+LETTERS = 1 << 20
+
+
 def quality_profile(reads: DataFrame, qual: str) -> DataFrame:
-    """(position from 0, code, n)."""
-    from ..functions import quality
+    """(position from 0, code, n) over the characters of all quality strings.
+
+    Each Arrow batch is counted by position and code before anything is shuffled, about a million letters at a time, so
+    that no row a letter is made.
+    """
 
-    return reads.select(F.posexplode(quality.codes(qual)).alias("position", "code")).groupBy("position", "code").agg(F.count("*").alias("n"))
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def table(texts: list[str], size: int):
+            code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            lens = np.fromiter(map(len, texts), np.int64, len(texts))
+            place = np.arange(size) - np.repeat(np.cumsum(lens) - lens, lens)
+            cells, n = np.unique(place << 21 | code, return_counts=True)
+            return pa.record_batch([pa.array(cells >> 21), pa.array(cells & (1 << 21) - 1), pa.array(n.astype(np.int64))], ["position", "code", "n"])
+
+        texts, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                one = text.as_py()
+                if one:
+                    texts.append(one)
+                    size += len(one)
+                if size >= LETTERS:
+                    yield table(texts, size)
+                    texts, size = [], 0
+        if texts:
+            yield table(texts, size)
+
+    parts = reads.select(qual).mapInArrow(counted, "position long, code long, n long")
+    return parts.groupBy("position", "code").agg(F.sum("n").alias("n"))
 
 
 def svd_entropy(m) -> float:

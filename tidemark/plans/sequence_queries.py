@@ -90,11 +90,11 @@ def reads_with_low(spark, d):
 
 
 def quality_by_position(spark, d):
-    return stats.percentile_table(qual(spark, d).select(F.posexplode(quality.codes("qual")).alias("position", "code")).select(F.col("position").cast("long"), F.col("code").cast("long")), "code", [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100], ["position"])
+    return stats.percentile_table(stats.quality_profile(qual(spark, d), "qual"), "code", [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100], ["position"], "n")
 
 
 def quality_profile(spark, d):
-    return stats.quality_profile(qual(spark, d), "qual").select(F.col("position").cast("long"), F.col("code").cast("long"), "n")
+    return stats.quality_profile(qual(spark, d), "qual")
 
 
 def cigar_spans(spark, d):
