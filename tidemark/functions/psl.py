@@ -7,6 +7,7 @@ and the arrays blockSizes, qStarts, tStarts.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import cigar as cg
@@ -146,20 +147,54 @@ def to_sam(psl: DataFrame, reads: DataFrame, min_intron: int = MIN_INTRON) -> Da
 
 def alignment_strings(query: Column, target: Column) -> Column:
     """struct(q, t): both sequences with gaps as dashes, block by block (introns are left out)."""
-    zipped = F.arrays_zip("tStarts", "qStarts", "blockSizes")
-    zero = F.struct(F.lit("").alias("q"), F.lit("").alias("t"), F.lit(None).cast("bigint").alias("qe"), F.lit(None).cast("bigint").alias("te"))
+    blocks = F.arrays_zip("tStarts", "qStarts", "blockSizes")
 
-    def step(acc: Column, b: Column) -> Column:
-        qs, ts, n = b["qStarts"].cast("bigint"), b["tStarts"].cast("bigint"), b["blockSizes"].cast("int")
-        gq, gt = F.coalesce(qs - acc["qe"], F.lit(0)).cast("int"), F.coalesce(ts - acc["te"], F.lit(0)).cast("int")
+    def part(b: Column, i: Column) -> Column:
+        before = F.get(blocks, i - 1)
+        qs, ts, n = b["qStarts"].cast("int"), b["tStarts"].cast("int"), b["blockSizes"].cast("int")
+        gap = lambda side, at: F.coalesce(at - before[side].cast("int") - before["blockSizes"].cast("int"), F.lit(0))
+        gq, gt = gap("qStarts", qs), gap("tStarts", ts)
         gt = F.when(gt < MIN_INTRON, gt).otherwise(0)
-        part = lambda s, at, k: F.substr(s, (at + 1).cast("int"), k)
-        q = F.concat(acc["q"], part(query, qs - gq, gq), F.lpad(F.lit(""), gt, F.lit("-")), part(query, qs, n))
-        t = F.concat(acc["t"], F.lpad(F.lit(""), gq, F.lit("-")), part(target, ts - gt, gt), part(target, ts, n))
-        return F.struct(q.alias("q"), t.alias("t"), (qs + n).alias("qe"), (ts + n).alias("te"))
+        q = F.concat(F.substr(query, qs - gq + 1, gq), F.lpad(F.lit(""), gt, F.lit("-")), F.substr(query, qs + 1, n))
+        t = F.concat(F.lpad(F.lit(""), gq, F.lit("-")), F.substr(target, ts - gt + 1, gt), F.substr(target, ts + 1, n))
+        return F.struct(q.alias("q"), t.alias("t"))
+
+    parts = F.transform(blocks, part)
+    return F.struct(F.concat_ws("", parts["q"]).alias("q"), F.concat_ws("", parts["t"]).alias("t"))
+
+
+def printed(strings: Column, width: int = 50) -> Column:
+    """array<struct(q, marks, t)>: ``alignment_strings`` in lines of ``width`` columns, with ``|`` between equal letters."""
+    columns = lambda c: F.regexp_extract_all(strings[c], F.lit("(?s).{1,%d}" % width), F.lit(0))
 
-    done = F.aggregate(zipped, zero, step)
-    return F.struct(done["q"].alias("q"), done["t"].alias("t"))
+    def line(q: Column, t: Column) -> Column:
+        marks = F.zip_with(F.split(q, ""), F.split(t, ""), lambda x, y: F.when(x == "", "").when((F.upper(x) == F.upper(y)) & (x != "-"), "|").otherwise(" "))
+        return F.struct(q.alias("q"), F.concat_ws("", marks).alias("marks"), t.alias("t"))
+
+    return F.zip_with(columns("q"), columns("t"), line)
+
+
+def stitched(psl: DataFrame) -> DataFrame:
+    """(qName, tName, strand, entries, blockSizes, qStarts, tStarts): the alignments of a query on one strand of one target as one.
+
+    They follow each other along the target (``tStart``, then ``tEnd`` and ``qStart``); each loses the target bases up to the
+    furthest end before it, and one with nothing left goes.  Blocks that adjoin on both sides join.  ``entries`` counts the
+    alignments that are left.  Queries are taken as they are: they should not overlap (``operators.reads.best_by_base``).
+    """
+    key = ["qName", "tName", "strand"]
+    order = W.partitionBy(*key).orderBy("tStart", "tEnd", "qStart")
+    rows = psl.select(*key, "qSize", "tStart", "tEnd", "qStart", "blockSizes", "qStarts", "tStarts")
+    rows = rows.withColumn("_far", F.coalesce(F.max("tEnd").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    left = trimmed(rows, F.col("_far"), F.col("tEnd"))
+    block = F.arrays_zip(F.col("tStarts").alias("t"), F.col("qStarts").alias("q"), F.col("blockSizes").alias("n"))
+    by = left.groupBy(*key).agg(F.count("*").alias("entries"), F.array_sort(F.collect_list(F.struct("tStart", "tEnd", block.alias("b")))).alias("_x"))
+    b = F.flatten(F.transform("_x", lambda x: x["b"]))
+    by = by.select(*key, "entries", b.alias("_b"))
+    joins = lambda x, y: (x["t"] + x["n"] == y["t"]) & (x["q"] + x["n"] == y["q"])
+    first = F.filter("_b", lambda x, i: (i == 0) | ~joins(F.get("_b", i - 1), x))
+    last = F.filter("_b", lambda x, i: (i == F.size("_b") - 1) | ~joins(x, F.get("_b", i + 1)))
+    done = by.select(*key, "entries", F.zip_with(first, last, lambda x, y: F.struct(x["t"].alias("t"), x["q"].alias("q"), (y["t"] + y["n"] - x["t"]).alias("n"))).alias("_b"))
+    return done.select(*key, "entries", F.col("_b.n").alias("blockSizes"), F.col("_b.q").alias("qStarts"), F.col("_b.t").alias("tStarts"))
 
 
 def flipped(strand: Column) -> Column:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import seq
 from ..tables import kept
 from . import intervals as iv
 from .running import running
+from .stats import strata_by_cut
 
 
 def transcript_depth(exons: DataFrame, depth: DataFrame, min_depth: int = 1, width: int = iv.BIN) -> DataFrame:
@@ -56,6 +59,49 @@ def gc_bins(windows: DataFrame, gc: Column, bins: int, depth: Column, size: Colu
     return windows.where(gc.isNotNull()).groupBy(b, depth.alias("depth")).agg(F.sum(size).alias("bases"))
 
 
+def gc_depth(
+    tx: DataFrame, chunks: DataFrame, size: int, bins: int = 20, fragment: int | None = None, least_length: int = 1, min_known: int = 50, best: int | None = None, seed: int = 1, width: int = iv.BIN
+) -> DataFrame:
+    """(bin, depth, bases): bases by GC bin and the depth of the transcripts (or their fragments) of that bin.
+
+    ``tx``: (id, chrom, exons), ``chunks``: the reference in rows of ``size`` letters (`functions.seq.chunked`).  With
+    ``fragment`` transcripts are cut into pieces of so many bases and the shorter rest falls off at the end or at the start, by
+    a hash of seed and id; otherwise whole transcripts of ``least_length`` count.  Pieces with fewer than ``min_known`` letters
+    other than N do not.  ``best`` keeps the bases that all pieces together cover deepest: depths from the greatest down while
+    they hold at most the last of 10, 50, 100, 500, ... bases that is not above ``best``.
+
+    Letters are counted chunk by chunk, so neither a transcript's sequence nor a chromosome is ever put together.
+    """
+    exon = W.partitionBy("id").orderBy("s")  # exons of one transcript
+    ex = tx.select("id", "chrom", F.explode("exons").alias("x")).select("id", "chrom", "x.s", "x.e").where("s < e")
+    ex = ex.withColumn("end", F.sum(F.col("e") - F.col("s")).over(exon.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum(F.col("e") - F.col("s")).over(W.partitionBy("id")))
+    ex = ex.withColumn("off", F.col("end") - (F.col("e") - F.col("s")))
+    if fragment:
+        early = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 1) < "8"
+        ex = ex.withColumn("o", F.when(early, F.col("n") % fragment).otherwise(0)).withColumn("m", F.floor(F.col("n") / fragment))
+        k = F.sequence(F.greatest(F.floor((F.col("off") - F.col("o")) / fragment), F.lit(0)), F.least(F.floor((F.col("end") - 1 - F.col("o")) / fragment), F.col("m") - 1))
+        ex = ex.where("m > 0 AND end > o AND off < o + m * %d" % fragment).withColumn("k", F.explode(k))
+        at = F.col("o") + F.col("k") * fragment
+        lo, hi = F.greatest(at - F.col("off"), F.lit(0)), F.least(at + fragment - F.col("off"), F.col("e") - F.col("s"))
+        parts = ex.select("id", "k", "chrom", (F.col("s") + lo).alias("s"), (F.col("s") + hi).alias("e"))
+    else:
+        parts = ex.where(F.col("n") >= least_length).select("id", F.lit(0).cast("long").alias("k"), "chrom", "s", "e")
+    parts = kept(parts, "parts")
+    met = parts.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size)))).join(chunks.withColumnRenamed("name", "chrom"), ["chrom", "chunk"])
+    from_, to = F.greatest(F.col("s") - F.col("chunk") * size, F.lit(0)), F.least(F.col("e") - F.col("chunk") * size, F.lit(size))
+    letters = met.select("id", "k", F.upper(F.substr("seq", (from_ + 1).cast("int"), (to - from_).cast("int"))).alias("p"))
+    by = letters.groupBy("id", "k").agg(F.sum(seq.count_of("p", "GC").cast("long")).alias("gc"), F.sum((F.length("p") - seq.n_count("p")).cast("long")).alias("known"))
+    binned = by.where((F.col("known") >= min_known) & (F.col("known") > 0)).select("id", "k", F.least(F.floor(F.col("gc") * bins / F.col("known")), F.lit(bins - 1)).alias("bin"))
+    rows = kept(parts.join(binned, ["id", "k"]).select("bin", "chrom", "s", "e"), "binned")
+    deep = iv.coverage(rows, ["bin", "chrom"], width=width)
+    if best is None:
+        return deep.groupBy("bin", "depth").agg(F.sum(F.col("e") - F.col("s")).alias("bases"))
+    every = kept(iv.coverage(rows, width=width), "depths")
+    top = strata_by_cut(every.withColumn("w", F.col("e") - F.col("s")), "depth", "w", 10).where(F.col("cut") <= best).select("depth")
+    top = every.join(top, "depth").select("chrom", "s", "e")
+    return iv.overlap_join(deep, top, width=width).groupBy(F.col("a_bin").alias("bin"), F.col("a_depth").alias("depth")).agg(F.sum("bp").alias("bases"))
+
+
 def background(regions: DataFrame, genes: DataFrame, depth: DataFrame, buffer: int, window: int, width: int = iv.BIN) -> DataFrame:
     """(chrom, s, e, mean_depth) of whole windows of ``regions`` at least ``buffer`` away from any gene."""
     free = iv.subtract(regions, iv.pad(genes, buffer), width=width)

@@ -53,3 +53,28 @@ def grouped(rows: DataFrame, key: Column, /, **parts: Column) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct("split", "at", F.struct(*(c.alias(n) for n, c in parts.items())).alias("row"))))
     by = got.groupBy("file", "run").agg(F.count("*").alias("n"), packed.alias("x"))
     return by.select("file", "run", "n", F.transform("x", lambda x: x["row"]).alias("rows"))
+
+
+#: The last integer in a file's name.
+NUMBER = r"(\d+)\D*$"
+
+
+def concatenated(spark: SparkSession, path: str, number: str = NUMBER) -> DataFrame:
+    """(line, value): the lines of the files under ``path`` in the order of the integer in their names, numbered from 0.
+
+    ``number`` is the pattern whose first group is that integer.  A name without one, or two files with the same one, are an
+    error: their order would be a guess.
+    """
+    rows = lines(spark, path)
+    base = F.url_decode(F.element_at(F.split("file", "/"), -1))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")).select("file", F.regexp_extract(base, number, 1).alias("digits"))
+    fault = F.when(F.col("digits") == "", F.raise_error(F.concat(F.lit("no number in the name of "), F.col("file"))))
+    files = files.select("file", F.coalesce(fault.cast("long"), F.col("digits").cast("long")).alias("_number"))
+    twice = files.groupBy("_number").agg(F.count("*").alias("_n"), F.min("file").alias("file"))
+    twice = twice.select("file", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("another file has the number of "), F.col("file")))).otherwise(F.col("_number")).alias("_number"))
+    # a row a split: what stands in the splits before it
+    splits = rows.groupBy("file", "split").agg(F.count("*").alias("_n")).join(twice, "file")
+    before = F.sum("_n").over(W.orderBy("_number", "split").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("file", "split", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("file", "split").orderBy("at")) - 1
+    return rows.withColumn("_own", own).join(splits, ["file", "split"]).select((F.col("_before") + F.col("_own")).alias("line"), "value")

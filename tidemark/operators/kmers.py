@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,23 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("n", "n_b"), "kmer").withColumnRenamed("n", "n_a")
 
 
+def merged(*tables: DataFrame) -> DataFrame:
+    """(kmer, n): the sums of several tables (kmer, n)."""
+    every = tables[0].select("kmer", "n")
+    for other in tables[1:]:
+        every = every.unionByName(other.select("kmer", "n"))
+    return every.groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def zeros(spark: SparkSession, k: int) -> DataFrame:
+    """(kmer, n): all 4^k k-mers with the count 0, made where they are needed; ``k`` is at most 30."""
+    if not 1 <= k <= 30:
+        raise ValueError("k is 1 to 30")
+    # the digits to base 4 are the letters
+    digits = F.lpad(F.conv(F.col("id"), 10, 4), k, "0")
+    return spark.range(4**k).select(F.translate(digits, "0123", "ACGT").alias("kmer"), F.lit(0).cast("long").alias("n"))
+
+
 def heavy(reads: DataFrame, seq_col: str, k: int, end: int, top: int, most_at: int) -> DataFrame:
     """The ``top`` k-mers of the first and last ``end`` letters that do not end in more than ``most_at`` A or T."""
     ends = reads.select(F.explode(F.array(F.substr(F.col(seq_col), F.lit(1), F.lit(end)), F.expr(f"right({seq_col}, {end})"))).alias("piece"))

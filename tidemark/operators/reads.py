@@ -50,6 +50,18 @@ def joined_mates(sam: DataFrame, most: int = 100_000) -> DataFrame:
     return met.select("qname", "rname", s.alias("s"), e.alias("e"), blocks.alias("blocks")).where(F.col("e") - F.col("s") <= most)
 
 
+def split_mates(fastq: DataFrame, size: int) -> DataFrame:
+    """(mate 1 or 2, name, seq, qual): records that hold two mates of ``size`` letters one after the other, cut apart.
+
+    A ``length=`` in the name is set to the mate's.  A record of any other size is an error, as its mates cannot be told.
+    """
+    fits = (F.length("seq") == 2 * size) & (F.length("qual") == 2 * size)
+    name = F.when(fits, F.regexp_replace("name", r"(\slength\s*=\s*)\d+", "$1%d" % size)).otherwise(F.raise_error(F.concat(F.lit("not two mates of the given size: "), F.col("name"))))
+    half = lambda c, k: F.substr(F.col(c), F.lit(1 + k * size), F.lit(size)).alias(c)
+    both = F.array(*(F.struct(F.lit(k + 1).alias("mate"), half("seq", k), half("qual", k)) for k in (0, 1)))
+    return fastq.select(name.alias("name"), F.explode(both).alias("x")).select("x.mate", "name", "x.seq", "x.qual")
+
+
 def error_profile(columns: DataFrame) -> DataFrame:
     """(before, after, ref, base, n): counts of observed bases by reference base and its neighbours.
 

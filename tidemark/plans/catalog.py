@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment_queries, assignment_queries, depth_queries, error_queries, file_queries, interval_queries, reduction_queries, sequence_queries, stitch_queries, table_queries
+from . import alignment_queries, assignment_queries, depth_queries, error_queries, file_queries, interval_queries, reduction_queries, sequence_queries, stitch_queries, table_queries, various_queries
 
-CATALOG: dict = {**interval_queries.QUERIES, **alignment_queries.QUERIES, **sequence_queries.QUERIES, **table_queries.QUERIES, **reduction_queries.QUERIES, **stitch_queries.QUERIES, **depth_queries.QUERIES, **assignment_queries.QUERIES, **file_queries.QUERIES, **error_queries.QUERIES}
+CATALOG: dict = {**interval_queries.QUERIES, **alignment_queries.QUERIES, **sequence_queries.QUERIES, **table_queries.QUERIES, **reduction_queries.QUERIES, **stitch_queries.QUERIES, **depth_queries.QUERIES, **assignment_queries.QUERIES, **file_queries.QUERIES, **error_queries.QUERIES, **various_queries.QUERIES}
 
 
 def queries() -> dict:
