@@ -116,10 +116,10 @@ def ladder(reads: DataFrame, join_gap: int = 68, chain_gap: int = 100_000, width
     One sweep gives the depth; a segment then stands on every level up to its depth.  On each level segments up to
     ``join_gap`` apart join into exons, and exons up to ``chain_gap`` apart into chains.
     """
-    depth = iv.coverage(reads, width=width)
+    depth = kept(iv.coverage(reads, width=width), "depth")
     levels = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2("depth") + 1e-9).cast("int")), lambda k: F.pow(F.lit(2), k).cast("long"))).alias("level")
     deep = depth.select("chrom", levels, "s", "e")
-    exons = iv.merge(deep, ["chrom", "level"], join_gap, True, width).drop("n")
+    exons = kept(iv.merge(deep, ["chrom", "level"], join_gap, True, width).drop("n"), "ladder")
     rows = iv.islands(exons, ["chrom", "level"], chain_gap, True, width).withColumnRenamed("island", "locus")
     return rows.groupBy("chrom", "level", "locus").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("exons"))
 
@@ -128,7 +128,7 @@ def novel(reads: DataFrame, annotation: DataFrame, join_gap: int = 68, chain_gap
     """``ladder`` of the reads that share no base with the annotation."""
     columns = ["chrom", "s", "e"]
     known = iv.merge(annotation.select(*columns), width=width).drop("n")
-    return ladder(iv.overlap_join(reads, known, how="left_anti", width=width), join_gap, chain_gap, width)
+    return ladder(kept(iv.overlap_join(reads, known, how="left_anti", width=width), "novel"), join_gap, chain_gap, width)
 
 
 def least_under(ranges: DataFrame, segments: DataFrame, value: str = "depth", width: int = iv.BIN) -> DataFrame:
