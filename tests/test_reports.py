@@ -194,3 +194,49 @@ def test_gc_depth(spark, fragment, best):
     chunks = seq.chunked(spark.createDataFrame(list(letters.items()), "name string, seq string"), 16)
     got = coverage.gc_depth(table, chunks, 16, 5, fragment, 10, 4, best, 1, 32).collect()
     assert {(r.bin, r.depth): r.bases for r in got} == want and want
+
+
+# groups that spread over tasks
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_hot_groups_are_ranked_over_ranges(spark, monkeypatch, many_ranges):
+    from tidemark.operators import running, select
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), i, rnd.choice([None, 0, 1, 2, 7])) for i in range(400)] + [("lone", 1000, 3)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    assert running.spread(df, ["k"], [F.col("i")], "t").where("k = 'hot'").select("_bin").distinct().count() > 3
+    groups = {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        groups.setdefault(k, []).append((i, v))
+    renamed = {r.i: r.u for r in select.rename_duplicates(df, "k", [F.col("i")], "u").collect()}
+    assert renamed == {i: None if k is None else k if len(g) == 1 else f"{k}[{n}/{len(g)}]" for k, g in groups.items() for n, (i, _) in enumerate(g, 1)}
+    left = {r.i for r in select.drop_shortest(df, ["k"], "i", [], 5).collect()}
+    assert left == {i for g in groups.values() for i, _ in (g[5:] if len(g) > 5 else g)}
+    got = {r.i: (r.running_mean, r.running_sd) for r in stats.running_mean_sd(df, ["k"], ["i"], "v").collect()}
+    assert len(got) == len(rows)
+    for g in groups.values():
+        total = count = ss = 0
+        for n, (i, v) in enumerate(g, 1):
+            if v is not None:
+                total, count = total + v, count + 1
+                ss += (v - total / count) ** 2
+            assert got[i][0] == (pytest.approx(total / count, abs=1e-6) if count else None)
+            assert got[i][1] == (pytest.approx((ss / (n - 1)) ** 0.5, abs=1e-6) if n > 1 else None)
+    monkeypatch.setattr(stats, "RUN", 16)
+    counted = df.fillna(0, ["v"])
+    scores = {r.i: (r.mean_score, r.median_score) for r in stats.window_scores(counted, ["k"], "i", "v", 3, 9).collect()}
+    want = {}
+    for g in groups.values():
+        xs = [(i, 1 / (v or 1e7)) for i, v in g]
+        want |= {xs[j][0]: (sum(x for _, x in xs[j - 2 : j + 1]) / 3, sorted(x for _, x in xs[j - 2 : j + 1])[1]) for j in range(2, len(xs))}
+    assert scores.keys() == want.keys() and all(scores[i] == pytest.approx(want[i], abs=1e-8) for i in want)

@@ -44,3 +44,31 @@ def sweep(df: DataFrame, keys: list[str], bin_col: str, pos: str, sums: dict[str
 def following(df: DataFrame, keys: list[str], bin_col: str, order: str, out: str) -> DataFrame:
     """``out``: the value of ``order`` in the next row of the keys, across bins."""
     return sweep(df, keys, bin_col, order, {}, out)
+
+
+def spread(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` as a written table with ``_key`` (the keys as a struct, so that nulls are a key too) and ``_bin``.
+
+    Rows are ranged by keys and order; ``_bin`` is the range and does not decrease along ``order``, so a hot key has many bins.
+    """
+    from ..tables import kept
+
+    ranged = df.withColumn("_key", F.struct(*keys)).repartitionByRange(*[F.col(k) for k in keys], *order)
+    return kept(ranged.withColumn("_bin", F.spark_partition_id()), name)
+
+
+def sums(df: DataFrame, keys: list[str], bin_col: str, order: list[Column], values: dict[str, str]) -> DataFrame:
+    """Running sums of several columns at once (column -> name of its sum), this row included."""
+    own = W.partitionBy(*keys, bin_col).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy(bin_col).rowsBetween(W.unboundedPreceding, -1)
+    carry = df.groupBy(*keys, bin_col).agg(*(F.sum(v).alias(f"_t_{out}") for v, out in values.items()))
+    carry = carry.select(*keys, bin_col, *(F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_c_{out}") for out in values.values()))
+    cols = {out: F.coalesce(F.sum(v).over(own), F.lit(0)) + F.col(f"_c_{out}") for v, out in values.items()}
+    return df.join(carry, [*keys, bin_col]).withColumns(cols).drop(*(f"_c_{out}" for out in values.values()))
+
+
+def places(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``_rank``, each row's number from 1 under ``order`` within its keys, and ``_n``, the rows of the keys."""
+    rows = spread(df, keys, order, name).withColumn("_one", F.lit(1).cast("long"))
+    size = rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    return sums(rows, ["_key"], "_bin", order, {"_one": "_rank"}).join(size, "_key").select(*df.columns, "_rank", "_n")

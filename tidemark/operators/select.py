@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import kept
+from .running import places
 
 
 def best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -37,8 +38,7 @@ def cap(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFram
 
 def drop_shortest(df: DataFrame, keys: list[str], size: str, order: list[Column], n: int) -> DataFrame:
     """Groups of more than ``n`` rows lose their ``n`` shortest; smaller groups stay."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("_n", F.count("*").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(F.col(size), *order)))
+    rows = places(df, keys, [F.col(size), *order], "by-size")
     return rows.where((F.col("_n") <= n) | (F.col("_rank") > n)).drop("_n", "_rank")
 
 
@@ -128,10 +128,10 @@ def sample_names(df: DataFrame, name: str, n: int, seed: int = 1) -> DataFrame:
 
 def rename_duplicates(df: DataFrame, name: str, order: list[Column], out: str, style: str = "[i/n]") -> DataFrame:
     """Names that repeat become ``name[i/n]`` (or ``name.i``), in ``order``; unique names stay."""
-    w = W.partitionBy(name)
-    i, n = F.row_number().over(w.orderBy(*order)).cast("string"), F.count("*").over(w)
+    rows = places(df, [name], order, "by-name")
+    i, n = F.col("_rank").cast("string"), F.col("_n")
     mark = F.concat(F.lit("["), i, F.lit("/"), n.cast("string"), F.lit("]")) if style == "[i/n]" else F.concat(F.lit("."), i)
-    return df.withColumn(out, F.when(n > 1, F.concat(F.col(name), mark)).otherwise(F.col(name)))
+    return rows.withColumn(out, F.when(n > 1, F.concat(F.col(name), mark)).otherwise(F.col(name))).drop("_rank", "_n")
 
 
 def overrepresented(df: DataFrame, text: str, size: int, share: float) -> DataFrame:

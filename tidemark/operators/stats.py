@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import places, spread, sums
+
 
 def summary(df: DataFrame, value: str, keys: list[str] = [], digits: int = 6) -> DataFrame:
     """n, mean, median, sd (sample and population) and geometric mean of positive values, rounded."""
@@ -26,22 +28,34 @@ def n50(df: DataFrame, size: str, keys: list[str] = []) -> DataFrame:
 
 def running_mean_sd(df: DataFrame, keys: list[str], order: list[str], value: str, digits: int = 6) -> DataFrame:
     """Per prefix: the mean, and sqrt(sum of squared distances to the mean at each step / (n - 1)), null for the first."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("_n", F.count("*").over(w)).withColumn("_m", F.avg(value).over(w))
-    out = out.withColumn("_ss", F.sum(F.pow(F.col(value) - F.col("_m"), 2)).over(w))
-    sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))
-    return out.withColumn("running_mean", F.round("_m", digits)).withColumn("running_sd", F.round(sd, digits)).drop("_n", "_m", "_ss")
+    by = [F.col(c) for c in order]
+    rows = spread(df, keys, by, "in-order").withColumns({"_one": F.lit(1).cast("long"), "_some": F.col(value).isNotNull().cast("long")})
+    rows = sums(rows, ["_key"], "_bin", by, {"_one": "_count", "_some": "_c", value: "_sum"}).withColumn("_m", F.when(F.col("_c") > 0, F.col("_sum") / F.col("_c")))
+    out = sums(rows.withColumn("_d", F.pow(F.col(value) - F.col("_m"), 2)), ["_key"], "_bin", by, {"_d": "_ss"})
+    sd = F.when(F.col("_count") > 1, F.sqrt(F.col("_ss") / (F.col("_count") - 1)))
+    return out.select(*df.columns, F.round("_m", digits).alias("running_mean"), F.round(sd, digits).alias("running_sd"))
+
+
+#: Rows of one key that a window of ``window_scores`` holds, besides those that go before them.
+RUN = 1 << 16
 
 
 def window_scores(df: DataFrame, keys: list[str], order: str, count: str, k: int, digits: int = 4) -> DataFrame:
     """Mean, median and geometric mean of 1/count over each full window of ``k`` rows; a count of 0 is taken as 10,000,000."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-(k - 1), 0)
+    # each stretch of a key's rows also gets the k - 1 rows before it
+    run = max(RUN, k)
+    rows = places(df, keys, [F.col(order)], "in-order").withColumn("_at", F.col("_rank") - 1)
+    own = F.floor(F.col("_at") / run)
+    both = F.when(F.col("_at") % run > run - k, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select(*df.columns, "_at", F.explode(both).alias("_run"))
+    w = W.partitionBy(*keys, "_run").orderBy("_at").rowsBetween(-(k - 1), 0)
     inv = 1 / F.when(F.col(count) == 0, F.lit(1e7)).otherwise(F.col(count))
-    out = df.withColumn("_inv", inv).withColumn("_n", F.count("*").over(w)).withColumn("_xs", F.collect_list("_inv").over(w))
+    out = rows.withColumn("_inv", inv).withColumn("_n", F.count("*").over(w)).withColumn("_xs", F.collect_list("_inv").over(w))
     out = out.withColumns({"mean_score": F.round(F.avg("_inv").over(w), digits), "geometric_score": F.round(F.pow(F.lit(10.0), F.avg(F.log10("_inv")).over(w)), digits)})
     xs, half = F.sort_array("_xs"), k // 2
     middle = xs[half] if k % 2 else (xs[half - 1] + xs[half]) / 2
-    return out.where(F.col("_n") == k).withColumn("median_score", F.round(middle, digits)).drop("_inv", "_n", "_xs")
+    full = out.where((F.col("_n") == k) & (F.col("_run") == F.floor(F.col("_at") / run)))
+    return full.withColumn("median_score", F.round(middle, digits)).drop("_inv", "_n", "_xs", "_at", "_run")
 
 
 def strata(df: DataFrame, value: str, weight: str, n: int) -> DataFrame:
