@@ -19,7 +19,7 @@ _SWEEP = """ev AS (SELECT chrom, s AS pos, {w} AS d FROM {t} WHERE s < e UNION A
 
 def _islands(t: str, cond: str, keys: str = "chrom") -> str:
     return f"""fl AS (SELECT *, CASE WHEN {cond} THEN 1 ELSE 0 END AS f FROM (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {t})),
- isl AS (SELECT {keys}, s, e, sum(f) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM fl),
+ isl AS (SELECT {keys}, s, e, sum(f) OVER (PARTITION BY {keys} ORDER BY s, e, f DESC ROWS UNBOUNDED PRECEDING) AS k FROM fl),
  loci AS (SELECT {keys}, min(s) AS s, max(e) AS e, count(*) AS n FROM isl GROUP BY {keys}, k)"""
 
 
@@ -215,7 +215,7 @@ QUERIES = {
     "loci_min_distance": (merged(30, True), f"WITH {iv_sql('l_partkey')}, {_islands('iv', 's > far + 30')} SELECT chrom, s, e, n FROM loci"),
     "loci_stranded": (merged(10, True, keys=("chrom", "strand")), f"WITH {iv_sql('l_partkey')}, {_islands('iv', 's > far + 10', 'chrom, strand')} SELECT chrom, strand, s, e, n FROM loci"),
     "locus_assignment": (locus_of_each, f"""WITH {iv_sql('l_partkey')}, fl AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 5 THEN 1 ELSE 0 END AS f FROM iv),
- k AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS k FROM fl) SELECT chrom, count(*) AS n, min(id) AS first_id, max(e) AS e FROM k GROUP BY chrom, k"""),
+ k AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e, id, f DESC ROWS UNBOUNDED PRECEDING) AS k FROM fl) SELECT chrom, count(*) AS n, min(id) AS first_id, max(e) AS e FROM k GROUP BY chrom, k"""),
     "interval_subtract": (subtract, f"WITH {_TWO}, t AS (SELECT * FROM r WHERE e IS NOT NULL AND a > 0 AND b = 0), {_islands('t', 's > far')} SELECT chrom, s, e FROM loci"),
     "interval_intersect": (intersect, f"WITH {_TWO}, t AS (SELECT * FROM r WHERE e IS NOT NULL AND a > 0 AND b > 0), {_islands('t', 's > far')} SELECT chrom, s, e FROM loci"),
     "interval_union": (union, f"WITH {_TWO}, t AS (SELECT * FROM r WHERE e IS NOT NULL AND (a > 0 OR b > 0)), {_islands('t', 's > far')} SELECT chrom, s, e FROM loci"),
@@ -234,7 +234,7 @@ QUERIES = {
  CASE WHEN q.s < b.e AND b.s < q.e THEN 0 WHEN b.s >= q.e THEN b.s - q.e + 1 ELSE q.s - b.e + 1 END AS distance FROM q LEFT JOIN b ON q.chrom = b.chrom)
  SELECT a_id, b_id, distance::BIGINT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a_id, chrom, s, e ORDER BY distance, bs, b_id) AS k FROM m) WHERE k = 1"""),
     "multiway_locus_cogroup": (cogroup, f"""WITH {iv_sql('l_partkey')}, fl AS (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY chrom ORDER BY s, e, strand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM iv),
- k AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e, strand ROWS UNBOUNDED PRECEDING) AS k FROM fl)
+ k AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e, strand, f DESC ROWS UNBOUNDED PRECEDING) AS k FROM fl)
  SELECT chrom, min(s) AS s, max(e) AS e, count(*) FILTER (strand = 'O') AS n_open, count(*) FILTER (strand = 'F') AS n_done FROM k GROUP BY chrom, k"""),
     "range_functions": (scalar_functions, f"""WITH {iv_sql()}, x AS (SELECT a.tx, floor(a.chrom / 3) AS c1, a.s AS s1, a.e AS e1, floor(b.chrom / 3) AS c2, b.s AS s2, b.e AS e2 FROM iv a JOIN iv b ON a.tx = b.tx AND a.w = 1 AND b.w = 2)
  SELECT tx, c1 = c2 AND s1 < e2 + 5 AND greatest(s2 - 5, 0) < e1 AS near, CASE WHEN c1 = c2 THEN greatest(least(e1, e2) - greatest(s1, s2), 0) ELSE 0 END::BIGINT AS bp, c1 = c2 AND (e1 = s2 OR e2 = s1) AS adjacent,
