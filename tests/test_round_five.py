@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 from tidemark.operators import intervals as iv
 from tidemark.plans import catalog
+from tidemark.sources import indexed
 
 
 def test_islands_hold_however_equal_rows_come(spark, monkeypatch):
@@ -27,3 +28,11 @@ def test_sql_numbers_islands_with_ties_settled():
     for name in ("interval_merge", "locus_groups_overlap_only", "loci_min_distance", "loci_stranded", "locus_assignment", "multiway_locus_cogroup", "transcript_depth", "annotate_reads", "smooth_exons"):
         sums = re.findall(r"sum\(f\) OVER \(PARTITION BY [a-z, ]+ ORDER BY (s, e[a-zA-Z, ]*) ROWS UNBOUNDED", catalog.CATALOG[name][1])
         assert sums and all(o.endswith("f DESC") for o in sums), name
+
+
+def test_lookups_by_name_where_numbers_repeat(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1", 5, 7), ("b", "1", 5, 7), ("c", "1", 6, 8)], "qname string, rname string, pos int, line long")
+    indexed.build(rows, str(tmp_path / "store"), F.col("pos") + 1, 1)
+    x = indexed.Index(spark, str(tmp_path / "store"))
+    assert [r.qname for r in x.by_names(["a"]).collect()] == ["a"]
+    assert [r.qname for r in x.by_table(spark.createDataFrame([("b",)], "name string")).collect()] == ["b"]

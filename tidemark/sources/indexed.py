@@ -32,7 +32,7 @@ def _bucket(name: Column, buckets: int) -> Column:
 def build(records: DataFrame, path: str, end: Column, parts: int, name: str = "qname", chrom: str = "rname", pos: str = "pos", ordinal: str = "line", primary: Column | None = None, buckets: int = BUCKETS) -> None:
     """Write ``records`` and their index below ``path`` in ``parts`` parts.
 
-    ``ordinal`` numbers the records, ``end`` is the first base behind one, and ``primary`` tells which of a name's records may stand for it.
+    ``ordinal`` numbers the records (look-ups by name hold where numbers repeat, too), ``end`` is the first base behind one, and ``primary`` tells which of a name's records may stand for it.
     """
     spark, schemas = records.sparkSession, {}
 
@@ -89,7 +89,7 @@ class Index:
         if primary:
             hits = hits.where("primary")
         found = self._found(hits.select("ordinal", "part"))
-        return self._shown(self._in_parts(r.part for r in found).where(F.col(self.about.ordinal).isin([r.ordinal for r in found])))
+        return self._shown(self._in_parts(r.part for r in found).where(F.col(self.about.ordinal).isin([r.ordinal for r in found]) & F.col(self.about.name).isin(wanted)))
 
     def by_ordinals(self, ordinals: list[int]) -> DataFrame:
         """Records by their numbers."""
@@ -108,5 +108,5 @@ class Index:
         hits = self._read("names").join(names.select("name").distinct().withColumn("bucket", _bucket(F.col("name"), self.about.buckets)), ["bucket", "name"])
         if primary:
             hits = hits.where("primary")
-        hits = hits.select("part", F.col("ordinal").alias(self.about.ordinal))
-        return self._shown(self.data.join(hits, ["part", self.about.ordinal], "left_semi"))
+        hits = hits.select("part", F.col("ordinal").alias(self.about.ordinal), F.col("name").alias(self.about.name))
+        return self._shown(self.data.join(hits, ["part", self.about.ordinal, self.about.name], "left_semi"))
