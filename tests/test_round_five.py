@@ -1,9 +1,12 @@
 """Ties, repeated numbers and larger tables: what small tables do not show."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 from tidemark.operators import intervals as iv
+from tidemark.functions import align
+from tidemark.operators import errors, reads
 from tidemark.plans import catalog
 from tidemark.sources import indexed
 
@@ -36,3 +39,50 @@ def test_lookups_by_name_where_numbers_repeat(spark, tmp_path):
     x = indexed.Index(spark, str(tmp_path / "store"))
     assert [r.qname for r in x.by_names(["a"]).collect()] == ["a"]
     assert [r.qname for r in x.by_table(spark.createDataFrame([("b",)], "name string")).collect()] == ["b"]
+
+
+def _texts(seed, n):
+    rnd = random.Random(seed)
+    for _ in range(n):
+        letters = rnd.choice(["AC", "ACGT", "ACGT", "AAAAC"])
+        unit = "".join(rnd.choice("ACGT") for _ in range(rnd.randint(1, 6)))
+        t = (unit * 40)[: rnd.randint(0, 30)] + "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 30, 90, 160])))
+        q = list(t)
+        for _ in range(rnd.randint(0, 3)):
+            if q:
+                q[rnd.randrange(min(len(q), 25))] = rnd.choice("ACGT")
+        yield "".join(q), t
+
+
+def test_short_ways_of_the_aligners_give_what_all_rows_give(monkeypatch):
+    pairs = list(_texts(3, 150))
+    got = [align.smith_waterman(q, t) for q, t in pairs]
+    used = []
+    real = align._exact_from
+    monkeypatch.setattr(align, "_exact_from", lambda *x: used.append(real(*x)) or 0)
+    assert got == [align.smith_waterman(q, t) for q, t in pairs] and sum(map(bool, used)) > 20
+    # a text less a stretch of it: every kept letter is a match and no row is needed
+    assert align.needleman_wunsch("ACGTTGCA" * 40, "GTTGCA" + "ACGTTGCA" * 39) == (10 * 318 - 15 * 2, 318, 0, 0, 2)
+
+
+def test_long_texts_align_at_once():
+    """Quadratic work on these would take hours."""
+    t = "".join(random.Random(1).choices("ACGT", k=2_000_000))
+    assert align.needleman_wunsch(t, t[5:])[1:] == (len(t) - 5, 0, 0, 5)
+    q = t[:20] + ("A" if t[20] != "A" else "C") + t[21:]
+    assert align.smith_waterman(q, t)["cigar"] == f"{len(t)}M"
+
+
+def test_counts_and_profiles_are_those_of_the_columns(spark, monkeypatch):
+    monkeypatch.setattr(errors, "CHUNK", 500)
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices("ACGTNé", k=60)) for _ in range(40)]
+    rows = [(i, rnd.choice(["10M2I20M3D9M", "5S4=3X8M2D70M", "3N20M4I", "2H60M9I"]), rnd.choice(texts), rnd.choice(texts), rnd.randint(0, 4), rnd.randint(0, 4)) for i in range(60)]
+    d = spark.createDataFrame([*rows, (99, None, None, None, 0, 0)], "id long, cigar string, query string, target string, qs int, ts int")
+    cols = errors.columns(d)
+    assert sorted(map(tuple, errors.counts(d).collect())) == sorted(map(tuple, cols.groupBy("kind", "base", "ref").count().collect()))
+    assert sorted(map(tuple, errors.profile(d).collect())) == sorted(map(tuple, reads.error_profile(errors.known(cols)).collect()))
+    assert sorted(map(tuple, reads.error_rates(errors.counts(d), True).collect())) == sorted(map(tuple, reads.error_rates(cols).collect()))
+    # no letter is a row
+    plan = errors.counts(d)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "regexp_extract_all" not in plan

@@ -72,9 +72,9 @@ def error_profile(columns: DataFrame) -> DataFrame:
     return rows.where("before IS NOT NULL AND after IS NOT NULL").groupBy("before", "after", "ref", "base").agg(F.count("*").alias("n"))
 
 
-def error_rates(columns: DataFrame) -> DataFrame:
-    """(kind, n, rate) over all alignment columns."""
-    by = columns.groupBy("kind").agg(F.count("*").alias("n"))  # a handful of kinds
+def error_rates(columns: DataFrame, counted: bool = False) -> DataFrame:
+    """(kind, n, rate) over all alignment columns, or over the counts ``n`` of them."""
+    by = columns.groupBy("kind").agg((F.sum("n") if counted else F.count("*")).alias("n"))  # a handful of kinds
     return by.select("kind", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6).alias("rate"))
 
 

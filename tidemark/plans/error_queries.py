@@ -19,15 +19,15 @@ def _aligned(spark, d):
 
 
 def kinds(spark, d):
-    return errors.known(errors.columns(_aligned(spark, d))).groupBy("kind", "base", "ref").agg(F.count("*").alias("n"))
+    return errors.known(errors.counts(_aligned(spark, d)))
 
 
 def contexts(spark, d):
-    return reads.error_profile(errors.known(errors.columns(_aligned(spark, d))))
+    return errors.profile(_aligned(spark, d))
 
 
 def rates(spark, d):
-    return reads.error_rates(errors.known(errors.columns(_aligned(spark, d))))
+    return reads.error_rates(errors.known(errors.counts(_aligned(spark, d))), True)
 
 
 def lists(spark, d):

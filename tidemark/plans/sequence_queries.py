@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, cigar, quality, seq
 from ..operators import coverage as cov
-from ..operators import kmers, select, simulate, stats
+from ..operators import errors, kmers, select, simulate, stats
 from ..sinks import bam
 from .views import DNA, QUAL, QUAL_CODES, dna, qual, table
 
@@ -121,7 +121,7 @@ def local_alignment(spark, d):
 def error_classes(spark, d):
     x = dna(spark, d).select("doc_id", F.concat(F.substring("seq", 1, 20), F.lit("T"), F.expr("substring(seq, 22)")).alias("q"), F.col("seq").alias("t"))
     got = align.local_alignments(x, "q", "t", False)
-    return got.select(F.explode(align.error_columns(F.col("sw.cigar"), F.col("q"), F.col("t"), F.col("sw.qs"), F.col("sw.ts"))).alias("c")).groupBy("c.kind", "c.base", "c.ref").agg(F.count("*").alias("n"))
+    return errors.known(errors.counts(got.select("sw.cigar", F.col("q").alias("query"), F.col("t").alias("target"), "sw.qs", "sw.ts")))
 
 
 def simulated_reads(spark, d):
