@@ -5,8 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 from tidemark.operators import intervals as iv
-from tidemark.functions import align
-from tidemark.operators import errors, reads
+from tidemark.functions import align, seq
+from tidemark.operators import compression, errors, reads
 from tidemark.plans import catalog
 from tidemark.sources import indexed
 
@@ -86,3 +86,13 @@ def test_counts_and_profiles_are_those_of_the_columns(spark, monkeypatch):
     # no letter is a row
     plan = errors.counts(d)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "regexp_extract_all" not in plan
+
+
+def test_blocks_are_lifted_once_a_shape(spark):
+    """Rows with equal blocks meet the runs as one, and sequences without blocks do not meet them at all."""
+    chunks = seq.chunked(spark.createDataFrame([("a", "AACCGT"), ("b", "AAAA")], "name string, seq string"), 3)
+    rows = spark.createDataFrame([(i, "a", [0, 2], [1, 2]) for i in range(3)] + [(9, "c", [1], [2])], "id int, tName string, tStarts array<int>, blockSizes array<int>")
+    got = compression.restored(rows, compression.runs(chunks), width=2)
+    assert sorted((r.id, r.tName, r.tStarts, r.blockSizes, r.tStart, r.tEnd) for r in got.collect()) == [(i, "a", [0, 4], [2, 2], 0, 6) for i in range(3)] + [(9, "c", [1], [2], 1, 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

@@ -21,7 +21,9 @@ def runs(chunks: DataFrame) -> DataFrame:
     order = W.partitionBy("name").orderBy("chunk")  # a row a chunk, without its letters
     place = cut.select("name", "chunk", F.size("sizes").alias("n"), F.coalesce(F.lag("last").over(order) == F.col("first"), F.lit(False)).cast("long").alias("joined"))
     place = place.withColumn("base", F.coalesce(F.sum(F.col("n") - F.col("joined")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("joined"))
-    each = cut.select("name", "chunk", F.posexplode("sizes").alias("k", "size")).join(place.select("name", "chunk", "base"), ["name", "chunk"])
+    # only what can have lost letters becomes a row: longer runs, and those at the ends of a chunk
+    some = F.filter(F.transform("sizes", lambda n, i: F.struct(i.alias("k"), n.alias("size"))), lambda x: (x["size"] > 1) | (x["k"] == 0) | (x["k"] == F.size("sizes") - 1))
+    each = cut.select("name", "chunk", some.alias("some")).join(place.select("name", "chunk", "base"), ["name", "chunk"]).select("name", "base", F.explode("some").alias("x")).select("name", "base", "x.*")
     return each.groupBy("name", (F.col("base") + F.col("k")).alias("pos")).agg((F.sum("size") - 1).alias("extra")).where("extra > 0")
 
 
@@ -42,19 +44,21 @@ def restored(psl: DataFrame, target: DataFrame, query: DataFrame | None = None,
     A block's sizes may then differ between both sides: ``blockSizes`` are the target's and ``qBlockSizes`` the query's.  Starts are
     on the strand of the file; with a minus strand the query's runs must be those of its reverse complement.
     """
-    rows = psl.withColumn("_row", F.xxhash64(*psl.columns))
-
     def ends(name: str, starts: str, lost: DataFrame, out: str) -> DataFrame:
+        """The blocks of each distinct (name, starts, sizes), which many rows may share, as array<struct(k, os, oe)>."""
+        shape = [name, starts, "blockSizes"]
+        rows = psl.select(*shape).distinct().withColumn("_row", F.xxhash64(*shape))
         at = rows.select("_row", F.col(name).alias("name"), F.posexplode(F.arrays_zip(F.col(starts).alias("s"), F.col("blockSizes").alias("n"))).alias("k", "x"))
-        at = at.select("_row", "name", "k", F.col("x.s").cast("long").alias("s"), (F.col("x.s") + F.col("x.n")).cast("long").alias("e")).distinct()
-        spots = lifted(at.select("name", F.explode(F.array("s", "e")).alias("pos")), lost, width)
+        at = at.select("_row", "name", "k", F.col("x.s").cast("long").alias("s"), (F.col("x.s") + F.col("x.n")).cast("long").alias("e"))
+        spots = lifted(at.select("name", F.explode(F.array("s", "e")).alias("pos")), lost.join(rows.select(F.col(name).alias("name")).distinct(), "name", "left_semi"), width)
         got = at.join(spots.select("name", F.col("pos").alias("s"), F.col("original").alias("os")), ["name", "s"]).join(spots.select("name", F.col("pos").alias("e"), F.col("original").alias("oe")), ["name", "e"])
-        return got.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "os", "oe"))).alias(out))
+        by = got.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "os", "oe"))).alias(out))
+        return rows.join(by, "_row").drop("_row")
 
-    out = rows.join(ends("tName", "tStarts", target, "_t"), "_row", "left")
+    out = psl.join(ends("tName", "tStarts", target, "_t"), ["tName", "tStarts", "blockSizes"], "left").select(*psl.columns, "_t")
     starts, sizes = lambda c: F.transform(c, lambda x: x["os"]), lambda c: F.transform(c, lambda x: x["oe"] - x["os"])
     new = {"tStarts": starts("_t"), "blockSizes": sizes("_t"), "tStart": F.array_min(starts("_t")), "tEnd": F.array_max(F.transform("_t", lambda x: x["oe"]))}
     if query is not None:
-        out = out.join(ends("qName", "qStarts", query, "_q"), "_row", "left")
+        out = out.join(ends("qName", "qStarts", query, "_q").withColumnsRenamed({"blockSizes": "_sizes", "qStarts": "_starts", "qName": "_name"}), (psl["qName"] == F.col("_name")) & (psl["qStarts"] == F.col("_starts")) & (psl["blockSizes"] == F.col("_sizes")), "left").drop("_name", "_starts", "_sizes")
         new |= {"qStarts": starts("_q"), "qBlockSizes": sizes("_q")}
-    return out.withColumns(new).drop("_row", "_t", "_q")
+    return out.withColumns(new).drop("_t", "_q")
