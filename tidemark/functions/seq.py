@@ -128,10 +128,15 @@ def first_word(header: str | Column) -> Column:
 def collapse_coordinates(coords: str | Column) -> Column:
     """Sorted distinct integers as ``a-b,c-d`` runs (a lone one as ``a-a``)."""
     xs = F.transform(F.sort_array(F.array_distinct(_c(coords))), lambda x: x.cast("bigint"))
-    # a run begins where the number before is not one less, and ends where the next is not one more
-    starts = F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) + 1 != x))
-    ends = F.filter(xs, lambda x, i: (i == F.size(xs) - 1) | (F.get(xs, i + 1) - 1 != x))
-    return F.concat_ws(",", F.zip_with(starts, ends, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))))
+
+    def runs(xs: Column) -> Column:
+        # a run begins where the number before is not one less, and ends where the next is not one more
+        starts = F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) + 1 != x))
+        ends = F.filter(xs, lambda x, i: (i == F.size(xs) - 1) | (F.get(xs, i + 1) - 1 != x))
+        return F.concat_ws(",", F.zip_with(starts, ends, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))))
+
+    # as a lambda's variable the sorted numbers are made once, not again for each of them
+    return F.get(F.transform(F.array(xs), runs), F.lit(0))
 
 
 def break_by_length(df: DataFrame, size: str, most: int, order: list[str], most_rows: int | None = None) -> DataFrame:
