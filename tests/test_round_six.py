@@ -4,9 +4,8 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 from tidemark import tables
-from tidemark.operators import kmers, superkmers
+from tidemark.operators import assignment, coverage, graph, kmers, nonredundant, superkmers
 
 _TURN = str.maketrans("ACTGUNXactgunx", "TGACANXtgacanx")
 
@@ -39,17 +38,49 @@ def test_mappability_of_odd_letters(spark, monkeypatch, strands, k, letters):
     assert sorted(tuple(r) for r in got.collect()) == _runs(seqs, k, strands)
 
 
-def test_mappability_writes_no_row_a_window(spark, monkeypatch):
-    written = []
-    plain = tables.kept
+@pytest.fixture
+def written(monkeypatch):
+    """The rows of each table that is written."""
+    rows, plain = [], tables.kept
 
     def kept(df, name):
         out = plain(df, name)
-        written.append(out.count())
+        rows.append(out.count())
         return out
 
-    monkeypatch.setattr(tables, "kept", kept)
+    for module in (tables, coverage, graph):
+        monkeypatch.setattr(module, "kept", kept)
+    return rows
+
+
+def test_mappability_writes_no_row_a_window(spark, written):
     rnd = random.Random(1)
     seqs = [(i, "".join(rnd.choice("ACGT") for _ in range(2000))) for i in range(8)]
     assert kmers.mappability(spark.createDataFrame(seqs, "name long, seq string"), 20, True, 512).count() == 8
     assert sum(written) < 16000 / 20
+
+
+@pytest.mark.parametrize("width", [8, None])
+def test_genes_at_spots_of_many_transcripts(spark, width):
+    rnd = random.Random(16)
+    tx = [(rnd.choice(["A", "B", "MIR1", "C-x"]), rnd.choice("xy"), s, s + rnd.randrange(0, 25)) for _ in range(150) for s in [rnd.randrange(-20, 200)]]
+    spots = [(i // 2 if i < 40 else i, rnd.choice("xyz"), s, s + rnd.randrange(0, 12)) for i in range(120) for s in [rnd.randrange(-20, 220)]]
+    want = []
+    for i in (r[0] for r in spots):
+        best = {}
+        for j, c, s, e in spots:
+            for g, gc, gs, ge in tx:
+                if j == i and gc == c and s < ge and gs < e:
+                    best[g] = max(best.get(g, 0), ge - gs)
+        want.append((i, sorted(best, key=lambda g: ("-" in g or g.startswith("MIR"), -best[g], g))))
+    table = spark.createDataFrame(tx, "gene string, chrom string, s long, e long")
+    got = assignment.genes_at(spark.createDataFrame(spots, "id long, chrom string, s long, e long"), table, width)
+    assert sorted((r.id, r.genes) for r in got.collect()) == sorted(want)
+
+
+def test_genes_at_spots_writes_no_row_a_transcript_and_spot(written, spark):
+    spots = spark.range(400).selectExpr("id", "0L AS chrom", "id AS s", "id + 200 AS e")
+    tx = spark.range(400).selectExpr("'g' AS gene", "0L AS chrom", "id AS s", "id + 150 AS e")
+    got = assignment.genes_at(spots, tx, 64)
+    assert got.where("genes = array('g')").count() == 400
+    assert max(written) <= 1200

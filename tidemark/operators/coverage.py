@@ -148,19 +148,28 @@ def least_under(ranges: DataFrame, segments: DataFrame, value: str = "depth", wi
     told = kept(told.select("chrom", "pos", "last.i", "last.end"), "marks")
     first = F.when(F.col("end") > F.col("pos"), F.col("i")).otherwise(F.coalesce(F.col("i"), F.lit(0)) + 1)
     spans = spans.join(told.select("chrom", F.col("pos").alias("s"), first.alias("i")), ["chrom", "s"]).join(told.select("chrom", (F.col("pos") + 1).alias("e"), F.col("i").alias("j")), ["chrom", "e"])
-    spans = kept(spans.where("j >= i").withColumn("k", F.floor(F.log2(F.col("j") - F.col("i") + 1) + 1e-9).cast("int")), "spans")
-    top = spans.agg(F.max("k")).first()[0] or 0
-    level = base.select("chrom", "i", "v")
-    tables = level.withColumn("k", F.lit(0))
-    for k in range(1, top + 1):
-        ahead = level.select("chrom", (F.col("i") - (1 << (k - 1))).alias("i"), F.col("v").alias("w"))
-        level = kept(level.join(ahead, ["chrom", "i"]).select("chrom", "i", F.least("v", "w").alias("v")), "minima")
-        tables = tables.unionByName(level.withColumn("k", F.lit(k)))
-    ends = spans.select("chrom", "s", "e", "k", F.explode(F.array("i", F.col("j") - F.pow(F.lit(2), F.col("k")).cast("long") + 1)).alias("i"))
-    found = ends.join(tables, ["chrom", "i", "k"]).groupBy("chrom", "s", "e").agg(F.min("v").alias("least"))
+    found = least_between(spans, base, ["chrom"]).groupBy("chrom", "s", "e").agg(F.min("least").alias("least"))
     return ranges.join(found, ["chrom", "s", "e"], "left")
 
 
+def least_between(spans: DataFrame, numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """``spans`` (keys, i, j, ...) where j >= i, with ``least``: the smallest v of the rows (keys, i, v) with the numbers i to j.
+
+    A table of minima over 1, 2, 4, ... rows answers each span with two look-ups; numbers have no gaps within the keys.
+    """
+    spans = kept(spans.where("j >= i").withColumn("_k", F.floor(F.log2(F.col("j") - F.col("i") + 1) + 1e-9).cast("int")), "spans")
+    top = spans.agg(F.max("_k")).first()[0] or 0
+    level = numbered.select(*keys, F.col("i").alias("_at"), "v")
+    tables = level.withColumn("_k", F.lit(0))
+    for k in range(1, top + 1):
+        ahead = level.select(*keys, (F.col("_at") - (1 << (k - 1))).alias("_at"), F.col("v").alias("w"))
+        level = kept(level.join(ahead, [*keys, "_at"]).select(*keys, "_at", F.least("v", "w").alias("v")), "minima")
+        tables = tables.unionByName(level.withColumn("_k", F.lit(k)))
+    columns = [c for c in spans.columns if c != "_k"]
+    ends = spans.withColumn("_at", F.explode(F.array("i", F.col("j") - F.pow(F.lit(2), F.col("_k")).cast("long") + 1)))
+    return ends.join(tables, [*keys, "_at", "_k"]).groupBy(*columns).agg(F.min("v").alias("least"))
+
+
 def thinned(hits: DataFrame, threshold: int, seed: int = 1, width: int = iv.BIN) -> DataFrame:
     """(id, chrom, s, e, n, least, kept): hits (id, chrom, s, e, n copies) and how many of their copies stay.
 
