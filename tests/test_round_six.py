@@ -84,3 +84,9 @@ def test_genes_at_spots_writes_no_row_a_transcript_and_spot(written, spark):
     got = assignment.genes_at(spots, tx, 64)
     assert got.where("genes = array('g')").count() == 400
     assert max(written) <= 1200
+
+
+def test_clusters_of_a_hot_locus_write_no_pairs(written, spark):
+    tx = spark.range(600).selectExpr("id", "0L AS chrom", "array(named_struct('s', id, 'e', id + 700), named_struct('s', 2000 + 10 * id, 'e', 2010 + 10 * id)) AS exons")
+    assert nonredundant.clustered(tx, "any").where("component = 0").count() == 600
+    assert max(written) <= 2400
