@@ -4,7 +4,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tidemark import tables
+from tidemark.sinks import bam
 from tidemark.operators import assignment, coverage, graph, kmers, nonredundant, superkmers
 
 _TURN = str.maketrans("ACTGUNXactgunx", "TGACANXtgacanx")
@@ -90,3 +92,12 @@ def test_clusters_of_a_hot_locus_write_no_pairs(written, spark):
     tx = spark.range(600).selectExpr("id", "0L AS chrom", "array(named_struct('s', id, 'e', id + 700), named_struct('s', 2000 + 10 * id, 'e', 2010 + 10 * id)) AS exons")
     assert nonredundant.clustered(tx, "any").where("component = 0").count() == 600
     assert max(written) <= 2400
+
+
+def test_tasks_of_bam_files_grow_with_the_records(spark, monkeypatch):
+    monkeypatch.setattr(bam, "TASK", 40)
+    sam = spark.range(2000).selectExpr("'r' || id AS qname", "0 AS flag", "'c' || id % 2 AS rname", "int(id) + 1 AS pos", "9 AS mapq", "'3M' AS cigar", "'*' AS rnext", "0 AS pnext", "0 AS tlen", "'ACG' AS seq", "'*' AS qual", "map('NM', '1') AS tags")
+    got = bam.files(sam, [("c0", 5000), ("c1", 5000)], F.col("rname"), 20).select("name", "part", F.spark_partition_id().alias("task")).collect()
+    assert len({(r.name, r.part) for r in got}) == len(got) and {r.name for r in got} == {"c0", "c1"}
+    tasks = [r.task for r in got]
+    assert len(set(tasks)) > 20 and max(map(tasks.count, tasks)) <= 10
