@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark import tables
 from tidemark.sinks import bam
-from tidemark.operators import assignment, coverage, graph, kmers, nonredundant, superkmers
+from tidemark.operators import assignment, coverage, graph, junctions, kmers, nonredundant, superkmers
 
 _TURN = str.maketrans("ACTGUNXactgunx", "TGACANXtgacanx")
 
@@ -101,3 +101,17 @@ def test_tasks_of_bam_files_grow_with_the_records(spark, monkeypatch):
     assert len({(r.name, r.part) for r in got}) == len(got) and {r.name for r in got} == {"c0", "c1"}
     tasks = [r.task for r in got]
     assert len(set(tasks)) > 20 and max(map(tasks.count, tasks)) <= 10
+
+
+def test_supported_reads_parse_each_alignment_string_once(spark, written):
+    rnd = random.Random(29)
+    cigars = ["30M80N20M", "5M80N40M90N20M", "20M10I70N3D30M", "50M", "*", "12M67N12M", "40M100N9M200N40M", "4S20M80N20M2H"]
+    rows = [(f"r{i // 2}", rnd.choice([0, 0, 16, 4]), rnd.choice("ab"), rnd.choice([1, 1, 2, None]), rnd.choice([*cigars, None])) for i in range(400)]
+    sam = spark.createDataFrame(rows, "qname string, flag int, rname string, pos int, cigar string").withColumn("tags", F.expr("map('NH', named_struct('type', 'i', 'value', '1'))"))
+    j = junctions.of_alignments(sam).where("left_size >= 10 AND right_size >= 10")
+    good = junctions.table(j).where("reads >= 6")
+    want = sam.join(j.join(good, ["chrom", "l", "r"]).select("qname").distinct(), "qname", "left_semi").drop("tags").collect()
+    got = junctions.supported_reads(sam, overhang=10, support=6).drop("tags").collect()
+    key = lambda r: str(tuple(r))
+    assert 0 < len(want) < len(rows) and sorted(got, key=key) == sorted(want, key=key)
+    assert written == [4]  # a row a junction of enough overhang

@@ -48,8 +48,17 @@ def stranded(junctions: DataFrame, reference: DataFrame) -> DataFrame:
 
 def supported_reads(sam: DataFrame, min_intron: int = 68, overhang: int = 10, support: int = 2) -> DataFrame:
     """Rows with a junction of enough overhang that at least ``support`` reads have."""
-    j = of_alignments(sam, min_intron).where((F.col("left_size") >= overhang) & (F.col("right_size") >= overhang))
-    good = table(j).where(F.col("reads") >= support).select("chrom", "l", "r")
+    from ..tables import kept
+
+    # blocks lie alike wherever a record stands, so each alignment string is read once
+    ex = cigar.exons(F.lit(1), "cigar", min_intron)
+    gap = lambda x, i: F.struct(x["e"].alias("l"), F.get("x", i + 1)["s"].alias("r"), F.least(x["e"] - x["s"], F.get("x", i + 1)["e"] - F.get("x", i + 1)["s"]).alias("least"))
+    shapes = sam.where(F.col("cigar").contains("N")).select("cigar").distinct().select("cigar", ex.alias("x")).where(F.size("x") > 1)
+    gaps = F.filter(F.transform(F.slice("x", F.lit(1), F.size("x") - 1), gap), lambda g: g["least"] >= overhang)
+    shapes = kept(shapes.select("cigar", F.explode(gaps).alias("g")).select("cigar", "g.l", "g.r"), "shapes")
+    at = F.col("pos").cast("bigint") - 1
+    j = sam.where(~cigar.has_flag("flag", 4)).select("qname", F.col("rname").alias("chrom"), at.alias("at"), "cigar").join(shapes, "cigar").select("qname", "chrom", (F.col("at") + F.col("l")).alias("l"), (F.col("at") + F.col("r")).alias("r"))
+    good = j.groupBy("chrom", "l", "r").agg(F.count_distinct("qname").alias("reads")).where(F.col("reads") >= support).select("chrom", "l", "r")
     return sam.join(j.join(good, ["chrom", "l", "r"]).select("qname").distinct(), "qname", "left_semi")
 
 
