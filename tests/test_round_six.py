@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tidemark import tables
+from tidemark import sources, tables
 from tidemark.sinks import bam
 from tidemark.operators import assignment, coverage, graph, junctions, kmers, nonredundant, superkmers
 
@@ -115,3 +115,23 @@ def test_supported_reads_parse_each_alignment_string_once(spark, written):
     key = lambda r: str(tuple(r))
     assert 0 < len(want) < len(rows) and sorted(got, key=key) == sorted(want, key=key)
     assert written == [4]  # a row a junction of enough overhang
+
+
+def test_fastq_over_splits_sorts_no_file(spark, tmp_path):
+    rnd = random.Random(28)
+    rows = []
+    for f in range(3):
+        own = [(f"f{f}r{i}", "ACGT" * n, "@I!~" * n) for i in range(150 * f + 1) for n in [rnd.randrange(0, 9)]]
+        rows += own
+        (tmp_path / f"x{f}.fastq").write_text("".join(f"@{n}\tmore\n{s}\n+\n{q}\n" for n, s, q in own))
+    (tmp_path / "y.fastq").write_text("@cut\nAC\n+\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = sources.fastq(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+        # the only window runs over the splits' counts
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1 and "Window [sum(n" in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
