@@ -13,8 +13,8 @@ _K, _OFTEN, _LEAST = 14, 10, 8
 
 
 def contigs(spark, d):
-    table_ = kmers.count(dna(spark, d), "seq", _K).where(F.col("n") >= _OFTEN)
-    return kmers.assembled(table_, _LEAST)
+    letters = table(spark, d, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
+    return kmers.assembled(kmers.frequent(dna(spark, d), "seq", _K, _OFTEN, letters=letters), _LEAST)
 
 
 def mappability(strands):
