@@ -1,11 +1,12 @@
 """Work that grows no faster than the input, and results of the ways that keep it down, against brute force."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from tidemark import tables
-from tidemark.operators import graph, kmers, superkmers
+from tidemark.operators import fileorder, graph, kmers, superkmers
 
 
 @pytest.fixture
@@ -71,3 +72,51 @@ def test_frequent_kmers_make_no_row_of_a_rare_one(spark):
     reads = spark.createDataFrame([("".join(rnd.choice("ACGT") for _ in range(2000)),)], "seq string")
     got = kmers.frequent(reads, "seq", 14, 10)
     assert got.count() == 0 and "Generate" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Generate") == 1
+
+
+@pytest.fixture
+def files(spark, tmp_path):
+    """Files of several texts, read in splits of a few lines: name -> lines ``text tab flag tab number``."""
+    rnd, out = random.Random(19), {}
+    for f in range(3):
+        flags = [(t, rnd.choice("AAN")) for t in range(3 * f, 3 * f + 3) for _ in range(rnd.randrange(0, 90))]
+        out[f"x{f}.txt"] = [f"{t}\t{flag}\t{i}" for i, (t, flag) in enumerate(flags)]
+        (tmp_path / f"x{f}.txt").write_text("".join(x + "\n" for x in out[f"x{f}.txt"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    yield fileorder.lines(spark, str(tmp_path)), out
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_runs_and_records_across_splits(files, monkeypatch, gaps):
+    monkeypatch.setattr(fileorder, "BLOCK", 7)
+    lines, want = files
+    if gaps:  # ids no longer follow one another
+        lines = lines.where("value NOT LIKE '%5'")
+        want = {f: [x for x in xs if not x.endswith("5")] for f, xs in want.items()}
+    p, name = F.split("value", "\t"), F.substring_index("file", "/", -1)
+    got = fileorder.runs(lines, p[1], at=p[2]).select(name, "run", "n", "first.at", "last.at").collect()
+    runs = []
+    for f, xs in want.items():
+        for i, (_, g) in enumerate(itertools.groupby(xs, lambda x: x.split("\t")[1])):
+            g = [x.split("\t")[2] for x in g]
+            runs.append((f, i + 1, len(g), g[0], g[-1]))
+    assert sorted(tuple(r) for r in got) == sorted(runs)
+    got = fileorder.records(lines, 4, ["a", "b", "c", "d"]).select(name, "record", "a", "b", "c", "d").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f, i // 4, *xs[i : i + 4]) for f, xs in want.items() for i in range(0, len(xs) - 3, 4))
+    got = fileorder.records(lines, 4, ["a", "b", "c", "d"], key=p[0]).select("key", "record", "a", "b", "c", "d").collect()
+    texts = [list(g) for xs in want.values() for _, g in itertools.groupby(xs, lambda x: x.split("\t")[0])]
+    assert sorted(tuple(r) for r in got) == sorted((xs[0].split("\t")[0], i // 4, *xs[i : i + 4]) for xs in texts for i in range(0, len(xs) - 3, 4))
+
+
+def test_files_do_not_grow_with_the_suppliers(spark, monkeypatch):
+    from tidemark.plans import file_queries
+
+    paths, plain = [], fileorder.lines
+    monkeypatch.setattr(fileorder, "lines", lambda s, path: paths.append(path) or plain(s, path))
+    for query in (file_queries.neighbours, file_queries.lines_of_four):
+        query(spark, "/root/testdata/sf0.01")
+    assert len(paths) == 2
+    for path in paths:
+        assert len(spark.read.text(path).inputFiles()) <= spark.sparkContext.defaultParallelism
