@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidemark import tables
-from tidemark.operators import fileorder, graph, kmers, superkmers
+from tidemark.operators import coverage, fileorder, graph, kmers, running, superkmers
 
 
 @pytest.fixture
@@ -20,6 +20,7 @@ def written(monkeypatch):
 
     monkeypatch.setattr(tables, "kept", kept)
     monkeypatch.setattr(graph, "kept", kept)
+    monkeypatch.setattr(coverage, "kept", kept)
     return names
 
 
@@ -120,3 +121,58 @@ def test_files_do_not_grow_with_the_suppliers(spark, monkeypatch):
     assert len(paths) == 2
     for path in paths:
         assert len(spark.read.text(path).inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
+def _depths(hits):
+    out = {}
+    for c, s, e, n in hits:
+        for p in range(s, e):
+            out[c, p] = out.get((c, p), 0) + n
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_least_depth_of_few_and_of_hot_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(running, "HOT", 20 if hot else 1000)
+    rnd = random.Random(21)
+    rows = [(i, rnd.choice("ab"), s, s + rnd.choice([0, 1, 2, 5, 30, 90]), rnd.randrange(1, 9)) for i in range(120) for s in [rnd.randrange(-40, 200)]]
+    rows += [(200, "c", 3, 4, 5), (201, "c", 3, 4, 6), (202, "c", 9, 9, 2), (203, "c", 5, None, 2)]
+    depth = _depths([(c, s, e, n) for _, c, s, e, n in rows if e is not None])
+    want = {i: min((depth[c, p] for p in range(s, s if e is None else e)), default=None) for i, c, s, e, _ in rows}
+    got = coverage.thinned(spark.createDataFrame(rows, "id long, chrom string, s long, e long, n long"), 12, 7, 16)
+    assert {r.id: r.least for r in got.collect()} == want and got.count() == len(rows)
+
+
+def _ladder(reads, join_gap, chain_gap):
+    out = []
+    for c in {r[0] for r in reads}:
+        depth = _depths([(*r, 1) for r in reads if r[0] == c])
+        for level in (1, 2, 4, 8, 16, 32):
+            exons = []
+            for p in sorted(p for (_, p), n in depth.items() if n >= level):
+                if exons and p <= exons[-1][1] + join_gap:
+                    exons[-1][1] = p + 1
+                else:
+                    exons.append([p, p + 1])
+            chains = []
+            for x in exons:
+                if chains and x[0] <= chains[-1][-1][1] + chain_gap:
+                    chains[-1].append(x)
+                else:
+                    chains.append([x])
+            out += [(c, level, [tuple(x) for x in chain]) for chain in chains]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_ladder_of_few_and_of_hot_rows(spark, written, monkeypatch, hot):
+    monkeypatch.setattr(running, "HOT", 20 if hot else 1000)
+    rnd = random.Random(33)
+    rows = [(rnd.choice("ab"), s, s + rnd.choice([0, 1, 3, 7, 20])) for _ in range(150) for s in [rnd.choice([rnd.randrange(0, 400), rnd.randrange(0, 30)])]]
+    known = [("a", 50, 90), ("a", 50, 60), ("b", 0, 3), ("b", 200, 230), ("c", 0, 400)]
+    table = lambda x: spark.createDataFrame(x, "chrom string, s long, e long")
+    shown = lambda df: sorted((r.chrom, r.level, [tuple(x) for x in r.exons]) for r in df.collect())
+    assert shown(coverage.ladder(table(rows), 2, 9, 16)) == _ladder(rows, 2, 9)
+    assert hot or not written  # where no key is hot nothing is written in between
+    far = [r for r in rows if r[1] < r[2] and not any(k[0] == r[0] and k[1] < r[2] and r[1] < k[2] for k in known)]
+    assert 0 < len(far) < len(rows) and shown(coverage.novel(table(rows), table(known), 2, 9, 16)) == _ladder(far, 2, 9)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import seq
 from ..tables import kept
 from . import intervals as iv
-from .running import running
+from .running import HOT, dealt, running
 from .stats import strata_by_cut
 
 
@@ -114,12 +114,17 @@ def ladder(reads: DataFrame, join_gap: int = 68, chain_gap: int = 100_000, width
     """(chrom, level, locus, exons): the regions of depth 1, 2, 4, ... and more, as exons and chains of them.
 
     One sweep gives the depth; a segment then stands on every level up to its depth.  On each level segments up to
-    ``join_gap`` apart join into exons, and exons up to ``chain_gap`` apart into chains.
+    ``join_gap`` apart join into exons, and exons up to ``chain_gap`` apart into chains.  Where no chromosome is hot its rows meet
+    once and all of this is done where they are; otherwise they are spread over bins.
     """
-    depth = kept(iv.coverage(reads, width=width), "depth")
+    few = dealt(reads.where("s < e").select("chrom", "s", "e"), ["chrom"])
+    if few is not None:
+        reads, width = few, 0
+    written = kept if few is None else lambda df, name: df
+    depth = written(iv.coverage(reads, width=width), "depth")
     levels = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2("depth") + 1e-9).cast("int")), lambda k: F.pow(F.lit(2), k).cast("long"))).alias("level")
     deep = depth.select("chrom", levels, "s", "e")
-    exons = kept(iv.merge(deep, ["chrom", "level"], join_gap, True, width).drop("n"), "ladder")
+    exons = written(iv.merge(deep, ["chrom", "level"], join_gap, True, width).drop("n"), "ladder")
     rows = iv.islands(exons, ["chrom", "level"], chain_gap, True, width).withColumnRenamed("island", "locus")
     return rows.groupBy("chrom", "level", "locus").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("exons"))
 
@@ -127,8 +132,15 @@ def ladder(reads: DataFrame, join_gap: int = 68, chain_gap: int = 100_000, width
 def novel(reads: DataFrame, annotation: DataFrame, join_gap: int = 68, chain_gap: int = 100_000, width: int = iv.BIN) -> DataFrame:
     """``ladder`` of the reads that share no base with the annotation."""
     columns = ["chrom", "s", "e"]
-    known = iv.merge(annotation.select(*columns), width=width).drop("n")
-    return ladder(kept(iv.overlap_join(reads, known, how="left_anti", width=width), "novel"), join_gap, chain_gap, width)
+    known = annotation.where("s < e").select(*columns)
+    both = dealt(reads.select(*columns, F.lit(None).cast("long").alias("_x")).unionByName(known.select("chrom", "s", F.col("e").alias("_x")), allowMissingColumns=True), ["chrom"])
+    if both is None:
+        far = iv.overlap_join(reads, iv.merge(known, width=width).drop("n"), how="left_anti", width=width)
+    else:
+        # the furthest end of the known regions that start before a read's end tells whether one of them meets it
+        before = W.partitionBy("chrom").orderBy(F.coalesce(F.when(F.col("_x").isNull(), F.col("e")), "s"), F.col("_x").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+        far = both.withColumn("_reach", F.max("_x").over(before)).where("_x IS NULL AND (_reach IS NULL OR _reach <= s)").select(*columns)
+    return ladder(kept(far, "novel"), join_gap, chain_gap, width)
 
 
 def least_under(ranges: DataFrame, segments: DataFrame, value: str = "depth", width: int = iv.BIN) -> DataFrame:
@@ -170,14 +182,46 @@ def least_between(spans: DataFrame, numbered: DataFrame, keys: list[str]) -> Dat
     return ends.join(tables, [*keys, "_at", "_k"]).groupBy(*columns).agg(F.min("v").alias("least"))
 
 
+def _least_depth(few: DataFrame, hits: DataFrame) -> DataFrame:
+    """``few``, the ``hits`` dealt out by chromosome, with ``least``: the smallest depth above 0 under each, weighted by n.
+
+    The ends of all hits are the points between which the depth is one.  Minima over 1, 2, 4, ... points from a point on and up to
+    one are windows over a chromosome; a hit takes one of each from its first and its last point, however many lie between.
+    """
+    longest = hits.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 1
+    top = (min(max(longest, 1), 2 * HOT)).bit_length() - 1
+    cols = hits.columns
+    ends = F.array(F.struct(F.col("s").alias("pos"), F.col("n").cast("long").alias("d"), F.lit(True).alias("opens")), F.struct(F.col("e").alias("pos"), (-F.col("n").cast("long")).alias("d"), F.lit(False).alias("opens")))
+    rest = [c for c in cols if c not in ("chrom", "s", "e")]
+    spans = few.where("s < e AND chrom IS NOT NULL").groupBy("chrom", "s", "e").agg(F.sum(F.col("n").cast("long")).alias("n"), F.collect_list(F.struct(*rest)).alias("hits"))
+    halves = spans.select("chrom", "s", "e", "hits", F.explode(ends).alias("x")).select("chrom", "s", "e", "x.*", F.when(F.col("x.opens"), F.col("hits")).alias("hits"))
+    points = halves.groupBy("chrom", "pos").agg(F.sum("d").alias("d"), F.collect_list(F.struct("s", "e", "opens", "hits")).alias("x"))
+    along = W.partitionBy("chrom").orderBy("pos")
+    points = points.withColumns({"i": F.row_number().over(along), "v0": F.sum("d").over(along.rowsBetween(W.unboundedPreceding, 0))})
+    points = points.withColumn("v0", F.when(F.col("v0") >= 1, F.col("v0"))).withColumn("w0", F.lag("v0").over(along))
+    for k in range(1, top + 1):  # v from the point on, w up to the point before it
+        half = 1 << (k - 1)
+        points = points.withColumns({f"v{k}": F.least(f"v{k - 1}", F.lead(f"v{k - 1}", half).over(along)), f"w{k}": F.least(f"w{k - 1}", F.lag(f"w{k - 1}", half).over(along))})
+    sides = F.when(F.col("x.opens"), F.array(*[f"v{k}" for k in range(top + 1)])).otherwise(F.array(*[f"w{k}" for k in range(top + 1)])).alias("m")
+    told = points.withColumn("x", F.explode("x")).select("chrom", "x.s", "x.e", "x.opens", "x.hits", "i", sides)
+    met = told.groupBy("chrom", "s", "e").agg(*[F.max(F.when(F.col("opens") == o, F.struct("i", "m"))).alias(c) for o, c in ((True, "a"), (False, "b"))], F.first("hits", ignorenulls=True).alias("hits"))
+    k = F.floor(F.log2(F.col("b.i") - F.col("a.i")) + 1e-9).cast("int")
+    found = met.select("chrom", "s", "e", F.least(F.get("a.m", k), F.get("b.m", k)).alias("least"), F.explode("hits").alias("x")).select("chrom", "s", "e", "x.*", "least")
+    without = hits.where("NOT coalesce(s < e, false) OR chrom IS NULL").withColumn("least", F.lit(None).cast("long"))
+    return found.unionByName(without).select(*cols, "least")
+
+
 def thinned(hits: DataFrame, threshold: int, seed: int = 1, width: int = iv.BIN) -> DataFrame:
     """(id, chrom, s, e, n, least, kept): hits (id, chrom, s, e, n copies) and how many of their copies stay.
 
     Where the least depth under a hit is above ``threshold`` each copy stays with a chance of threshold / depth, by a hash of the
     seed, the id and the copy's number; hits without a base have no depth and stay.
     """
-    depth = iv.coverage(hits, weight="n", width=width)
-    rows = least_under(hits, depth, width=width)
+    few = dealt(hits, ["chrom"])
+    if few is None:
+        rows = least_under(hits, iv.coverage(hits, weight="n", width=width), width=width)
+    else:
+        rows = _least_depth(few, hits)
     copies = F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))
     draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("long")
     stay = F.size(F.filter(copies, lambda k: draw(k) * F.col("least") < F.lit(threshold * 2**32))).cast("long")
