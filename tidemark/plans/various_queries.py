@@ -10,7 +10,7 @@ from ..operators import coverage as cov
 from ..operators import fileorder, kmers, reads
 from ..operators import transcripts as tr
 from ..tables import folder
-from .views import DNA, QUAL, WIDTH, dna, qual, table
+from .views import DNA, QUAL, WIDTH, by_id, dna, qual, table
 
 _CHUNK, _PIECE, _KNOWN, _BEST = 256, 40, 20, 50_000
 
@@ -20,7 +20,7 @@ def gc_depth(fragment, best):
         day = (F.datediff("l_shipdate", F.lit("1992-01-01")) % 997).cast("long")
         rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") % 1000).cast("string").alias("chrom"), day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"))
         chunks = seq.chunked(dna(spark, d).select(F.col("doc_id").cast("string").alias("name"), "seq"), _CHUNK)
-        return cov.gc_depth(tr.from_intervals(rows, ["id", "chrom"]), chunks, _CHUNK, 20, fragment, 60, _KNOWN, best, 1, WIDTH)
+        return cov.gc_depth(tr.from_intervals(by_id(rows), ["id", "chrom"]), chunks, _CHUNK, 20, fragment, 60, _KNOWN, best, 1, WIDTH)
 
     return run
 
