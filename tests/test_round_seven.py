@@ -176,3 +176,28 @@ def test_ladder_of_few_and_of_hot_rows(spark, written, monkeypatch, hot):
     assert hot or not written  # where no key is hot nothing is written in between
     far = [r for r in rows if r[1] < r[2] and not any(k[0] == r[0] and k[1] < r[2] and r[1] < k[2] for k in known)]
     assert 0 < len(far) < len(rows) and shown(coverage.novel(table(rows), table(known), 2, 9, 16)) == _ladder(far, 2, 9)
+
+
+def test_tasks_of_transcripts_grow_with_the_lines(spark, monkeypatch):
+    from tidemark.plans import views
+
+    monkeypatch.setattr(running, "TASK", 500)
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert views.tx(spark, d).rdd.getNumPartitions() == -(-lines // 500)
+    tasks = views.by_id(spark.range(9000)).groupBy(F.spark_partition_id()).count()
+    assert tasks.count() == 18 and tasks.agg(F.max("count")).first()[0] < 1000
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_consensus_of_few_and_of_hot_rows(spark, monkeypatch, hot):
+    from tidemark.operators import nonredundant
+
+    monkeypatch.setattr(running, "HOT", 20 if hot else 1000)
+    monkeypatch.setattr(running, "TASK", 25)
+    tx = spark.range(200).selectExpr("id", "id % 4 AS chrom", "array(named_struct('s', 100 * (id div 8), 'e', 100 * (id div 8) + 20), named_struct('s', 100 * (id div 8) + 40, 'e', 100 * (id div 8) + 60)) AS exons")
+    got = nonredundant.consensus(tx, 1, 1, width=64)
+    want = {(c, 100 * g, (8 * g + c, 8 * g + c + 4)) for c in range(4) for g in range(25)}
+    assert {(r.chrom, r.exons[0].s, tuple(r.ids)) for r in got.collect()} == want
+    # loci are handled where their chromosome's rows met, in as many tasks as there are rows for
+    assert hot or "hashpartitioning(chrom" in (plan := got._jdf.queryExecution().executedPlan().toString()) and plan.split("Initial Plan")[0].count("Exchange") == 1
