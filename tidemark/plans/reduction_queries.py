@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reduction
-from .views import table
+from .views import by_id, table
 
 _TOLERANCE = 2
 
@@ -17,6 +17,7 @@ def slot_tx(spark, d):
     """(id, chrom, exons) of all orders."""
     day, q = F.datediff("l_shipdate", F.lit("1992-01-01")), F.col("l_quantity").cast("long")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.floor(day / 14).alias("slot"), q.alias("q"))
+    rows = by_id(rows)
     ex = rows.groupBy("id", "slot").agg((F.col("slot") * 100 + F.min("q") % 5).alias("s"), (F.col("slot") * 100 + 50 + F.max("q") % 5).alias("e"))
     return ex.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("exons")).select("id", F.floor(F.col("id") / 4000).alias("chrom"), "exons")
 
